@@ -1,0 +1,15 @@
+"""Corpus pipeline (stages are added as their operators land)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+STAGES: list = []
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
