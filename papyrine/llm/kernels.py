@@ -192,3 +192,13 @@ def arrow_lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def portions(data: np.ndarray, offsets: np.ndarray, size: int = 4 << 20):
+    """Cut a batch into runs of whole texts of about ``size`` bytes, to bound the arrays made from them."""
+    n, begin = len(offsets) - 1, 0
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
+        end = min(end, n)
+        yield data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
+        begin = end

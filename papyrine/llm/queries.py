@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding
+from . import langid, line_dedup, packing, quality, sharding, toxicity
+from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _scored(df: DataFrame, folds: int, held_fold: int) -> DataFrame:
+    return df.select(
+        "doc_id", (fold("doc_id", folds) == held_fold).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs, model), 4, 2)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts and the digest of the kept lines of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,8 +55,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs, model), 3, 1)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_quality": op3_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op9_language_id": op9_language_id,
 }
