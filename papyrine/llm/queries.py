@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, packing, quality, sharding, toxicity
+from . import jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
 from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), 3, 1)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.link_components(docs, k=4, num=85, den=100)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt outside fold 1 of 3."""
     docs = table(spark, sf_dir, "documents")
@@ -76,5 +82,6 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_language_id": op9_language_id,
 }

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 ORACLE_SQL: dict[str, str] = {}
 
-ORACLE_SQL["op2_sharding"] = """
-WITH sized AS (
+_CRC32 = """
+crc_step AS (
+  SELECT b, list_reduce(list_prepend(CAST(b AS UBIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+  FROM range(256) AS t(b)
+), crc_table AS (SELECT list(v ORDER BY b) AS steps FROM crc_step)
+"""
+
+ORACLE_SQL["op2_sharding"] = f"""
+WITH {_CRC32.strip()}, sized AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, coalesce(text, '') AS text FROM documents
 ), placed AS (
-  SELECT doc_id, size, text, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM sized
+  SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM sized
 ), dealt AS (
-  SELECT doc_id, size, text, CAST(least(23, before * 24 // total) AS INTEGER) AS shard FROM placed
+  SELECT *, CAST(least(23, before * 24 // total) AS INTEGER) AS shard, hex(encode(text)) AS digits FROM placed
 )
-SELECT doc_id, size, crc32_of AS text_crc32, 'bytes' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM dealt
+SELECT doc_id, size,
+       CAST(xor(4294967295::UBIGINT, list_reduce(
+         list_prepend(4294967295::UBIGINT, list_transform(range(0, strlen(text)),
+           lambda i: CAST(instr('0123456789ABCDEF', digits[2 * i + 1]) * 16 + instr('0123456789ABCDEF', digits[2 * i + 2]) - 17 AS UBIGINT))),
+         lambda c, x: xor(c >> 8, steps[CAST(xor(c & 255, x) AS BIGINT) + 1]))) AS BIGINT) AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt, crc_table
 """
 
 ORACLE_SQL["op5_line_dedup"] = r"""
@@ -32,3 +44,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+def jaccard_sql(k: int, num: int, den: int) -> str:
+    """Components of documents whose k-word shingle sets link, by comparing all pairs that share a shingle."""
+    pieces = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), listed AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: {pieces})) END AS s FROM worded
+), shingles AS (SELECT doc_id, unnest(s) AS g FROM listed),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN listed x ON x.doc_id = a JOIN listed y ON y.doc_id = b
+  WHERE {den} * both >= {num} * (len(x.s) + len(y.s) - both)
+), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(node, seen) AS (
+  SELECT doc_id, doc_id FROM listed UNION SELECT b, seen FROM reached JOIN sides ON node = a WHERE seen <= node OR seen <= b
+)
+SELECT l.doc_id, CAST(len(l.s) AS BIGINT) AS n_shingles, r.component_id
+FROM listed l JOIN (SELECT node, min(seen) AS component_id FROM reached GROUP BY node) r ON r.node = l.doc_id
+"""
+
+
+ORACLE_SQL["op7_ngram_jaccard"] = jaccard_sql(4, 85, 100)
