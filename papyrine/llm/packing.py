@@ -31,10 +31,17 @@ from pyspark.sql import types as T
 from ..runtime import arrow_map
 from . import kernels
 
-#: The pattern by which the vocabulary splits lower-case printable ASCII.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PRINTABLE = re.compile(r"[!-~]+")
+#: The pattern by which the vocabulary splits lower-case text, for printable ASCII and Latin-1 letters.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: bytes without a visible Latin-1 character take code points from 256 on, in order."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -65,8 +72,8 @@ class WordEncoder:
         if len(text) > 256 or any(s in text for s in self.special):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         ids: list[int] = []
-        if _PRINTABLE.fullmatch(text):
-            pieces = _ASCII_PIECES.findall(text.lower())
+        if _SIMPLE.fullmatch(text):
+            pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in _PIECES.findall(text.lower())]
         else:
             t = self.tokenizer
             pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
@@ -125,7 +132,7 @@ def pack(
     text_col: str = "text",
     window: int = 4096,
     end_id: int = 2,
-    memo: int = 250_000,
+    memo: int = 500_000,
     with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, bucket, ids (if ``with_ids``), ids_crc32, doc_tokens, sequence_id, offset.
