@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
+from . import decontamination, jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
 from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id) where at least 0.8 of the item's 5-word shingles lie in the document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep_clean=False)
+    leak = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return leak.select("leak.item_id", "doc_id", "leak.item_shingles", "leak.shared", "leak.containment")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -84,4 +92,5 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }

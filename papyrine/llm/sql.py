@@ -57,10 +57,10 @@ WITH RECURSIVE worded AS (
     ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: {pieces})) END AS s FROM worded
 ), shingles AS (SELECT doc_id, unnest(s) AS g FROM listed),
 pairs AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT a, b FROM pairs JOIN listed x ON x.doc_id = a JOIN listed y ON y.doc_id = b
-  WHERE {den} * both >= {num} * (len(x.s) + len(y.s) - both)
+  WHERE {den} * shared >= {num} * (len(x.s) + len(y.s) - shared)
 ), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached(node, seen) AS (
   SELECT doc_id, doc_id FROM listed UNION SELECT b, seen FROM reached JOIN sides ON node = a WHERE seen <= node OR seen <= b
@@ -71,3 +71,23 @@ FROM listed l JOIN (SELECT node, min(seen) AS component_id FROM reached GROUP BY
 
 
 ORACLE_SQL["op7_ngram_jaccard"] = jaccard_sql(4, 85, 100)
+
+
+def _shingles_sql(table: str, key: str, k: int) -> str:
+    pieces = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return rf"""(SELECT {key}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: {pieces})) END AS s
+    FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}))"""
+
+
+def containment_sql(k: int, num: int, den: int) -> str:
+    """Items whose shingles lie in a document to num/den, by joining all shingles."""
+    return f"""
+WITH d AS (SELECT doc_id, unnest(s) AS g FROM {_shingles_sql("documents", "doc_id", k)}),
+i AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM {_shingles_sql("benchmark", "item_id", k)})
+SELECT item_id, doc_id, CAST(n AS BIGINT) AS item_shingles, count(*) AS shared, count(*) / n AS containment
+FROM i JOIN d USING (g) GROUP BY item_id, doc_id, n HAVING {den} * count(*) >= {num} * n
+"""
+
+
+ORACLE_SQL["op10_decontamination"] = containment_sql(5, 80, 100)
