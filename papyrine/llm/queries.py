@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
+from . import ann, decontamination, jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
 from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(docs, k=4, num=85, den=100)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.knn(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt outside fold 1 of 3."""
     docs = table(spark, sf_dir, "documents")
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
