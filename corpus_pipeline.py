@@ -1,14 +1,78 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: quality, line dedup, near duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.  ``run`` writes nothing: a caller that wants
+restart points writes each stage and reads it again as the next one's docs.
+
+SQL cannot express the trained classifier or the tokenizer, so there is no
+ORACLE_SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papyrine.llm import decontamination, jaccard_join, line_dedup, packing, quality
+
+#: A document is rejected if the quality classifier gives it less than this.
+KEEP_SCORE = 0.7
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (n-gram logistic regression by FTRL) does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model, score_col="_quality").where(F.col("_quality") >= KEEP_SCORE).select(docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines (40 code points or more) that 5 documents hold, but for one keeper of each line."""
+    kept = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each group linked by 5-word shingles at a Jaccard similarity of 0.8.
+
+    Rows that repeat an id are one document; one of them stays.  Rows without an id stay.
+    """
+    found = jaccard_join.link_components(docs.select("doc_id", "text"), k=5, num=80, den=100)
+    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.limit(1).count():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    return kept
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item to 0.8 of its 5-word shingles."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.drop_leaking(docs, items).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of the documents left, with their token ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
+from . import ann, decontamination, html_main, jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
 from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), 4, 2)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's consensus path."""
+    return html_main.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts and the digest of the kept lines of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
+    "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
