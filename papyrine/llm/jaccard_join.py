@@ -6,12 +6,13 @@ when ``den * |x & y| >= num * |x | y|``.  If x and y link, at most
 of x (in any order shared by all sets) from which p tokens cannot all be missing
 meets the prefix of y.  The steps:
 
-1. One map computes every set, its digest, and its *head*: the tokens under a
-   fixed hash bound plus as many more, in hash order, as a prefix can need.
-2. A twice-seen Bloom filter over the low tokens (bounded size, see ``bloom``)
-   tells *unique* tokens from repeated ones.  Order: unique low tokens, rare low
-   tokens, frequent low tokens, then the tokens over the bound, each by hash.  A
-   set with p unique low tokens can link with nothing and leaves here.
+1. One map computes the size and digest of every set; equal sets join by digest.
+2. Tokens under a hash bound (half of all) are *low*.  A twice-seen Bloom filter
+   over the low tokens (bounded size, see ``bloom``) tells *unique* tokens from
+   repeated ones.  Order: unique low tokens, rare low tokens, frequent low tokens,
+   then the tokens over the bound, each by hash.  A set with p unique low tokens
+   can link with nothing and leaves here.  Sets are made again from the texts in
+   each pass, which costs less than storing them.
 3. Repeated low tokens of the sets left are counted.  Those in more than
    ``frequent`` sets form the frequent class (at most ``max_frequent`` of them;
    the bound on the count is raised until they fit, which changes cost only).
@@ -25,8 +26,12 @@ meets the prefix of y.  The steps:
    sets, links make components, and only pairs of one key that lie in different
    components are then verified, in the same way, until none is left.
 
-Equal sets are joined by digest first; only one of each task's copies is
-indexed.  No pair list of a group is made, and no link between different
+   A pair is a candidate only if its sizes, the unique tokens of both and the bits
+   in which their odd sketches differ leave room for the overlap.  The join tests
+   that before it emits a row, so a large group of texts that are alike but do
+   not link costs comparisons of sketches and no pairs.
+
+Only one of each task's copies of a set is indexed.  No pair list of a group is made, and no link between different
 components is lost: every pair of one key ends in one component or is verified.
 
 Defined results: a null or empty text, or one without words, has an empty set
@@ -37,6 +42,7 @@ a null id links with nothing and has a null component.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -49,7 +55,11 @@ from . import kernels
 from .bloom import PARTIAL_SCHEMA, collect_twice, partials, slices_for
 from .graph import connected_components
 
-_PROFILE = "doc_id long, n long, digest binary, head array<long>"
+#: Share of the hash range that is low.
+LOW_SHARE = 0.5
+#: Words of 64 bits in a set's odd sketch.
+SKETCH_WORDS = 8
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def missing_allowed(n: int, num: int, den: int) -> int:
@@ -57,105 +67,105 @@ def missing_allowed(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den)
 
 
-def low_bound(num: int, den: int) -> int:
-    """Tokens under this hash are low: half as many again as a prefix needs."""
-    return int(min(1.0, 1.5 * (1 - num / den)) * ((1 << 64) - 1))
+_LOW_BOUND = np.uint64(int(LOW_SHARE * (1 << 64)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def profiles(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: size, digest of the set, and its head (null for a copy within the task and for empty sets)."""
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    bound = np.uint64(low_bound(num, den))
+def _digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
-    def make():
-        import hashlib
 
-        seen: set[bytes] = set()
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of the sketch's bins.
 
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, heads = [], [], []
-            data, offsets = kernels.text_buffer(b.column("text"))
-            for part in kernels.portions(data, offsets):
-                for tokens in kernels.shingle_sets(kernels.hash_words(*part), k):
-                    n = len(tokens)
-                    sizes.append(n)
-                    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                    digests.append(digest)
-                    if not n or digest in seen:
-                        heads.append(None)
-                        continue
-                    seen.add(digest)
-                    p = missing_allowed(n, num, den) + 1
-                    heads.append(tokens[: max(int(np.searchsorted(tokens, bound)), p + p // 8 + 2)].view(np.int64))
-            return pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "head"],
-            )
+    Two sketches differ in at most as many bits as their sets differ in tokens,
+    so the bits that differ bound the overlap from above, whatever the collisions.
+    """
+    bins = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS)
+    return np.packbits(bins & 1).view(np.int64)
 
-        return step
 
-    return stash(arrow_map(thin, make, _PROFILE), "profiles")
+def _batch_sets(b: pa.RecordBatch, k: int):
+    for part in kernels.portions(*kernels.text_buffer(b.column("text"))):
+        yield from kernels.shingle_sets(kernels.hash_words(*part), k)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column of hashes."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
-    return values, offsets - offsets[0]
+def profiles(thin: DataFrame, k: int) -> DataFrame:
+    """One row a document: size and digest of its set."""
 
+    def make():
+        def step(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(len(t), _digest(t)) for t in _batch_sets(b, k)]
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=["doc_id", "n", "digest"])
+
+        return step
 
-def _suspect_sets(heads: DataFrame, num: int, den: int, filter_bytes: int) -> DataFrame:
-    """Sets that may link: (doc_id, n, unique, repeated low tokens, high tokens of the head)."""
-    spark = heads.sparkSession
-    bound = np.uint64(low_bound(num, den))
-    tokens = heads.agg(F.sum(F.size("head"))).first()[0] or 0
-    slices = slices_for(int(tokens), bits_per_key=10, max_bytes=filter_bytes)
+    return stash(arrow_map(thin, make, "doc_id long, n long, digest binary"), "profiles")
+
+
+def _suspect_sets(thin: DataFrame, tokens: int, k: int, num: int, den: int, filter_bytes: int) -> DataFrame:
+    """Sets that may link: (doc_id, n, unique, repeated low tokens, high tokens that a prefix can need)."""
+    slices = slices_for(int(tokens * LOW_SHARE), bits_per_key=10, max_bytes=filter_bytes)
 
     def sending():
+        seen: set[bytes] = set()
+
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            values, _ = _flat(b.column("head"))
-            return partials(values[values < bound], slices)
+            low = []
+            for tokens in _batch_sets(b, k):
+                if len(tokens) and (digest := _digest(tokens)) not in seen:
+                    seen.add(digest)
+                    low.append(tokens[: np.searchsorted(tokens, _LOW_BOUND)])
+            return partials(np.concatenate(low) if low else np.zeros(0, np.uint64), slices)
 
         return step
 
-    shared = spark.sparkContext.broadcast(collect_twice(arrow_map(heads.select("head"), sending, PARTIAL_SCHEMA), slices))
+    shared = thin.sparkSession.sparkContext.broadcast(collect_twice(arrow_map(thin.select("text"), sending, PARTIAL_SCHEMA), slices))
 
     def sifting():
-        seen = shared.value
+        twice, seen = shared.value, set()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            values, offsets = _flat(b.column("head"))
-            low = values < bound
-            again = np.zeros(len(values), bool)
-            again[low] = seen.suspects(values[low])
-            unique = np.concatenate([[0], np.cumsum(low & ~again)])
-            unique = unique[offsets[1:]] - unique[offsets[:-1]]
-            sizes = b.column("n").to_numpy()
-            need = sizes - -(-num * sizes // den) + 1
-            left = np.flatnonzero(unique < need)
-            if not len(left):
+            out: list[list] = [[], [], [], [], []]
+            sketches = []
+            ids = b.column("doc_id").to_pylist()
+            for i, tokens in enumerate(_batch_sets(b, k)):
+                n = len(tokens)
+                if not n or (digest := _digest(tokens)) in seen:
+                    continue
+                seen.add(digest)
+                split, p = int(np.searchsorted(tokens, _LOW_BOUND)), missing_allowed(n, num, den) + 1
+                low = tokens[:split]
+                again = twice.suspects(low)
+                unique = split - int(again.sum())
+                if unique >= p:
+                    continue
+                high = tokens[split : max(split, p + p // 8 + 2)]
+                for column, value in zip(out, (ids[i], n, unique, low[again].view(np.int64), high.view(np.int64)), strict=True):
+                    column.append(value)
+                sketches.append(odd_sketch(tokens))
+            if not sketches:
                 return None
-            repeated, high = [], []
-            for i in left:
-                a, z = offsets[i], offsets[i + 1]
-                own, is_low, is_again = values[a:z], low[a:z], again[a:z]
-                repeated.append(own[is_again].view(np.int64))
-                high.append(own[~is_low].view(np.int64))
             kind = pa.list_(pa.int64())
-            at = pa.array(left)
             return pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("n").take(at), pa.array(unique[left].astype(np.int64)), pa.array(repeated, kind), pa.array(high, kind)],
-                names=["doc_id", "n", "unique", "repeated", "high"],
+                [*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, kind) for c in out[3:]), *map(pa.array, np.ascontiguousarray(np.stack(sketches).T))],
+                names=["doc_id", "n", "unique", "repeated", "high", *_SKETCH],
             )
 
         return step
 
-    return stash(arrow_map(heads.select("doc_id", "n", "head"), sifting, "doc_id long, n long, unique long, repeated array<long>, high array<long>"), "suspects")
+    return stash(arrow_map(thin, sifting, "doc_id long, n long, unique long, repeated array<long>, high array<long>" + "".join(f", {c} long" for c in _SKETCH)), "suspects")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column of hashes."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
+    return values, offsets - offsets[0]
 
 
 def _frequent_tokens(suspects: DataFrame, frequent: int, max_frequent: int) -> np.ndarray:
@@ -204,6 +214,7 @@ def index_keys(n: int, unique: int, rare: np.ndarray, often: np.ndarray, high: n
 
 def _index(suspects: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
     shared = suspects.sparkSession.sparkContext.broadcast(often)
+    columns = ["doc_id", "n", "unique", *_SKETCH]
 
     def make():
         frequent = shared.value
@@ -221,11 +232,11 @@ def _index(suspects: DataFrame, often: np.ndarray, num: int, den: int) -> DataFr
             count = np.array([len(x) for x in keys], np.int64)
             rows = pa.array(np.repeat(np.arange(len(sizes)), count))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            return pa.RecordBatch.from_arrays([_signed(flat), b.column("doc_id").take(rows), b.column("n").take(rows)], names=["key", "doc_id", "n"])
+            return pa.RecordBatch.from_arrays([_signed(flat), *(b.column(c).take(rows) for c in columns)], names=["key", *columns])
 
         return step
 
-    return stash(arrow_map(suspects, make, "key long, doc_id long, n long"), "index")
+    return stash(arrow_map(suspects, make, "key long" + "".join(f", {c} long" for c in columns)), "index")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -250,20 +261,13 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), make, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def _sets(thin: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Whole sets of the wanted documents."""
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
 
     def make():
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for part in kernels.portions(*kernels.text_buffer(b.column("text"))):
-                out += [t.tobytes() for t in kernels.shingle_sets(kernels.hash_words(*part), k)]
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
+        return lambda b: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.tobytes() for t in _batch_sets(b, k)], pa.binary())], names=["doc_id", "tokens"])
 
-        return step
-
-    return stash(arrow_map(thin, make, "doc_id long, tokens binary"), "sets")
+    return stash(arrow_map(thin.join(wanted, "doc_id", "left_semi"), make, "doc_id long, tokens binary"), "sets")
 
 
 def link_components(
@@ -279,17 +283,21 @@ def link_components(
     pivot_rounds: int = 2,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; the component is its smallest doc_id."""
-    table = profiles(docs, k, num, den, id_col, text_col)
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    table = profiles(thin, k)
+    thin = thin.where("doc_id is not null")
     known = table.where("doc_id is not null and n > 0")
     copies = known.groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("other > b").select("digest", "b")
     links = known.join(copies, "digest").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    suspects = _suspect_sets(known.where("head is not null"), num, den, filter_bytes)
+    suspects = _suspect_sets(thin, known.agg(F.sum("n")).first()[0] or 0, k, num, den, filter_bytes)
     index = _index(suspects, _frequent_tokens(suspects, frequent, max_frequent), num, den)
     shared = index.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
     index = stash(index.join(shared, "key").distinct(), "index")
-    sets = _sets(docs, index.select("doc_id").distinct(), k, id_col, text_col)
-    near = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n)"
-
+    apart = f"n + other_n - 2 * (({num} * (n + other_n) + {num + den - 1}) div {num + den})"
+    differing = " + ".join(f"bit_count({c} ^ other_{c})" for c in _SKETCH)
+    near = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) and unique + other_unique <= {apart} and {differing} <= {apart}"
+    described = ["n", "unique", *_SKETCH, "component"]
+    sets = _sets(thin, index.select("doc_id").distinct(), k)
     found = stash(links.distinct(), "links")
     tried = None
     for turn in range(pivot_rounds + 1):
@@ -299,11 +307,11 @@ def link_components(
         rows = stash(rows.join(open_keys, "key"), "open")
         if turn < pivot_rounds:
             rank = F.xxhash64("component", F.lit(turn)) if turn else F.col("component")
-            pivots = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "component")).alias("p"))
-            pivots = pivots.select("key", F.col("p.doc_id").alias("other"), F.col("p.n").alias("other_n"), F.col("p.component").alias("other_component"))
-            pairs = rows.join(pivots, "key").where("component <> other_component")
+            pivots = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", *described)).alias("p"))
+            right = pivots.select("key", F.col("p.doc_id").alias("other"), *[F.col(f"p.{c}").alias(f"other_{c}") for c in described])
+            pairs = rows.join(right, "key").where("component <> other_component")
         else:
-            right = rows.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
+            right = rows.select("key", F.col("doc_id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in described])
             pairs = rows.join(right, "key").where("component < other_component")
         pairs = pairs.where(near).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
         if tried is not None:
