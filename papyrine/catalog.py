@@ -36,3 +36,244 @@ def json_pointer_event_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RFC 6901 pointer ``/k`` over a JSON column, lowered to a built-in for a single safe member name."""
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count(k).alias("n"))
+
+
+from pyspark.sql import Window  # noqa: E402
+
+from .functions import columns as C  # noqa: E402
+from .functions.json_text import JSON5, JsonOptions  # noqa: E402
+from .operators import csv_table, selectors  # noqa: E402
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document for each order: key, status and its lines by line number."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("flag"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    doc = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), "lines"))
+    return joined.select("o_orderkey", "o_orderstatus", doc.alias("doc"))
+
+
+@query("""
+SELECT o_orderkey, CAST(l_partkey AS VARCHAR) AS second_part FROM (
+  SELECT l_orderkey AS o_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER), l_returnflag) AS rn
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE rn = 2
+""")
+def json_pointer_array_element(spark, sf_dir):
+    """RFC 6901 pointer into an array of objects."""
+    found = order_documents(spark, sf_dir).select("o_orderkey", C.json_pointer("doc", "/lines/1/p").alias("second_part"))
+    return found.where("second_part is not null")
+
+
+@query("""
+SELECT o_orderstatus, count(*) AS n_lines, CAST(sum(l_partkey) AS BIGINT) AS sum_parts
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE CAST(l_quantity AS INTEGER) > 25 AND l_returnflag <> 'N' GROUP BY 1
+""")
+def json_path_filter(spark, sf_dir):
+    """RFC 9535 filter with comparisons and a conjunction, unnested and aggregated."""
+    nodes = order_documents(spark, sf_dir).select("o_orderstatus", F.explode(C.json_path("doc", "$.lines[?@.q > 25 && @.flag != 'N'].p")).alias("p"))
+    return nodes.groupBy("o_orderstatus").agg(F.count("*").alias("n_lines"), F.sum(F.col("p").cast("long")).alias("sum_parts"))
+
+
+@query("""
+SELECT o_orderkey, '$[''lines''][' || (n - 1) || '][''n'']' AS path, CAST(m AS VARCHAR) AS value FROM (
+  SELECT l_orderkey AS o_orderkey, count(*) AS n, max(l_linenumber) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+""")
+def json_path_last_normalized(spark, sf_dir):
+    """Negative index with normalized paths."""
+    return order_documents(spark, sf_dir).select("o_orderkey", F.explode(C.json_path_nodes("doc", "$.lines[-1].n")).alias("x")).select("o_orderkey", "x.path", "x.value")
+
+
+@query("SELECT o_orderkey, count(*) + 1 AS n_numbers FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def json_path_descendant(spark, sf_dir):
+    """Descendant segment with a union of selectors."""
+    return order_documents(spark, sf_dir).select("o_orderkey", F.size(C.json_path("doc", "$..['n', 'key']")).cast("long").alias("n_numbers"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '/k') AS BIGINT) + 1) AS BIGINT) AS s FROM events GROUP BY 1")
+def json_patch_move_add(spark, sf_dir):
+    """RFC 6902: test, move and add, all or nothing."""
+    k = C.json_pointer("props", "/k")
+    ops = F.concat(F.lit('[{"op":"test","path":"/k","value":'), k, F.lit('},{"op":"move","from":"/k","path":"/m"},{"op":"add","path":"/l","value":[1]}]'))
+    patched = C.json_patch("props", ops)
+    total = C.json_pointer(patched, "/m").cast("long") + C.json_pointer(patched, "/l/0").cast("long")
+    return table(spark, sf_dir, "events").select("event_type", total.alias("t")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("t").alias("s"))
+
+
+@query("""
+SELECT event_type, count(json_extract(json_merge_patch(props, '{"k":null,"z":{"a":7}}'), '/k')) AS with_k,
+       CAST(sum(CAST(json_extract(json_merge_patch(props, '{"k":null,"z":{"a":7}}'), '/z/a') AS BIGINT)) AS BIGINT) AS s FROM events GROUP BY 1
+""")
+def json_merge_patch_remove(spark, sf_dir):
+    """RFC 7386: null removes a member, objects merge."""
+    merged = table(spark, sf_dir, "events").select("event_type", C.json_merge_patch("props", F.lit('{"k":null,"z":{"a":7}}')).alias("m"))
+    return merged.groupBy("event_type").agg(F.count(C.json_pointer("m", "/k")).alias("with_k"), F.sum(C.json_pointer("m", "/z/a").cast("long")).alias("s"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) AS n_equal, 0 AS n_trailing_comma, count(*) AS n_json5 FROM events GROUP BY 1")
+def json_strict_and_relaxed(spark, sf_dir):
+    """Strict validity, JSON5 validity and structural equality whatever the member order and number spelling."""
+    events = table(spark, sf_dir, "events")
+    loose = F.concat(F.lit("{/*c*/'a': +.5, b: "), F.col("props"), F.lit(",}"))
+    spelt = F.concat(F.lit('{"x":1.0,"y":'), F.col("props"), F.lit("}"))
+    other = F.concat(F.lit('{"y":'), F.col("props"), F.lit(',"x":1e0}'))
+    return events.groupBy("event_type").agg(
+        F.count("*").alias("n"),
+        F.count_if(C.json_equal(spelt, other)).alias("n_equal"),
+        F.count_if(C.json_valid(loose)).cast("int").alias("n_trailing_comma"),
+        F.count_if(C.json_valid(loose, JSON5)).alias("n_json5"),
+    )
+
+
+@query("SELECT event_id, '{\"a\":[1,100,0.5],\"k\":' || CAST(json_extract(props, '/k') AS VARCHAR) || '}' AS canonical FROM events")
+def json_canonical_text(spark, sf_dir):
+    """Canonical writer: sorted members, one spelling for equal numbers, last duplicate kept."""
+    text = F.concat(F.lit('{"k":0,"k":'), C.json_pointer("props", "/k"), F.lit(',"a":[1.0,1e2,5E-1]}'))
+    return table(spark, sf_dir, "events").select("event_id", C.json_canonical(text, JsonOptions(duplicates="last")).alias("canonical"))
+
+
+@query("SELECT event_type, count(*) * 3 AS n_records FROM events GROUP BY 1")
+def json_record_sequence(spark, sf_dir):
+    """Record sequences (RFC 7464 separators)."""
+    seq = F.concat(F.lit("\x1e"), F.col("props"), F.lit("\n\x1e"), F.col("event_id").cast("string"), F.lit("\n\x1e[null]\n"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.size(C.json_records(seq, "seq"))).alias("n_records"))
+
+
+@query("SELECT c_custkey, c_name || ', \"x\"' AS name, c_mktsegment AS segment FROM customer")
+def csv_write_parse_round_trip(spark, sf_dir):
+    """Records written with minimal quoting by column expressions and parsed again."""
+    fields = F.array(F.col("c_custkey").cast("string"), F.concat("c_name", F.lit(', "x"')), F.col("c_mktsegment"))
+    text = table(spark, sf_dir, "customer").select(csv_table.record(fields).alias("text"))
+    rows = csv_table.parse(text, "text")
+    return rows.select(csv_table.field(0).cast("long").alias("c_custkey"), csv_table.field(1).alias("name"), csv_table.field(2).alias("segment"))
+
+
+def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one to five fields."""
+    width = (F.pmod("user_id", F.lit(5)) + 1).cast("int")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("row_idx"), "event_type", F.array_repeat("event_type", width).alias("fields"))
+
+
+@query("""
+SELECT event_type, count(*) AS n_rows, CAST(min(user_id % 5 + 1) AS INTEGER) AS min_cols, CAST(max(user_id % 5 + 1) AS INTEGER) AS max_cols,
+       min(user_id % 5) <> max(user_id % 5) AS irregular FROM events GROUP BY 1
+""")
+def csv_irregular_rows(spark, sf_dir):
+    """Row counts, narrowest and widest row, regularity."""
+    return csv_table.widths(ragged(spark, sf_dir), ["event_type"])
+
+
+@query("SELECT event_id AS row_idx, 5 AS width, CAST(4 - user_id % 5 AS INTEGER) AS n_empty FROM events")
+def csv_normalize_to_max(spark, sf_dir):
+    """Ragged rows padded to the widest."""
+    padded = csv_table.normalize(ragged(spark, sf_dir), "max")
+    return padded.select("row_idx", F.size("fields").alias("width"), F.size(F.filter("fields", lambda x: x == "")).alias("n_empty"))
+
+
+@query("SELECT n_nationkey, [',', ';', chr(9), '|'][n_nationkey % 4 + 1] AS delimiter, '\"' AS quote FROM nation")
+def csv_sniff_delimiter(spark, sf_dir):
+    """Dialect of a sample, found by trying candidates."""
+    d = F.element_at(F.array(*map(F.lit, [",", ";", "\t", "|"])), (F.pmod("n_nationkey", F.lit(4)) + 1).cast("int"))
+    sample = F.concat(F.lit("id"), d, F.lit("name\n"), F.col("n_nationkey").cast("string"), d, F.lit('"a ""b"""'), F.lit("\n"), F.lit("7"), d, F.col("n_name"), F.lit("\n"))
+    found = table(spark, sf_dir, "nation").select("n_nationkey", csv_table.sniff(sample).alias("s"))
+    return found.select("n_nationkey", "s.delimiter", "s.quote")
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selectors.node_table(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "html")
+
+
+def _count_by_page(selector: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return selectors.select_all(page_nodes(spark, sf_dir), ["page_id"], selector).groupBy("page_id").agg(F.count("*").alias("n"))
+
+    return run
+
+
+_COUNT = "SELECT page_id, len(regexp_extract_all(html, '{}')) AS n FROM pages WHERE len(regexp_extract_all(html, '{}')) > 0"
+for _name, _selector, _sql in (
+    ("selector_child_chain", "nav > ul > li > a[href^='/']", _COUNT.format("<li><a href=", "<li><a href=")),
+    ("selector_descendant_paragraphs", "article p", _COUNT.format("<p>", "<p>")),
+    ("selector_nth_child_odd", "nav li:nth-child(odd)", "SELECT page_id, (len(regexp_extract_all(html, '<li>')) + 1) // 2 AS n FROM pages WHERE contains(html, '<li>')"),
+    ("selector_adjacent_sibling", "li + li", "SELECT page_id, len(regexp_extract_all(html, '<li>')) - 1 AS n FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 1"),
+    ("selector_has_and_not", "body > :not(nav):not(.ad):has(h1)", "SELECT page_id, CAST(1 AS BIGINT) AS n FROM pages WHERE contains(html, '<h1>')"),
+    ("selector_list_distinct", "h1, article > h1, .ad, div", "SELECT page_id, len(regexp_extract_all(html, '<h1>')) + len(regexp_extract_all(html, '<div')) AS n FROM pages"),
+    ("selector_class_and_type", "div.ad:not([id])", _COUNT.format('<div class="ad">', '<div class="ad">')),
+):
+    QUERIES[_name], ORACLE_SQL[_name] = _count_by_page(_selector), _sql
+
+
+@query(r"SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def markup_text_content(spark, sf_dir):
+    """Text under the title element, in document order."""
+    nodes = page_nodes(spark, sf_dir)
+    titles = selectors.text_content(nodes, ["page_id"], selectors.select_first(nodes, ["page_id"], "title"))
+    return titles.select("page_id", F.col("text").alias("title"))
+
+
+@query("SELECT page_id, 0 AS n_script, len(regexp_extract_all(html, '<li><a href=')) AS n_links FROM pages")
+def html_sanitized_links(spark, sf_dir):
+    """Sanitized pages hold no script and every link kept is rel=nofollow (none is an allowed scheme of its own host here: relative ones stay)."""
+    from .functions import markup
+
+    clean = C.value_udf(markup.sanitize, "string", "html")
+    return table(spark, sf_dir, "pages").select("page_id", clean.alias("c")).select(
+        "page_id", F.size(F.regexp_extract_all("c", F.lit("(<script)"), 1)).alias("n_script"), F.size(F.regexp_extract_all("c", F.lit('(rel="nofollow")'), 1)).cast("long").alias("n_links")
+    )
+
+
+# --- relational categories on the driver tables ---
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2
+""")
+def aggregate_pricing_summary(spark, sf_dir):
+    """Grouped aggregation with a pushed-down date filter."""
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n")
+    )
+
+
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' GROUP BY 1
+""")
+def join_star_revenue(spark, sf_dir):
+    """Equi-joins of a star; small dimensions are broadcast by their size."""
+    t = lambda n: table(spark, sf_dir, n)
+    joined = (
+        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+        .join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region").where("r_name = 'ASIA'"), F.col("r_regionkey") == F.col("n_regionkey"))
+    )
+    return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3
+""")
+def window_top_orders(spark, sf_dir):
+    """Top three by a window rank."""
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("o_custkey", "o_orderkey", "rn")
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def set_except_customers(spark, sf_dir):
+    """Set difference."""
+    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()).distinct()
+
+
+@query("""
+SELECT e.event_id, p.event_id AS previous_purchase FROM events e
+LEFT JOIN LATERAL (SELECT event_id FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) < (e.ts, e.event_id) ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) p ON true
+WHERE e.event_type = 'error'
+""")
+def as_of_previous_purchase(spark, sf_dir):
+    """As-of join by a window: the latest purchase before each error of a user, one shuffle and no range join."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    marked = table(spark, sf_dir, "events").withColumn("previous_purchase", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(before))
+    return marked.where("event_type = 'error'").select("event_id", "previous_purchase")
