@@ -277,3 +277,116 @@ def as_of_previous_purchase(spark, sf_dir):
     before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     marked = table(spark, sf_dir, "events").withColumn("previous_purchase", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(before))
     return marked.where("event_type = 'error'").select("event_id", "previous_purchase")
+
+
+# --- style, INI, TOML, encodings ---
+
+from .functions import encoding_text, ini_text, toml_text  # noqa: E402
+from .operators import cascade  # noqa: E402
+from .runtime import stash  # noqa: E402
+
+#: A sheet with layers, importance, nesting, conditions and inheritance.
+SHEET = """
+@layer base, theme;
+@layer theme { p { color: green } li { color: navy !important } }
+@layer base { p { color: gray; margin: 1px 2px } li { color: teal !important } }
+nav { color: maroon; & a { color: inherit } }
+article > p:first-of-type { color: black }
+@media (min-width: 600px) and (orientation: landscape) { h1 { color: purple } }
+@media print { h1 { color: white } }
+@supports (display: grid) and (not selector(::bad::)) { footer { color: olive } }
+"""
+SCREEN = {"width": 1024, "orientation": "landscape", "type": "screen"}
+
+
+@query("""
+SELECT page_id, 'color' AS prop, 'green' AS value, len(regexp_extract_all(html, '<p>')) - 1 AS n FROM pages WHERE len(regexp_extract_all(html, '<p>')) > 1
+UNION ALL SELECT page_id, 'color', 'black', 1 FROM pages WHERE contains(html, '<p>')
+UNION ALL SELECT page_id, 'color', 'teal', len(regexp_extract_all(html, '<li>')) FROM pages WHERE contains(html, '<li>')
+UNION ALL SELECT page_id, 'color', 'maroon', 1 FROM pages
+UNION ALL SELECT page_id, 'color', 'inherit', len(regexp_extract_all(html, '<li><a')) FROM pages WHERE contains(html, '<li><a')
+UNION ALL SELECT page_id, 'color', 'purple', 1 FROM pages
+UNION ALL SELECT page_id, 'color', 'olive', 1 FROM pages
+""")
+def cascade_winners(spark, sf_dir):
+    """Winning declarations of a sheet by origin, layer, specificity and order."""
+    nodes = stash(page_nodes(spark, sf_dir), "nodes")  # read once for each selector of the sheet
+    ranked = cascade.cascade(cascade.candidates(nodes, ["page_id"], SHEET, environment=SCREEN), ["page_id"])
+    won = ranked.where("rank = 1 and prop = 'color'")
+    return won.groupBy("page_id", "prop", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, 'teal' AS value, len(regexp_extract_all(html, '<li><a')) AS n FROM pages WHERE contains(html, '<li><a')")
+def computed_inherited_color(spark, sf_dir):
+    """Computed colour of links: inherited from the nearest element with a winner."""
+    nodes = stash(page_nodes(spark, sf_dir), "nodes")  # read once for each selector of the sheet
+    ranked = cascade.cascade(cascade.candidates(nodes, ["page_id"], SHEET, environment=SCREEN), ["page_id"])
+    colors = cascade.computed(nodes, ["page_id"], ranked, "color")
+    links = selectors.select_all(nodes, ["page_id"], "nav a").select("page_id", "pre")
+    return colors.join(links, ["page_id", "pre"]).groupBy("page_id", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, 1 AS n_losers FROM pages WHERE contains(html, '<p>')")
+def cascade_losers(spark, sf_dir):
+    """Declarations that lost on the first paragraph of an article to a rule of no layer, by layer."""
+    nodes = stash(page_nodes(spark, sf_dir), "nodes")  # read once for each selector of the sheet
+    ranked = cascade.cascade(cascade.candidates(nodes, ["page_id"], SHEET, environment=SCREEN), ["page_id"])
+    lost = ranked.where("prop = 'color' and rank = 2 and value = 'green'")
+    return lost.groupBy("page_id").agg(F.count("*").cast("int").alias("n_losers"))
+
+
+def ini_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(
+        F.lit("# customers\n[Customer]\nName = \""), F.col("c_name"), F.lit("\" # note\nSegment = \""), F.col("c_mktsegment"), F.lit(" ; x\" ; note\nKey = "), F.col("c_custkey").cast("string"),
+        F.lit("\nKey = 2\n[Customer \"sub Section\"]\nflag\n"),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", t.alias("text"))
+
+
+@query("""
+SELECT c_custkey, unnest([struct_pack(g := 'customer', s := NULL, k := 'name', v := c_name), struct_pack(g := 'customer', s := NULL, k := 'segment', v := c_mktsegment || ' ; x'),
+  struct_pack(g := 'customer', s := NULL, k := 'key', v := CAST(c_custkey AS VARCHAR)), struct_pack(g := 'customer', s := NULL, k := 'key', v := '2'),
+  struct_pack(g := 'customer', s := 'sub Section', k := 'flag', v := NULL)], recursive := true) FROM customer
+""")
+def ini_git_entries(spark, sf_dir):
+    """Entries of the git-config dialect: folding, quotes, comments, subsections, bare keys, repeated keys."""
+    kind = "array<struct<group:string,subsection:string,key:string,value:string,line:int>>"
+    d = ini_text.DIALECTS["git_config"]
+    found = ini_texts(spark, sf_dir).select("c_custkey", F.explode(C.value_udf(lambda t: ini_text.entries(t, d), kind, "text")).alias("e"))
+    return found.select("c_custkey", F.col("e.group").alias("g"), F.col("e.subsection").alias("s"), F.col("e.key").alias("k"), F.col("e.value").alias("v"))
+
+
+@query("SELECT n_nationkey, n_name AS name, n_regionkey AS region, [n_nationkey, n_nationkey + 1] AS keys FROM nation")
+def toml_write_parse(spark, sf_dir):
+    """TOML written and parsed again, converted to JSON and read by pointer."""
+    doc = F.to_json(F.struct(F.struct(F.col("n_name").alias("name key"), F.struct(F.col("n_regionkey").alias("r")).alias("sub")).alias("t"), F.array("n_nationkey", F.col("n_nationkey") + 1).alias("keys")))
+
+    def round_trip(text: str) -> str:
+        from .functions import json_text
+
+        return json_text.write(toml_text.to_json(toml_text.parse(toml_text.write(toml_text.from_json(json_text.parse(text))))))
+
+    out = table(spark, sf_dir, "nation").select("n_nationkey", C.value_udf(round_trip, "string", doc).alias("j"))
+    return out.select(
+        "n_nationkey", F.get_json_object("j", "$.t['name key']").alias("name"), C.json_pointer("j", "/t/sub/r").cast("int").alias("region"),
+        F.from_json(C.json_pointer("j", "/keys"), "array<int>").alias("keys"),
+    )
+
+
+@query("""
+SELECT doc_id, length(text) AS n_utf8, length(text) AS n_utf16, 'windows-1252' AS name FROM documents
+""")
+def encoding_round_trip(spark, sf_dir):
+    """Texts encoded and decoded in UTF-8 with a byte order mark and UTF-16, and a label resolved."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    utf8 = C.value_udf(lambda t: encoding_text.decode(b"\xef\xbb\xbf" + encoding_text.encode(t, "UTF-8"), "windows-1252"), "string", "text")
+    utf16 = C.value_udf(lambda t: encoding_text.decode(t.encode("utf-16-le"), encoding_text.for_label(" UTF-16 ")), "string", "text")
+    label = C.value_udf(lambda t: encoding_text.for_label("\tLatin1\n"), "string", "text")
+    return docs.select("doc_id", F.length(utf8).alias("n_utf8"), F.length(utf16).alias("n_utf16"), label.alias("name"))
+
+
+@query("SELECT page_id, 'UTF-8' AS encoding, 'tentative' AS confidence FROM pages")
+def html_encoding_sniff(spark, sf_dir):
+    """Encoding of a page by byte order mark, transport, meta prescan, default."""
+    found = C.value_udf(lambda b: dict(zip(("encoding", "confidence"), encoding_text.sniff(bytes(b)), strict=True)), "struct<encoding:string,confidence:string>", F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("f")).select("page_id", "f.encoding", "f.confidence")

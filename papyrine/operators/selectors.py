@@ -313,18 +313,18 @@ class Matcher:
             return df.where(simple[name])
         same = lambda other: other.select(*self.ids, F.col("parent").alias("pre")).distinct()
         if name == "empty":
-            return df.join(same(children), self.key, "left_anti")
+            return self._kept(df, same(children), "left_anti")
         if name in ("is", "where", "matches"):
-            return df.join(self._list(arg).select(*self.key), self.key, "left_semi")
+            return self._kept(df, self._list(arg).select(*self.key), "left_semi")
         if name == "not":
-            return df.join(self._list(arg).select(*self.key), self.key, "left_anti")
+            return self._kept(df, self._list(arg).select(*self.key), "left_anti")
         if name == "has":
-            found = [df.join(self._has(df, c), self.key, "left_semi") for c in arg]
+            found = [self._kept(df, self._has(df, c), "left_semi") for c in arg]
             return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).dropDuplicates(self.key)
         if name in ("first-of-type", "last-of-type", "only-of-type"):
             index, count = self._counted(True, False), self._counted(True, True)
-            out = df if name == "last-of-type" else df.join(index.where("_n = 1").select(*self.key), self.key, "left_semi")
-            return out if name == "first-of-type" else out.join(count.where("_n = 1").select(*self.key), self.key, "left_semi")
+            out = df if name == "last-of-type" else self._kept(df, index.where("_n = 1").select(*self.key), "left_semi")
+            return out if name == "first-of-type" else self._kept(out, count.where("_n = 1").select(*self.key), "left_semi")
         if name.startswith("nth-"):
             (a, b), of = arg
             last, typed = "last" in name, name.endswith("of-type")
@@ -332,12 +332,12 @@ class Matcher:
                 n = F.col("sib_count") - F.col("sib_idx") if last else F.col("sib_idx") + 1
                 return df.where(_nth(n, a, b))
             counted = self._counted(typed, last, self._list(of) if of else None)
-            return df.join(counted.where(_nth(F.col("_n"), a, b)).select(*self.key), self.key, "left_semi")
+            return self._kept(df, counted.where(_nth(F.col("_n"), a, b)).select(*self.key), "left_semi")
         if name == "lang":
             langs = self.elements.where(F.col("attrs")["lang"].isNotNull()).select(*self.ids, F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), F.lower(F.col("attrs")["lang"]).alias("_lang"))
             close = df.join(langs, self.ids).where("pre >= _pre and pre < _post").groupBy(*self.key).agg(F.max_by("_lang", "_depth").alias("_lang"))
             wanted = reduce(Column.__or__, [(F.col("_lang") == x.lower()) | F.col("_lang").startswith(x.lower() + "-") for x in arg])
-            return df.join(close.where(wanted).select(*self.key), self.key, "left_semi")
+            return self._kept(df, close.where(wanted).select(*self.key), "left_semi")
         raise TextError("selector", f":{name} is not supported")
 
     def _has(self, df: DataFrame, c: Complex) -> DataFrame:
@@ -359,6 +359,11 @@ class Matcher:
             first = False
         return current.select(*self.ids, F.col("_a").alias("pre")).distinct()
 
+    def _kept(self, df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        """Semi or anti join on the element's key; null ids equal each other."""
+        other = keys.select(*[F.col(c).alias(f"_k_{c}") for c in self.key])
+        return df.join(other, reduce(Column.__and__, [df[c].eqNullSafe(other[f"_k_{c}"]) for c in self.key]), how)
+
     def _counted(self, typed: bool, last: bool, among: DataFrame | None = None) -> DataFrame:
         """Element keys with _n, their place among siblings (of one type; among a selection)."""
         order = F.col("sib_idx").desc() if last else F.col("sib_idx")
