@@ -390,3 +390,61 @@ def html_encoding_sniff(spark, sf_dir):
     """Encoding of a page by byte order mark, transport, meta prescan, default."""
     found = C.value_udf(lambda b: dict(zip(("encoding", "confidence"), encoding_text.sniff(bytes(b)), strict=True)), "struct<encoding:string,confidence:string>", F.col("html").cast("binary"))
     return table(spark, sf_dir, "pages").select("page_id", found.alias("f")).select("page_id", "f.encoding", "f.confidence")
+
+
+# --- YAML, JSON Schema ---
+
+from .functions import json_schema, json_text, yaml_text  # noqa: E402
+
+
+@query("SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+def yaml_write_parse(spark, sf_dir):
+    """Turns written as YAML, parsed again, and read from the JSON they convert to."""
+    doc = F.to_json(F.struct("role", F.array(F.struct("text", "turn")).alias("parts")))
+
+    def round_trip(text: str) -> str:
+        return json_text.write(yaml_text.parse(yaml_text.write(json_text.parse(text))))
+
+    out = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.value_udf(round_trip, "string", doc).alias("j"))
+    return out.select("conv_id", "turn", F.get_json_object("j", "$.role").alias("role"), F.length(F.get_json_object("j", "$.parts[0].text")).alias("n_chars"))
+
+
+@query("SELECT n_nationkey, 3 AS n_documents, n_name AS name, 'x' || n_regionkey AS merged FROM nation")
+def yaml_anchors_and_documents(spark, sf_dir):
+    """A stream of documents with an anchor, an alias and a merge key."""
+    t = F.concat(F.lit("--- \nbase: &b {name: '"), F.col("n_name"), F.lit("', r: x"), F.col("n_regionkey").cast("string"), F.lit("}\nuse:\n  <<: *b\n  name: other\nagain: *b\n---\n- 1\n...\n---\nplain\n"))
+
+    def run(text: str) -> dict:
+        found = yaml_text.documents(text)
+        return {"n": len(found), "name": found[0]["again"]["name"], "merged": found[0]["use"]["r"]}
+
+    got = table(spark, sf_dir, "nation").select("n_nationkey", C.value_udf(run, "struct<n:int,name:string,merged:string>", t).alias("f"))
+    return got.select("n_nationkey", F.col("f.n").alias("n_documents"), "f.name", "f.merged")
+
+
+ORDER_SCHEMA = """{"type":"object","required":["key","status","lines"],"additionalProperties":false,"properties":{
+ "key":{"type":"integer"},"status":{"enum":["O","F","P"]},"lines":{"type":"array","minItems":1,"items":{"$ref":"#/$defs/line"}}},
+ "$defs":{"line":{"type":"object","properties":{"q":{"maximum":48}},"required":["n","p","q","flag"]}}}"""
+
+
+@query("""
+SELECT o_orderkey, max(CAST(l_quantity AS INTEGER)) <= 48 AS valid FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1
+""")
+def json_schema_verdict(spark, sf_dir):
+    """Documents validated against a schema compiled on the driver."""
+    schema = json_schema.Schema(json_text.parse(ORDER_SCHEMA))
+    verdict = C.value_udf(lambda t: schema.validate(json_text.parse(t))["valid"], "boolean", "doc")
+    return order_documents(spark, sf_dir).select("o_orderkey", verdict.alias("valid"))
+
+
+@query("""
+SELECT o_orderkey, '/lines/' || (rn - 1) || '/q' AS pointer FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY rn) AS first FROM (
+    SELECT l_orderkey AS o_orderkey, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER), l_returnflag) AS rn
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE q > 48) WHERE first = 1
+""")
+def json_schema_first_failure(spark, sf_dir):
+    """Pointer of the first failing location."""
+    schema = json_schema.Schema(json_text.parse(ORDER_SCHEMA))
+    where = C.value_udf(lambda t: schema.validate(json_text.parse(t))["pointer"], "string", "doc")
+    return order_documents(spark, sf_dir).select("o_orderkey", where.alias("pointer")).where("pointer is not null")
