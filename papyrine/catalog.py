@@ -448,3 +448,43 @@ def json_schema_first_failure(spark, sf_dir):
     schema = json_schema.Schema(json_text.parse(ORDER_SCHEMA))
     where = C.value_udf(lambda t: schema.validate(json_text.parse(t))["pointer"], "string", "doc")
     return order_documents(spark, sf_dir).select("o_orderkey", where.alias("pointer")).where("pointer is not null")
+
+
+# --- values and timing ---
+
+from .functions import css_values  # noqa: E402
+from .operators import timing  # noqa: E402
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(2, least(l_quantity * 96 / 72 + 10, 60)), 6) AS px FROM lineitem WHERE l_linenumber = 1")
+def css_math_clamp(spark, sf_dir):
+    """Math functions over units, resolved to canonical units."""
+    expr = F.concat(F.lit("clamp(2px, calc("), F.col("l_quantity").cast("string"), F.lit("pt + 10px), 60px)"))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.round(C.value_udf(lambda t: css_values.evaluate(t)[0], "double", expr), 6).alias("px"))
+
+
+@query("""
+WITH t AS (SELECT event_id, (event_id % 50) / 10.0 AS local FROM events)
+SELECT event_id, CASE WHEN local < 1 THEN 'before' WHEN local >= 4 THEN 'after' ELSE 'active' END AS phase,
+  round(CASE WHEN local < 1 THEN 0 WHEN local >= 4 THEN 1 WHEN CAST(floor((local - 1) / 1.5) AS INTEGER) % 2 = 1 THEN 1 - ((local - 1) / 1.5 - floor((local - 1) / 1.5))
+    ELSE (local - 1) / 1.5 - floor((local - 1) / 1.5) END, 6) AS progress FROM t WHERE NOT (local >= 4)
+""")
+def animation_progress(spark, sf_dir):
+    """Phase and directed progress of an alternating effect at given times."""
+    lit = F.lit
+    local = F.pmod("event_id", lit(50)) / lit(10.0)
+    delay, duration, iterations = lit(1.0), lit(1.5), lit(2.0)
+    active = timing.active_time(local, delay, duration, iterations, lit("both"))
+    _, progress = timing.iteration_progress(active, duration, iterations, lit("alternate"))
+    return table(spark, sf_dir, "events").where(local < 4).select("event_id", timing.phase(local, delay, duration, iterations).alias("phase"), F.round(progress, 6).alias("progress"))
+
+
+@query("""
+SELECT event_id, round(CASE WHEN p < 0.25 THEN p / 0.25 * 10 ELSE 10 + (p - 0.25) / 0.75 * 20 END, 6) AS value FROM (SELECT event_id, (event_id % 100) / 100.0 AS p FROM events)
+""")
+def keyframe_sampling(spark, sf_dir):
+    """Keyframes bracketing a progress, interpolated."""
+    times = table(spark, sf_dir, "events").select("event_id", F.lit("a").alias("name"), (F.pmod("event_id", F.lit(100)) / F.lit(100.0)).alias("progress"))
+    frames = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.25, 10.0), ("a", 1.0, 30.0)], "name string, offset double, value double")
+    return timing.sample_keyframes(times, F.broadcast(frames), ["name"]).select("event_id", F.round("value", 6).alias("value"))
