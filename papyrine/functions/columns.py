@@ -146,3 +146,117 @@ def json_equal(a: Column | str, b: Column | str) -> Column:
 def json_records(column: Column | str, mode: str, options: Options = Options(), on_error: str = "raise") -> Column:
     """JSON texts of the records of a sequence (off, whitespace, line, seq)."""
     return value_udf(lambda t: [json_text.write(v) for v in json_text.records(t, mode, options)], "array<string>", column, on_error=on_error)
+
+
+# --- other formats ---
+
+
+def yaml_to_json(column: Column | str, options=None, on_error: str = "raise") -> Column:
+    """JSON text of a YAML text of one document."""
+    from . import yaml_text
+
+    chosen = options or yaml_text.YamlOptions()
+    return value_udf(lambda t: json_text.write(yaml_text.parse(t, chosen)), "string", column, on_error=on_error)
+
+
+def yaml_documents(column: Column | str, options=None, on_error: str = "raise") -> Column:
+    """JSON texts of the documents of a YAML stream."""
+    from . import yaml_text
+
+    chosen = options or yaml_text.YamlOptions()
+    return value_udf(lambda t: [json_text.write(v) for v in yaml_text.documents(t, chosen)], "array<string>", column, on_error=on_error)
+
+
+def json_to_yaml(column: Column | str, indent: int = 2, on_error: str = "raise") -> Column:
+    from . import yaml_text
+
+    return value_udf(lambda t: yaml_text.write(json_text.parse(t), indent), "string", column, on_error=on_error)
+
+
+def toml_to_json(column: Column | str, nonfinite: str = "error", on_error: str = "raise") -> Column:
+    from . import toml_text
+
+    return value_udf(lambda t: json_text.write(toml_text.to_json(toml_text.parse(t), nonfinite)), "string", column, on_error=on_error)
+
+
+def json_to_toml(column: Column | str, nulls: str = "error", on_error: str = "raise") -> Column:
+    from . import toml_text
+
+    return value_udf(lambda t: toml_text.write(toml_text.from_json(json_text.parse(t), nulls)), "string", column, on_error=on_error)
+
+
+def toml_events(column: Column | str, on_error: str = "raise") -> Column:
+    """Leaf assignments of a TOML text in document order."""
+    from . import toml_text
+
+    return value_udf(toml_text.events, "array<struct<path:string,kind:string,value:string>>", column, on_error=on_error)
+
+
+def ini_entries(column: Column | str, dialect: str = "generic", on_error: str = "raise") -> Column:
+    """Entries of an INI text in file order, duplicates kept."""
+    from . import ini_text
+
+    chosen = ini_text.DIALECTS[dialect]
+    return value_udf(lambda t: ini_text.entries(t, chosen), "array<struct<group:string,subsection:string,key:string,value:string,line:int>>", column, on_error=on_error)
+
+
+def json_validate(column: Column | str, schema: str, draft: str = "2020-12", formats: bool = False, options: Options = Options()) -> Column:
+    """Verdict, pointer of the first failure and message; the schema is compiled on the driver."""
+    from . import json_schema
+
+    compiled = json_schema.Schema(json_text.parse(schema), draft, formats=formats)
+    return value_udf(lambda t: compiled.validate(json_text.parse(t, options)), "struct<valid:boolean,pointer:string,message:string>", column, on_error="null")
+
+
+def yaml_validate(column: Column | str, schema: str, draft: str = "2020-12", formats: bool = False) -> Column:
+    """JSON Schema over a YAML text."""
+    from . import json_schema, yaml_text
+
+    compiled = json_schema.Schema(json_text.parse(schema), draft, formats=formats)
+    return value_udf(lambda t: compiled.validate(yaml_text.parse(t)), "struct<valid:boolean,pointer:string,message:string>", column, on_error="null")
+
+
+def html_sanitize(column: Column | str) -> Column:
+    from . import markup
+
+    return value_udf(markup.sanitize, "string", column)
+
+
+def html_normalize(column: Column | str) -> Column:
+    """HTML text of the parsed tree."""
+    from . import markup
+
+    return value_udf(lambda t: markup.serialize_html(markup.parse_html(t)), "string", column)
+
+
+def xml_normalize(column: Column | str, on_error: str = "raise") -> Column:
+    """XML text of the parsed tree; a text that is not well-formed is an error with its place."""
+    from . import markup
+
+    return value_udf(lambda t: markup.serialize_xml(markup.parse_xml(t)), "string", column, on_error=on_error)
+
+
+def decode(column: Column | str, label: str, errors: str = "replacement", on_error: str = "raise") -> Column:
+    """Text of a binary column in the encoding of a label."""
+    from . import encoding_text
+
+    name = encoding_text.for_label(label)
+    if name is None:
+        raise TextError("encoding", f"unknown label {label!r}")
+    return value_udf(lambda b: encoding_text.decode(bytes(b), name, errors), "string", column, on_error=on_error)
+
+
+def encode(column: Column | str, label: str, errors: str = "fatal", on_error: str = "raise") -> Column:
+    from . import encoding_text
+
+    name = encoding_text.for_label(label)
+    if name is None:
+        raise TextError("encoding", f"unknown label {label!r}")
+    return value_udf(lambda t: encoding_text.encode(t, name, errors), "binary", column, on_error=on_error)
+
+
+def css_color(column: Column | str) -> Column:
+    """Serialized sRGB colour, null if it is none."""
+    from . import css_values
+
+    return value_udf(lambda t: css_values.serialize_color(css_values.color(t)), "string", column, on_error="null")
