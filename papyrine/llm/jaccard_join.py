@@ -214,8 +214,6 @@ def index_keys(n: int, unique: int, rare: np.ndarray, often: np.ndarray, high: n
 
 def _index(suspects: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
     shared = suspects.sparkSession.sparkContext.broadcast(often)
-    columns = ["doc_id", "n", "unique", *_SKETCH]
-
     def make():
         frequent = shared.value
 
@@ -232,11 +230,11 @@ def _index(suspects: DataFrame, often: np.ndarray, num: int, den: int) -> DataFr
             count = np.array([len(x) for x in keys], np.int64)
             rows = pa.array(np.repeat(np.arange(len(sizes)), count))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            return pa.RecordBatch.from_arrays([_signed(flat), *(b.column(c).take(rows) for c in columns)], names=["key", *columns])
+            return pa.RecordBatch.from_arrays([_signed(flat), b.column("doc_id").take(rows)], names=["key", "doc_id"])
 
         return step
 
-    return stash(arrow_map(suspects, make, "key long" + "".join(f", {c} long" for c in columns)), "index")
+    return stash(arrow_map(suspects, make, "key long, doc_id long"), "index")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -261,8 +259,11 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), make, "a long, b long").distinct()
 
 
-def _sets(thin: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Whole sets of the wanted documents."""
+def _sets(thin: DataFrame, pairs: DataFrame, k: int, max_broadcast: int = 1 << 20) -> DataFrame:
+    """Whole sets of the documents of the pairs; their ids are broadcast up to ``max_broadcast``, joined beyond."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    if pairs.count() * 2 <= max_broadcast:
+        wanted = F.broadcast(wanted)
 
     def make():
         return lambda b: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.tobytes() for t in _batch_sets(b, k)], pa.binary())], names=["doc_id", "tokens"])
@@ -280,7 +281,7 @@ def link_components(
     frequent: int = 64,
     max_frequent: int = 1 << 20,
     filter_bytes: int = 64 << 20,
-    pivot_rounds: int = 2,
+    pivot_rounds: int = 1,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; the component is its smallest doc_id."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -293,11 +294,14 @@ def link_components(
     index = _index(suspects, _frequent_tokens(suspects, frequent, max_frequent), num, den)
     shared = index.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
     index = stash(index.join(shared, "key").distinct(), "index")
+    described = ["n", "unique", *_SKETCH]
+    about = suspects.select("doc_id", *described)
+    other = about.select(*[F.col(c).alias(f"other_{c}") for c in about.columns])
     apart = f"n + other_n - 2 * (({num} * (n + other_n) + {num + den - 1}) div {num + den})"
     differing = " + ".join(f"bit_count({c} ^ other_{c})" for c in _SKETCH)
     near = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) and unique + other_unique <= {apart} and {differing} <= {apart}"
-    described = ["n", "unique", *_SKETCH, "component"]
-    sets = _sets(thin, index.select("doc_id").distinct(), k)
+    pair = [F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")]
+
     found = stash(links.distinct(), "links")
     tried = None
     for turn in range(pivot_rounds + 1):
@@ -307,17 +311,18 @@ def link_components(
         rows = stash(rows.join(open_keys, "key"), "open")
         if turn < pivot_rounds:
             rank = F.xxhash64("component", F.lit(turn)) if turn else F.col("component")
-            pivots = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", *described)).alias("p"))
-            right = pivots.select("key", F.col("p.doc_id").alias("other"), *[F.col(f"p.{c}").alias(f"other_{c}") for c in described])
-            pairs = rows.join(right, "key").where("component <> other_component")
+            pivots = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("p"))
+            pivots = pivots.select("key", F.col("p.doc_id").alias("other_doc_id"), F.col("p.component").alias("other_component"))
+            met = rows.join(pivots, "key").where("component <> other_component").select("doc_id", "other_doc_id").distinct()
+            pairs = met.join(about, "doc_id").join(other, "other_doc_id").where(near).select(*pair).distinct()
         else:
-            right = rows.select("key", F.col("doc_id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in described])
-            pairs = rows.join(right, "key").where("component < other_component")
-        pairs = pairs.where(near).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+            wide = rows.join(about, "doc_id")
+            right = wide.select("key", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "component", *described)])
+            pairs = wide.join(right, "key").where("component < other_component").where(near).select(*pair).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
-        found = stash(found.unionByName(verify(pairs, sets, num, den)), "links")
+        found = stash(found.unionByName(verify(pairs, _sets(thin, pairs, k), num, den)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
     of = connected_components(found).withColumnRenamed("node", "doc_id")
     whole = table.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
