@@ -178,7 +178,7 @@ def unescape(value: str, d: IniDialect) -> str:
 def split_list(value: str, d: IniDialect) -> list[str]:
     """Items of a list value; a separator may be escaped and one at the end adds nothing."""
     sep = d.list_separator or ";"
-    parts = re.split(rf"(?<!\\)(?:\\\\)*\K{re.escape(sep)}", value) if False else re.findall(rf"((?:\\.|[^\\{re.escape(sep)}])*)(?:{re.escape(sep)}|$)", value, re.S)
+    parts = re.findall(rf"((?:\\.|[^\\{re.escape(sep)}])*)(?:{re.escape(sep)}|$)", value, re.S)
     if parts and parts[-1] == "":
         parts.pop()
     return [unescape(p, d) for p in parts]

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
-_stashes: list[tuple[SparkSession, str]] = []
+_stashes: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,16 +62,30 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _stashes.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _stashes[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stashed_at = path
+    return made
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Remove stashed tables that nothing will read again."""
+    for df in stashed:
+        path = getattr(df, "_stashed_at", None)
+        if path in _stashes:
+            _delete(_stashes.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _stashes:
+    for path, spark in _stashes.items():
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone
             return
 
