@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stash
+from ..runtime import drop, stash
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where("u > v").distinct()
         )
-        edges = stash(small, "edges")
+        edges, old = stash(small, "edges"), edges
+        drop(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_map, stash
+from ..runtime import arrow_map, drop, stash
 from . import kernels
 from .bloom import PARTIAL_SCHEMA, collect_twice, partials, slices_for
 from .graph import connected_components
@@ -293,7 +293,8 @@ def link_components(
     suspects = _suspect_sets(thin, known.agg(F.sum("n")).first()[0] or 0, k, num, den, filter_bytes)
     index = _index(suspects, _frequent_tokens(suspects, frequent, max_frequent), num, den)
     shared = index.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    index = stash(index.join(shared, "key").distinct(), "index")
+    index, old = stash(index.join(shared, "key").distinct(), "index"), index
+    drop(old)
     described = ["n", "unique", *_SKETCH]
     about = suspects.select("doc_id", *described)
     other = about.select(*[F.col(c).alias(f"other_{c}") for c in about.columns])
@@ -322,8 +323,11 @@ def link_components(
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
-        found = stash(found.unionByName(verify(pairs, _sets(thin, pairs, k), num, den)), "links")
+        sets = _sets(thin, pairs, k)
+        found, old = stash(found.unionByName(verify(pairs, sets, num, den)), "links"), found
+        drop(rows, sets, old)
         tried = pairs if tried is None else tried.unionByName(pairs)
+    drop(index, suspects)
     of = connected_components(found).withColumnRenamed("node", "doc_id")
     whole = table.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") >= 0, F.col("doc_id"))).alias("component_id"))
