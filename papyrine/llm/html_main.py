@@ -7,9 +7,10 @@
    winning path is the one with the largest sum.  Hosts with a single page or a
    split vote still have a winner; the page's own best container is the
    fallback where the winning path is absent.
-3. Pages are joined with their host's winner (an equi-join that adaptive
-   execution broadcasts or splits by size) and extracted again from the
-   containers on the winning path.
+3. Pages get their host's winner and are extracted again from the containers on
+   the winning path.  Up to ``max_broadcast`` hosts the counted winners are
+   broadcast and no page moves; beyond it the join is salted, so that a host with
+   a third of all pages is spread over many tasks.
 
 Parsing follows the HTML rules that matter here: raw text of script, style,
 textarea and title, comments, void elements, implied ends of p, li, dt, dd,
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import arrow_map
+from ..runtime import arrow_map, stash
 
 #: Fixed values of the HTML standard: elements by their part in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -290,11 +291,17 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return votes.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("host", "path")
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", max_broadcast: int = 200_000, salts: int = 64) -> DataFrame:
     """``pages`` with text (main text) and n_chars (its code points) in place of the html."""
-    base = pages.drop("text", "n_chars", "_host", "_path")
-    winners = winning_paths(base, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    joined = base.withColumn("_host", host(F.col(url_col))).join(winners, "_host", "left").drop("_host")
+    base = pages.drop("text", "n_chars", "_host", "_path", "_salt")
+    winners = stash(winning_paths(base, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "hosts")
+    hosted = base.withColumn("_host", host(F.col(url_col)))
+    if winners.count() <= max_broadcast:
+        joined = hosted.join(F.broadcast(winners), "_host", "left").drop("_host")
+    else:
+        salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        hosted = hosted.withColumn("_salt", F.pmod(F.xxhash64(F.coalesce(url_col, F.lit("")), F.length(html_col)), F.lit(salts)))
+        joined = hosted.join(salted, ["_host", "_salt"], "left").drop("_host", "_salt")
     kept = [f for f in base.schema.fields if f.name != html_col]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
