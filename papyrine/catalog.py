@@ -477,7 +477,7 @@ def animation_progress(spark, sf_dir):
     delay, duration, iterations = lit(1.0), lit(1.5), lit(2.0)
     active = timing.active_time(local, delay, duration, iterations, lit("both"))
     _, progress = timing.iteration_progress(active, duration, iterations, lit("alternate"))
-    return table(spark, sf_dir, "events").where(local < 4).select("event_id", timing.phase(local, delay, duration, iterations).alias("phase"), F.round(progress, 6).alias("progress"))
+    return table(spark, sf_dir, "events").select("event_id", timing.phase(local, delay, duration, iterations).alias("phase"), F.round(progress, 6).alias("progress"))
 
 
 @query("""
