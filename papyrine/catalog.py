@@ -460,7 +460,7 @@ from .operators import timing  # noqa: E402
 def css_math_clamp(spark, sf_dir):
     """Math functions over units, resolved to canonical units."""
     expr = F.concat(F.lit("clamp(2px, calc("), F.col("l_quantity").cast("string"), F.lit("pt + 10px), 60px)"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.round(C.value_udf(lambda t: css_values.evaluate(t)[0], "double", expr), 6).alias("px"))
 
 
