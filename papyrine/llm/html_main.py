@@ -17,7 +17,11 @@ textarea and title, comments, void elements, implied ends of p, li, dt, dd,
 option, tr, td and th, and end tags that match nothing.  Boilerplate parts
 (menus, headers, footers, asides, forms, notices, adverts, reader comments, by
 tag, role or class word) are left out wherever they stand, except headers within
-an article that hold its heading.
+an article that hold its heading.  A class or id counts as a word of boilerplate
+only if it holds nothing else (``sidebar``, ``cookie-banner``, ``ad-1``); compounds
+such as ``site-footer`` or ``with-sidebar`` stay in the text and only count against
+a container.  Neither applies to an element that holds the page's article or main,
+or most of its unlinked text.
 
 Defined results: null or empty html gives an empty text; character references
 are decoded, white space inside a block (line breaks included) becomes one
@@ -58,6 +62,8 @@ SKIP_WORDS = frozenset(
     "aside footer footers breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations toolbar pagination pager widget widgets masthead skip".split()
 )
+#: Words of readers' comments, which may well be longer than the text they follow.
+READER_WORDS = frozenset("comment comments disqus reply replies respond".split())
 _TAG = re.compile(
     r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)"
     r"|!--(?:-?>|.*?(?:--!?>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))",
@@ -67,30 +73,38 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _NO_ATTRIBUTES: dict[str, str] = {}
+_NO_WORDS: frozenset[str] = frozenset()
 _CONTAINERS = frozenset("article main section div td body".split())
 
 
 class Node:
-    """An element; ``parts`` holds texts and nodes in order."""
+    """An element; ``parts`` holds texts and nodes in order.
 
-    __slots__ = ("tag", "key", "parent", "parts", "skip", "depth")
+    ``named`` tells what its class and id say: 2 boilerplate, 1 a compound with such a word, 0 nothing.
+    """
+
+    __slots__ = ("tag", "key", "parent", "parts", "skip", "depth", "named", "words")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
+        self.named, self.words = 0, _NO_WORDS
         if not attributes:
             self.key, self.skip = tag, tag in SKIP_TAGS
             return
         names = attributes.get("class", "").lower()
         words = sorted({w for w in _WORDS.findall(names) if len(w) > 1})
         self.key = tag + "".join("." + w for w in words[:4])
-        found = set(re.split(r"[^a-z]+", f"{names} {attributes.get('id', '').lower()}"))
         self.skip = (
             tag in SKIP_TAGS
-            or bool(found & SKIP_WORDS) and tag not in ("html", "body", "article", "main")
             or attributes.get("role", "").lower() in SKIP_ROLES
             or "hidden" in attributes or attributes.get("aria-hidden") == "true"
         )
+        names = f"{names} {attributes.get('id', '').lower()}"
+        self.words = SKIP_WORDS.intersection(_WORDS.findall(names))
+        if self.words and not self.skip and tag not in ("html", "body", "article", "main"):
+            self.named = 2 if any((own := _WORDS.findall(name)) and SKIP_WORDS.issuperset(own) for name in names.split()) else 1
+            self.skip = self.named == 2
 
     def path(self) -> str:
         keys, node = [], self
@@ -120,7 +134,7 @@ def _attributes(raw: str) -> dict[str, str]:
 def parse(text: str) -> Node:
     """Tree of a page under a root element; never fails."""
     root = Node("html", {}, None)
-    stack = [root]
+    stack, named = [root], False
     at, n = 0, len(text)
     while at < n:
         lt = text.find("<", at)
@@ -153,6 +167,7 @@ def parse(text: str) -> Node:
             _close(stack, *IMPLIED_END[tag])
         node = Node(tag, _attributes(m[3]), stack[-1])
         stack[-1].parts.append(node)
+        named = named or node.named > 0
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(text, at)
             close = end.start() if end else n
@@ -160,9 +175,59 @@ def parse(text: str) -> Node:
             at = n if not end else text.find(">", close) + 1 or n
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCK - {"hr"}:
             stack.append(node)
+    if named:
+        _keep_holders(root)
     return root
 
 
+def _keep_holders(root: Node) -> None:
+    """Take the mark of boilerplate from named elements that hold the article or most of the unlinked text."""
+    order: list[Node] = []
+    size: dict[int, int] = {}
+    pending: list[tuple[Node, bool]] = [(root, False)]
+    while pending:
+        node, linked = pending.pop()
+        if node.skip and not node.named or node.tag == "title":
+            continue
+        order.append(node)
+        linked = linked or node.tag == "a"
+        size[id(node)] = 0 if linked else sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        pending.extend((p, linked) for p in node.parts if isinstance(p, Node))
+    held: dict[int, int] = {}
+    mains: set[int] = set()
+    for node in reversed(order):
+        own = id(node)
+        if node.tag == "main":
+            mains.add(own)
+        if node.tag in ("article", "main") and not node.words:
+            held[own] = max(held.get(own, 0), size[own])
+        if node.parent is not None:
+            up = id(node.parent)
+            size[up] += size[own]
+            held[up] = max(held.get(up, 0), held.get(own, 0))
+            if own in mains:
+                mains.add(up)
+    whole = max(1, size[id(root)])
+    outside, dropped = 0, set()
+    for node in order:
+        if node.skip or node.parent is not None and id(node.parent) in dropped:
+            dropped.add(id(node))
+        elif node.tag in ("article", "main"):
+            outside = max(outside, size[id(node)])
+    dropped.clear()
+    for node in order:
+        own = id(node)
+        if node.parent is not None and id(node.parent) in dropped:
+            dropped.add(own)
+        elif node.named:
+            article = held.get(own, 0)
+            most = 2 * size[own] > whole and 5 * outside <= whole and (node.named == 1 or not node.words & READER_WORDS)
+            if own in mains or 5 * article > whole and article >= outside or most:
+                node.named, node.skip = 0, False
+            elif node.skip:
+                dropped.add(own)
+
+
 def _close(stack: list[Node], tags: set[str], stop: set[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in stop:
@@ -219,7 +284,7 @@ def score_containers(root: Node) -> list[tuple[float, Node]]:
         if node.skip and node is not root:
             continue
         order.append(node)
-        linked = linked or node.tag == "a"
+        linked = linked or node.tag == "a" or node.named == 1
         size = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         own[id(node)] = [0.0 if linked else size, size if linked else 0.0]
         pending.extend((p, linked) for p in node.parts if isinstance(p, Node))
