@@ -6,7 +6,9 @@
 2. Votes are summed by (host, path) with map-side combination and each host's
    winning path is the one with the largest sum.  Hosts with a single page or a
    split vote still have a winner; the page's own best container is the
-   fallback where the winning path is absent.
+   fallback where the winning path is absent or holds less than half the unlinked
+   text of that container (a page of another template).  An inner container is
+   better than an outer one only if it sheds links or boilerplate.
 3. Pages get their host's winner and are extracted again from the containers on
    the winning path.  Up to ``max_broadcast`` hosts the counted winners are
    broadcast and no page moves; beyond it the join is salted, so that a host with
@@ -274,14 +276,17 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def score_containers(root: Node) -> list[tuple[float, Node]]:
-    """(score, container): text length that counts, less what stands in links; articles and mains count more."""
+def score_containers(root: Node) -> tuple[list[tuple[float, Node]], dict[int, list[float]]]:
+    """(score, container) from the best: text length that counts, less what stands in links; articles and mains count more.
+
+    Equal scores mean equal texts, where the inner container is taken.  Also the [unlinked, linked] text of every kept node by its identity.
+    """
     own: dict[int, list[float]] = {}
     order: list[Node] = []
     pending: list[tuple[Node, bool]] = [(root, False)]
     while pending:
         node, linked = pending.pop()
-        if node.skip and node is not root:
+        if node is not root and (_dropped(node) or node.tag == "title"):
             continue
         order.append(node)
         linked = linked or node.tag == "a" or node.named == 1
@@ -300,12 +305,12 @@ def score_containers(root: Node) -> list[tuple[float, Node]]:
             text, links = total[id(node)]
             share = text / whole
             bonus = {"article": 0.5, "main": 0.4}.get(node.tag, 0.0) if share > 0.2 else 0.0
-            found.append((share - links / max(1.0, text + links) + bonus + 0.01 * node.depth, node))
-    return sorted(found, key=lambda x: -x[0])
+            found.append((share - links / max(1.0, text + links) + bonus, node))
+    return sorted(found, key=lambda x: (-x[0], -x[1].depth)), total
 
 
 def best_container(root: Node) -> Node:
-    found = score_containers(root)
+    found, _ = score_containers(root)
     return found[0][1] if found and found[0][0] > 0 else root
 
 
@@ -324,8 +329,11 @@ def extract(html: str | None, path: str | None) -> str:
         return ""
     root = parse(html)
     chosen = on_path(root, path) if path else []
-    text = "\n".join(b for node in chosen for b in blocks(node))
-    return text or "\n".join(blocks(best_container(root)))
+    found, total = score_containers(root)
+    best = found[0][1] if found and found[0][0] > 0 else root
+    held = sum(total[id(node)][0] for node in chosen if id(node) in total)
+    text = "\n".join(b for node in chosen for b in blocks(node)) if 2 * held >= total[id(best)][0] else ""
+    return text or "\n".join(blocks(best))
 
 
 def host(url: Column) -> Column:
@@ -341,7 +349,7 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             votes: dict[tuple[str, str], float] = {}
             for own, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                found = score_containers(parse(page))
+                found, _ = score_containers(parse(page))
                 if found and found[0][0] > 0:
                     key = (own, found[0][1].path())
                     votes[key] = votes.get(key, 0.0) + 1
