@@ -8,8 +8,12 @@ factor of four however long the document is.  Items and windows are sketched by
 one-permutation MinHash with four bins for each shingle of a window; an item is a
 candidate for a document if a window's minimum equals the item's in any bin (one
 row a band).  A window's minimum can only equal an item's if that shingle is in
-the document, so bins are computed only around such shingles.  Candidates are
-verified by exact containment of the item's whole set in the document's.
+the document, so bins are computed only around such shingles.  Items of classes
+up to ``DIRECT_CLASS`` (fewer than 8 shingles) are too small for a sketch: every
+document that holds any of their shingles is a candidate.  Candidates are verified
+by exact containment of the item's whole set in the document's, so nothing is found
+wrongly, small items are all found, and a larger one is missed only if no minimum
+of any shared shingle's bin survives in a window.
 
 Items are collected in blocks of bounded count and bytes and each block is one
 pass over the documents; documents are never shuffled.
@@ -32,6 +36,8 @@ from pyspark.sql import types as T
 from ..runtime import arrow_map
 from . import kernels
 
+#: Largest class of items that are found by their shingles without sketches.
+DIRECT_CLASS = 2
 LEAK = "array<struct<item_id:bigint,item_shingles:bigint,shared:bigint,containment:double>>"
 
 
@@ -42,15 +48,20 @@ class ItemIndex:
         words = kernels.hash_words(*kernels.text_buffer(pa.array(texts, pa.binary())))
         self.ids, self.sets, self.k = ids, list(kernels.shingle_sets(words, k)), k
         self.bands: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        self.direct: dict[int, list[int]] = defaultdict(list)
         classes = set()
         for i, own in enumerate(self.sets):
             if len(own):
                 c = len(own).bit_length() - 1
+                if c <= DIRECT_CLASS:
+                    for v in own.tolist():
+                        self.direct[v].append(i)
+                    continue
                 classes.add(c)
                 for b, v in self.signature(own, c):
                     self.bands[c, b, v].append(i)
         self.classes = sorted(classes)
-        self.values = np.unique(np.array([v for _, _, v in self.bands], np.uint64))
+        self.values = np.unique(np.array([*(v for _, _, v in self.bands), *self.direct], np.uint64))
         self.bitmap = np.zeros(1 << 21, np.uint8)
         at = (self.values >> np.uint64(40)).astype(np.int64)
         np.bitwise_or.at(self.bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
@@ -66,7 +77,7 @@ class ItemIndex:
         return list(zip(bins.tolist(), ordered[first].tolist(), strict=True))
 
     def hits(self, stream: np.ndarray) -> np.ndarray:
-        """Positions of shingles that are the minimum of some item's bin."""
+        """Positions of shingles that are the minimum of some item's bin, or of a small item."""
         at = (stream >> np.uint64(40)).astype(np.int64)
         maybe = np.flatnonzero((self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
         if not len(maybe) or not len(self.values):
@@ -76,8 +87,11 @@ class ItemIndex:
         return maybe[self.values[where] == found]
 
     def candidates(self, shingles: np.ndarray, hits: np.ndarray) -> set[int]:
-        """Items that share a bin's minimum with a window of the document."""
+        """Small items that share a shingle with the document, others that share a bin's minimum with a window of it."""
         out: set[int] = set()
+        if self.direct:
+            for v in np.unique(shingles[hits]).tolist():
+                out.update(self.direct.get(v, ()))
         for c in self.classes:
             step = 1 << (c + 1)
             windows = {int(p) // step + back for p in hits for back in (0, -1)}
