@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import decontamination, jaccard_join, line_dedup, packing, quality
+from papyrine.runtime import stash
 
 #: A document is rejected if the quality classifier gives it less than this.
 KEEP_SCORE = 0.7
@@ -35,16 +36,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group linked by 5-word shingles at a Jaccard similarity of 0.8.
 
-    Rows that repeat an id are one document; one of them stays.  Rows without an id stay.
+    Every row is a document of its own: rows that repeat an id or have none are
+    compared like others (a null id counts as larger than any), and those that
+    link with nothing stay.
     """
-    found = jaccard_join.link_components(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
-    return kept
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        found = jaccard_join.link_components(docs.select("doc_id", "text"), k=5, num=80, den=100)
+        dropped = found.where("component_id <> doc_id").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # numbered in storage, so that every later pass sees the same numbers
+    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_join.link_components(rows.select("_row", "text"), k=5, num=80, den=100, id_col="_row")
+    of = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    keeper = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))["_row"]
+    kept = of.groupBy("component_id").agg(keeper.alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
