@@ -20,7 +20,8 @@ pass over the documents; documents are never shuffled.
 
 Defined results: null, empty and wordless texts have no shingles and match
 nothing; with fewer than k words the whole sequence is the one shingle; repeated
-items and documents match each for itself.
+items and documents match each for itself; an item with a null id matches like any
+other and its leaks have a null item_id.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def _one_pass(docs: DataFrame, index: ItemIndex, text_col: str, num: int, den: i
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, rows: int, size: int):
     """Blocks of (ids, texts) of at most about ``rows`` items and ``size`` bytes."""
-    thin = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    thin = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     n, total = thin.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // rows), -(-total // size))
     for i in range(blocks):
