@@ -13,7 +13,8 @@ Only the per-partition totals and one row count for each (partition, shard) that
 meet (at most partitions + shards rows) reach the driver.
 
 Defined results: a null text has no bytes, a null id is dealt like any other
-(first in order); an empty table gives an empty result.
+(first in order); an empty table gives an empty result; if no row has any bytes,
+all rows go to shard 0.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ def deal(ordered: DataFrame, shards: int, size_col: str = "size") -> DataFrame:
     for part, size in totals:
         before[part] = run
         run += size
-    if not run:
+    if not before:
         return ordered.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).where("false")
     prefix = ordered.sparkSession.createDataFrame([(p, b) for p, b in before.items()], "part int, before long")
     joined = ordered.join(F.broadcast(prefix), "part")
     start = F.col("before") + F.col("bytes_before")
-    shard = F.least(F.floor(start.cast("decimal(38,0)") * shards / F.lit(run).cast("decimal(38,0)")).cast("int"), F.lit(shards - 1))
+    shard = F.least(F.floor(start.cast("decimal(38,0)") * shards / F.lit(run or 1).cast("decimal(38,0)")).cast("int"), F.lit(shards - 1))
     placed = joined.withColumn("shard", shard).drop("before")
     met = sorted(placed.groupBy("shard", "part").agg(F.min("row").alias("first"), F.count("*").alias("n")).collect())
     base, current, seen = [], None, 0
