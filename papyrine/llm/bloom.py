@@ -47,6 +47,8 @@ def _positions(marks: np.ndarray) -> np.ndarray:
 
 def partials(hashes: np.ndarray, slices: int) -> pa.RecordBatch:
     """Sparse partial filter of one batch; ``hashes`` has a key once for each document."""
+    if not len(hashes):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["slice", "marks"])
     hashes = np.sort(hashes)
     keep = np.ones(len(hashes), bool)
     keep[2:] = hashes[2:] != hashes[:-2]

@@ -2,7 +2,9 @@
 
 Texts arrive as one Arrow buffer of UTF-8 bytes plus offsets.  Words are maximal
 runs without ``[\\x20\\x09-\\x0D]``; every word gets a 64-bit polynomial hash from
-prefix sums, so no Python object is made per word.  Buffers are walked in
+prefix sums, so no Python object is made per word.  A polynomial modulo 2 ** 64
+maps some long words with a repetitive pattern to one value, so words over
+``LONG_WORD`` bytes are hashed by keyed BLAKE2b instead.  Buffers are walked in
 segments cut at white space, hence memory stays bounded for texts of any length
 (a single word longer than a segment widens that segment).
 """
@@ -10,11 +12,14 @@ segments cut at white space, hence memory stays bounded for texts of any length
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _SEGMENT = 1 << 20
+#: Longer words are hashed by BLAKE2b.
+LONG_WORD = 256
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -137,8 +142,11 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wor
         x = codes[part]
         x *= power[:m]
         np.cumsum(x, out=total[1:])
-        h = (total[e] - total[s]) * inverse[s]
-        hashes.append(mix(h + (e - s).astype(np.uint64)))
+        h = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        for i in np.flatnonzero(e - s > LONG_WORD).tolist():
+            word = part[s[i] : e[i]]
+            h[i] = int.from_bytes(blake2b(LOWER[word].data if lower else word.tobytes(), digest_size=8, key=b"word").digest(), "little")
+        hashes.append(h)
         starts.append(s + begin)
         ends.append(e + begin)
     if hashes:

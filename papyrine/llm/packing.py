@@ -10,19 +10,22 @@ where it is read.
 Tokenising is memoised by word.  The vocabulary's pre-tokenizer never joins text
 across ASCII white space, so a word's ids do not depend on its neighbours;
 batches hash their words with numpy, look each distinct word up once, and only
-unseen words reach the tokenizer.  The memo is bounded (two generations).
-
-Defined results: null text is empty and gives one piece holding the end id;
-repeated rows are packed each for itself; sequence ids are unique within a
-result and stable when a task is retried on the same input partitions.
+unseen words reach the tokenizer.  The memo is bounded by bytes.
+
+Defined results: null text is empty and gives one piece holding the end id; an
+empty table gives no rows; texts of any length are tokenised whole, in
+portions of whole texts; there are no ties, since nothing is ranked; repeated
+rows (and ids) are packed each for itself; sequence ids are unique within a
+result and stable when a task is retried on the same input partitions.  Columns
+other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,91 +34,105 @@ from pyspark.sql import types as T
 from ..runtime import arrow_map
 from . import kernels
 
-#: The pattern by which the vocabulary splits lower-case text, for printable ASCII and Latin-1 letters.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-
-def _byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: bytes without a visible Latin-1 character take code points from 256 on, in order."""
-    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+#: Words tokenised by one call, and the length (in code points) from which a word has a call of its own.
+_CALL_WORDS, _OWN_CALL = 1000, 256
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-_BYTE_LETTERS = _byte_letters()
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of runs given by their starts and sizes, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WordEncoder:
-    """Token ids of white-space separated words, memoised."""
+    """Token ids of white-space separated words, memoised in at most about ``memo_bytes``.
+
+    The memo is flat: sorted word hashes with the place of each word's ids in one
+    array.  When it is full only the words of the current batch stay.
+    """
 
-    def __init__(self, path: str, memo: int):
+    def __init__(self, path: str, memo_bytes: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.memo = memo
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > self.memo // 2:
-                self.pieces.clear()
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
-        return ids
-
-    def word(self, raw: bytes) -> list[int]:
-        """Ids of one word, as the tokenizer gives them for it alone."""
-        text = raw.decode("utf-8", "replace")
-        if len(text) > 256 or any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
-        if _SIMPLE.fullmatch(text):
-            pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in _PIECES.findall(text.lower())]
-        else:
-            t = self.tokenizer
-            pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
-        for piece in pieces:
-            ids += self._piece(piece)
-        return ids
-
-    def lookup(self, key: int, raw: bytes) -> bytes:
-        ids = self.old.get(key)
-        if ids is None:
-            ids = np.array(self.word(raw), "<u4").tobytes()
-        if len(self.young) >= self.memo:
-            self.old, self.young = self.young, {}
-        self.young[key] = ids
-        return ids
+        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.memo_bytes = memo_bytes
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind))
+
+    def keep(self, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.starts, self.sizes, self.ids = keys[order], starts[order], sizes[order], ids
+
+    def size(self) -> int:
+        return self.keys.nbytes + self.starts.nbytes + self.sizes.nbytes + self.ids.nbytes
+
+    def words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and how many each word has; each as the tokenizer gives them for it alone."""
+        texts = [r.decode("utf-8", "replace") for r in raw]
+        alone = [len(t) > _OWN_CALL for t in texts]
+        if any(s in b" ".join(raw) for s in self.special):
+            alone = [own or any(s in r for s in self.special) for own, r in zip(alone, raw, strict=True)]
+        ids, counts = [], np.zeros(len(texts), np.int32)
+        for begin, end in self._calls(alone):
+            found = self.tokenizer.encode(" ".join(texts[begin:end]), add_special_tokens=False)
+            ids.append(np.array(found.ids, self.kind))
+            if end - begin == 1:
+                counts[begin] = len(found.ids)
+                continue
+            lengths = np.fromiter(map(len, texts[begin:end]), np.int64, end - begin)
+            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            word = np.searchsorted(np.cumsum(lengths + 1) - lengths - 1, at, side="right") - 1
+            counts[begin:end] = np.bincount(word, minlength=end - begin)
+        return np.concatenate(ids) if ids else np.zeros(0, self.kind), counts
+
+    @staticmethod
+    def _calls(alone: list[bool]):
+        begin = 0
+        for i, own in enumerate(alone):
+            if own:
+                if begin < i:
+                    yield begin, i
+                yield i, i + 1
+                begin = i + 1
+            elif i + 1 - begin == _CALL_WORDS:
+                yield begin, i + 1
+                begin = i + 1
+        if begin < len(alone):
+            yield begin, len(alone)
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
         words = kernels.hash_words(data, offsets, lower=False)
-        keys, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        starts, ends, view = words.starts[first].tolist(), words.ends[first].tolist(), memoryview(data)
-        get, table = self.young.get, []
-        for i, key in enumerate(keys.tolist()):
-            ids = get(key)
-            if ids is None:
-                ids = self.lookup(key, bytes(view[starts[i] : ends[i]]))
-                get = self.young.get
-            table.append(ids)
-        size = np.fromiter(map(len, table), np.int64, len(table)) >> 2
-        flat = np.frombuffer(b"".join(table), "<u4")
-        at = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else np.zeros(0, np.int64)
-        per_word = size[inverse]
-        total = np.concatenate([[0], np.cumsum(per_word)])
-        ids = flat[np.repeat(at[inverse] - total[:-1], per_word) + np.arange(total[-1])]
-        return ids, np.diff(total[words.first])
-
-
-def encoder(path: str, memo: int) -> WordEncoder:
+        inverse, keys = pd.factorize(words.hashes)
+        first = np.empty(len(keys), np.int64)
+        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        fresh = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        view = memoryview(data)
+        ids, counts = self.words([bytes(view[a:b]) for a, b in zip(words.starts[first[fresh]].tolist(), words.ends[first[fresh]].tolist(), strict=True)])
+        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        if len(self.keys):
+            starts[~fresh], sizes[~fresh] = self.starts[at[~fresh]], self.sizes[at[~fresh]]
+        starts[fresh], sizes[fresh] = np.cumsum(counts) - counts + len(self.ids), counts
+        flat = np.concatenate([self.ids, ids])
+        total = np.concatenate([[0], np.cumsum(sizes[inverse])])
+        out = flat[_spread(starts[inverse], sizes[inverse])].astype("<u4"), np.diff(total[words.first])
+        self.keep(np.concatenate([self.keys, keys[fresh]]), np.concatenate([self.starts, starts[fresh]]), np.concatenate([self.sizes, sizes[fresh]]), flat)
+        if self.size() > self.memo_bytes:
+            self.keep(keys, np.cumsum(sizes, dtype=np.int64) - sizes, sizes, flat[_spread(starts, sizes)])
+        if self.size() > self.memo_bytes:
+            self.keep(keys[:0], starts[:0], sizes[:0], flat[:0])
+        return out
+
+
+def encoder(path: str, memo_bytes: int) -> WordEncoder:
     """One encoder for each worker process; its memo outlives a task."""
-    if (path, memo) not in _encoders:
-        _encoders[path, memo] = WordEncoder(path, memo)
-    return _encoders[path, memo]
+    if (path, memo_bytes) not in _encoders:
+        _encoders[path, memo_bytes] = WordEncoder(path, memo_bytes)
+    return _encoders[path, memo_bytes]
 
 
 def piece_lengths(tokens: int, window: int) -> list[int]:
@@ -132,7 +149,7 @@ def pack(
     text_col: str = "text",
     window: int = 4096,
     end_id: int = 2,
-    memo: int = 500_000,
+    memo_bytes: int = 32 << 20,
     with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, bucket, ids (if ``with_ids``), ids_crc32, doc_tokens, sequence_id, offset.
@@ -146,7 +163,7 @@ def pack(
     schema = T._parse_datatype_string("doc_id long, start long, length long, bucket int, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
     def make():
-        enc = encoder(tokenizer_path, memo)
+        enc = encoder(tokenizer_path, memo_bytes)
 
         def part(docs: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             tokens = counts + 1
