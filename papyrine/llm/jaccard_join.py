@@ -11,33 +11,42 @@ meets the prefix of y.  The steps:
    over the low tokens (bounded size, see ``bloom``) tells *unique* tokens from
    repeated ones.  Order: unique low tokens, rare low tokens, frequent low tokens,
    then the tokens over the bound, each by hash.  A set with p unique low tokens
-   can link with nothing and leaves here.  Sets are made again from the texts in
-   each pass, which costs less than storing them.
+   can link with nothing and leaves here.  Of equal sets one stays; a second
+   filter over those left makes tokens unique that only copies shared.
 3. Repeated low tokens of the sets left are counted.  Those in more than
    ``frequent`` sets form the frequent class (at most ``max_frequent`` of them;
    the bound on the count is raised until they fit, which changes cost only).
-4. Index: rare tokens enter singly; frequent tokens enter as combinations of two
-   within hash groups.  A group of g of them stands for g - 1 prefix tokens (if
-   fewer than that are missing, two meet), so the prefix is extended until it
+4. Index: rare tokens enter singly; frequent tokens enter as combinations of k
+   within hash groups.  A group of g of them stands for g - k + 1 prefix tokens
+   (if fewer than that are missing, k meet), so the prefix is extended until it
    stands for p tokens.  Groups are made for bands of sizes, and a set enters
-   each band in which it can meet a partner.
-5. Candidates: within each key every set is first paired with one pivot (a
-   number of pairs in proportion to the rows).  Pairs are verified on the whole
-   sets, links make components, and only pairs of one key that lie in different
-   components are then verified, in the same way, until none is left.
-
-   A pair is a candidate only if its sizes, the unique tokens of both and the bits
-   in which their odd sketches differ leave room for the overlap.  The join tests
-   that before it emits a row, so a large group of texts that are alike but do
-   not link costs comparisons of sketches and no pairs.
-
-Only one of each task's copies of a set is indexed.  No pair list of a group is made, and no link between different
-components is lost: every pair of one key ends in one component or is verified.
+   each band in which it can meet a partner.  k is 2 at first.
+5. Candidates: first every set of a key is compared with one pivot of the key.
+   Links make components.  After that, the sets of a key that lie outside the
+   key's largest component are its *stragglers*; up to ``bound`` of them become
+   pivots and are compared with all sets of the key in other components.  A key
+   with no more stragglers than that is done.  Sets of the other keys are indexed
+   again by combinations of more tokens (3, then 5), which splits these keys, and
+   go through the same step.  Beyond the longest combinations the step is repeated
+   without the pivots that have had their turn, until every key is done.  So a
+   step compares each row of the index with at most ``bound`` others, however
+   large a group is, and the pairs of a group are never listed.
+
+   A pair is emitted only if its sizes, the unique tokens of both and the bits in
+   which their odd sketches differ leave room for the overlap, and only under the
+   first key of both that is done in this step (of the four first of each).
+   Pairs are verified on the whole sets.
+
+No link between different components is lost: two sets that share a key end in
+one component or are compared.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing; with fewer than k words the whole sequence is the one
-shingle; rows that share an id are one node (linked if any of their texts is);
-a null id links with nothing and has a null component.
+shingle; texts of any length are taken whole; an empty table gives no rows;
+repeated rows are copies; rows that share an id are one node (linked if any of
+their texts is); a null id links with nothing and has a null component; the
+component is the smallest id, so ties do not arise.  Columns other than the id
+and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +56,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_map, drop, stash
@@ -70,10 +79,6 @@ def missing_allowed(n: int, num: int, den: int) -> int:
 _LOW_BOUND = np.uint64(int(LOW_SHARE * (1 << 64)))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -106,58 +111,102 @@ def profiles(thin: DataFrame, k: int) -> DataFrame:
     return stash(arrow_map(thin, make, "doc_id long, n long, digest binary"), "profiles")
 
 
-def _suspect_sets(thin: DataFrame, tokens: int, k: int, num: int, den: int, filter_bytes: int) -> DataFrame:
-    """Sets that may link: (doc_id, n, unique, repeated low tokens, high tokens that a prefix can need)."""
-    slices = slices_for(int(tokens * LOW_SHARE), bits_per_key=10, max_bytes=filter_bytes)
+def _low(tokens: np.ndarray) -> np.ndarray:
+    return tokens[: np.searchsorted(tokens, _LOW_BOUND)]
+
+
+def _twice_seen(sets: DataFrame, make, count: int, filter_bytes: int):
+    """Broadcast of the twice-seen filter over the arrays of low tokens that ``make()`` takes from a batch."""
+    slices = slices_for(int(count * LOW_SHARE), bits_per_key=10, max_bytes=filter_bytes)
 
     def sending():
-        seen: set[bytes] = set()
+        low_of = make()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
+            low = low_of(b)
+            return partials(np.concatenate(low) if low else np.zeros(0, np.uint64), slices)
+
+        return step
+
+    return sets.sparkSession.sparkContext.broadcast(collect_twice(arrow_map(sets, sending, PARTIAL_SCHEMA), slices))
+
+
+_SETS = "doc_id long, n long, unique long, digest binary, repeated array<long>, tokens binary" + "".join(f", {c} long" for c in _SKETCH)
+_SETS_NAMES = ["doc_id", "n", "unique", "digest", "repeated", "tokens", *_SKETCH]
+
+
+def _sift(twice, num: int, den: int, rows) -> pa.RecordBatch | None:
+    """Of (doc_id, digest, tokens) those that may link."""
+    out: list[list] = [[] for _ in _SETS_NAMES[:6]]
+    sketches = []
+    for doc, digest, tokens in rows:
+        n, low = len(tokens), _low(tokens)
+        again = twice.suspects(low)
+        unique = len(low) - int(again.sum())
+        if unique > missing_allowed(n, num, den):
+            continue
+        for column, value in zip(out, (doc, n, unique, digest, low[again].view(np.int64), tokens.tobytes()), strict=True):
+            column.append(value)
+        sketches.append(odd_sketch(tokens))
+    if not sketches:
+        return None
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    bits = np.ascontiguousarray(np.stack(sketches).T)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)), *map(pa.array, bits)], names=_SETS_NAMES)
+
+
+def _suspect_sets(thin: DataFrame, tokens: int, k: int, num: int, den: int, filter_bytes: int) -> DataFrame:
+    """Sets that may link, one of equal ones: (doc_id, n, unique, digest, repeated low tokens, tokens, sketch)."""
+
+    def of_texts():
+        seen: set[bytes] = set()
+
+        def low_of(b: pa.RecordBatch) -> list[np.ndarray]:
             low = []
             for tokens in _batch_sets(b, k):
                 if len(tokens) and (digest := _digest(tokens)) not in seen:
                     seen.add(digest)
-                    low.append(tokens[: np.searchsorted(tokens, _LOW_BOUND)])
-            return partials(np.concatenate(low) if low else np.zeros(0, np.uint64), slices)
+                    low.append(_low(tokens).copy())
+            return low
 
-        return step
+        return low_of
 
-    shared = thin.sparkSession.sparkContext.broadcast(collect_twice(arrow_map(thin.select("text"), sending, PARTIAL_SCHEMA), slices))
+    shared = _twice_seen(thin.select("text"), of_texts, tokens, filter_bytes)
 
     def sifting():
         twice, seen = shared.value, set()
 
-        def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            out: list[list] = [[], [], [], [], []]
-            sketches = []
-            ids = b.column("doc_id").to_pylist()
-            for i, tokens in enumerate(_batch_sets(b, k)):
-                n = len(tokens)
-                if not n or (digest := _digest(tokens)) in seen:
-                    continue
-                seen.add(digest)
-                split, p = int(np.searchsorted(tokens, _LOW_BOUND)), missing_allowed(n, num, den) + 1
-                low = tokens[:split]
-                again = twice.suspects(low)
-                unique = split - int(again.sum())
-                if unique >= p:
-                    continue
-                high = tokens[split : max(split, p + p // 8 + 2)]
-                for column, value in zip(out, (ids[i], n, unique, low[again].view(np.int64), high.view(np.int64)), strict=True):
-                    column.append(value)
-                sketches.append(odd_sketch(tokens))
-            if not sketches:
-                return None
-            kind = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, kind) for c in out[3:]), *map(pa.array, np.ascontiguousarray(np.stack(sketches).T))],
-                names=["doc_id", "n", "unique", "repeated", "high", *_SKETCH],
-            )
+        def new_sets(b: pa.RecordBatch):
+            for doc, tokens in zip(b.column("doc_id").to_pylist(), _batch_sets(b, k), strict=True):
+                if len(tokens) and (digest := _digest(tokens)) not in seen:
+                    seen.add(digest)
+                    yield doc, digest, tokens
 
-        return step
+        return lambda b: _sift(twice, num, den, new_sets(b))
+
+    sifted = stash(arrow_map(thin, sifting, _SETS), "sifted")
+    first = sifted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    spare = stash(sifted.select("doc_id", "digest").join(first, "digest").where("doc_id <> first").select("doc_id", "digest"), "spare")
+    single = sifted.join(_hinted(spare), ["doc_id", "digest"], "left_anti")
+
+    def stored(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(t.as_buffer(), np.uint64) for t in b.column("tokens")]
+
+    left = single.agg(F.sum("n")).first()[0] or 0
+    again = _twice_seen(single.select("tokens"), lambda: lambda b: [_low(t) for t in stored(b)], left, filter_bytes)
+
+    def resifting():
+        twice = again.value
+        return lambda b: _sift(twice, num, den, zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), stored(b), strict=True))
 
-    return stash(arrow_map(thin, sifting, "doc_id long, n long, unique long, repeated array<long>, high array<long>" + "".join(f", {c} long" for c in _SKETCH)), "suspects")
+    suspects = stash(arrow_map(single, resifting, _SETS), "suspects")
+    drop(sifted, spare)
+    return suspects
+
+
+def _hinted(df: DataFrame, max_rows: int = 1 << 20) -> DataFrame:
+    """A stashed table of ids, broadcast up to ``max_rows``."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +229,31 @@ def _frequent_tokens(suspects: DataFrame, frequent: int, max_frequent: int) -> n
             break
         total += n
     kept = counts.where(F.col("count") > least if least == frequent else F.col("count") >= least).select("token").toArrow()
+    drop(counts)
     return np.sort(kept.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def index_keys(n: int, unique: int, rare: np.ndarray, often: np.ndarray, high: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index keys of one set; its tokens come by class, each class sorted by hash."""
+#: Combinations of the index and, for each, the tokens that may be missing in a group.
+WIDTHS = {2: 8, 3: 4, 5: 2}
+
+
+def _grouping(own: int, k: int, num: int, den: int) -> tuple[int, int]:
+    """Tokens to a combination and hash groups of the band of sizes from ``2 ** own``; fewer than ``k`` where the sets are too small."""
+    least = 1 << own
+    lacking = missing_allowed(least, num, den)
+    for size in range(k, 1, -1):
+        groups = max(1, lacking // WIDTHS[max(w for w in WIDTHS if w <= size)])
+        if lacking + 1 + groups * (size - 1) <= least:
+            return size, groups
+    return 1, 1
+
+
+def index_keys(n: int, unique: int, rare: np.ndarray, often: np.ndarray, high: np.ndarray, num: int, den: int, k: int = 2) -> np.ndarray:
+    """Distinct index keys of one set; its tokens come by class, each class sorted by hash.
+
+    With combinations of two the tokens over the bound enter singly, as last
+    resort; with longer ones they are combined like frequent tokens.
+    """
     need = missing_allowed(n, num, den) + 1 - unique
     if need <= 0:
         return np.zeros(0, np.uint64)
@@ -192,49 +261,53 @@ def index_keys(n: int, unique: int, rare: np.ndarray, often: np.ndarray, high: n
         return rare[:need]
     need -= len(rare)
     keys, most_high = [rare], 0
+    common = often if k == 2 else np.concatenate([often, high])
     band = n.bit_length() - 1
     bands = {band} | ({band - 1} if -(-num * n // den) < 1 << band else set())
-    for own in bands if len(often) else {band}:
-        groups = max(1, missing_allowed(1 << own, num, den) // 8)
+    for own in bands if len(common) else {band}:
+        size, groups = _grouping(own, k, num, den)
         rest, members = need, {}
-        for token in often.tolist():
+        for token in common.tolist():
             if rest <= 0:
                 break
             mine = members.setdefault((token >> 7) % groups, [])
-            rest -= bool(mine)
             mine.append(token)
+            rest -= len(mine) >= size
         for group in members.values():
-            if len(group) > 1:
-                pairs = np.array(list(combinations(group, 2)), np.uint64)
-                keys.append(kernels.mix(kernels.mix(pairs[:, 0] + np.uint64(own)) * np.uint64(3) + pairs[:, 1]))
+            if len(group) >= size:
+                chosen = np.array(list(combinations(group, size)), np.uint64)
+                made = np.full(len(chosen), np.uint64(own + 64 * size))
+                for column in chosen.T:
+                    made = kernels.mix(made * np.uint64(3) + column)
+                keys.append(made)
         most_high = max(most_high, rest)
-    keys.append(high[:most_high])
-    return np.concatenate(keys)
+    if k == 2:
+        keys.append(high[:most_high])
+    return np.unique(np.concatenate(keys))
 
 
-def _index(suspects: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
+def _index(suspects: DataFrame, often: np.ndarray, num: int, den: int, k: int) -> DataFrame:
+    """(doc_id, keys) of every set."""
     shared = suspects.sparkSession.sparkContext.broadcast(often)
+
     def make():
         frequent = shared.value
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             repeated, at = _flat(b.column("repeated"))
-            high, high_at = _flat(b.column("high"))
             where = np.minimum(np.searchsorted(frequent, repeated), max(0, len(frequent) - 1))
             common = frequent[where] == repeated if len(frequent) else np.zeros(len(repeated), bool)
-            sizes, unique = b.column("n").to_pylist(), b.column("unique").to_pylist()
             keys = []
-            for i, n in enumerate(sizes):
+            for i, (n, unique, raw) in enumerate(zip(b.column("n").to_pylist(), b.column("unique").to_pylist(), b.column("tokens"), strict=True)):
                 own, mark = repeated[at[i] : at[i + 1]], common[at[i] : at[i + 1]]
-                keys.append(index_keys(n, unique[i], own[~mark], own[mark], high[high_at[i] : high_at[i + 1]], num, den))
-            count = np.array([len(x) for x in keys], np.int64)
-            rows = pa.array(np.repeat(np.arange(len(sizes)), count))
+                tokens = np.frombuffer(raw.as_buffer(), np.uint64)
+                keys.append(index_keys(n, unique, own[~mark], own[mark], tokens[np.searchsorted(tokens, _LOW_BOUND) :], num, den, k))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            return pa.RecordBatch.from_arrays([_signed(flat), b.column("doc_id").take(rows)], names=["key", "doc_id"])
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), kernels.arrow_lists(flat.view(np.int64), np.array([len(x) for x in keys]), pa.int64())], names=["doc_id", "keys"])
 
         return step
 
-    return stash(arrow_map(suspects, make, "key long, doc_id long"), "index")
+    return stash(arrow_map(suspects, make, "doc_id long, keys array<long>"), "index")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -259,16 +332,15 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), make, "a long, b long").distinct()
 
 
-def _sets(thin: DataFrame, pairs: DataFrame, k: int, max_broadcast: int = 1 << 20) -> DataFrame:
-    """Whole sets of the documents of the pairs; their ids are broadcast up to ``max_broadcast``, joined beyond."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if pairs.count() * 2 <= max_broadcast:
-        wanted = F.broadcast(wanted)
+def _near(num: int, den: int) -> str:
+    """Whether sizes, unique tokens and sketches of two sets leave room for a link."""
+    apart = f"n + other_n - 2 * (({num} * (n + other_n) + {num + den - 1}) div {num + den})"
+    differing = " + ".join(f"bit_count({c} ^ other_{c})" for c in _SKETCH)
+    return f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) and unique + other_unique <= {apart} and {differing} <= {apart}"
 
-    def make():
-        return lambda b: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.tobytes() for t in _batch_sets(b, k)], pa.binary())], names=["doc_id", "tokens"])
 
-    return stash(arrow_map(thin.join(wanted, "doc_id", "left_semi"), make, "doc_id long, tokens binary"), "sets")
+def _other(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in keep else f"other_{c}") for c in df.columns])
 
 
 def link_components(
@@ -281,53 +353,72 @@ def link_components(
     frequent: int = 64,
     max_frequent: int = 1 << 20,
     filter_bytes: int = 64 << 20,
-    pivot_rounds: int = 1,
+    bound: int = 64,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; the component is its smallest doc_id."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     table = profiles(thin, k)
-    thin = thin.where("doc_id is not null")
     known = table.where("doc_id is not null and n > 0")
-    copies = known.groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("other > b").select("digest", "b")
-    links = known.join(copies, "digest").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    suspects = _suspect_sets(thin, known.agg(F.sum("n")).first()[0] or 0, k, num, den, filter_bytes)
-    index = _index(suspects, _frequent_tokens(suspects, frequent, max_frequent), num, den)
-    shared = index.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    index, old = stash(index.join(shared, "key").distinct(), "index"), index
-    drop(old)
-    described = ["n", "unique", *_SKETCH]
-    about = suspects.select("doc_id", *described)
-    other = about.select(*[F.col(c).alias(f"other_{c}") for c in about.columns])
-    apart = f"n + other_n - 2 * (({num} * (n + other_n) + {num + den - 1}) div {num + den})"
-    differing = " + ".join(f"bit_count({c} ^ other_{c})" for c in _SKETCH)
-    near = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) and unique + other_unique <= {apart} and {differing} <= {apart}"
+    copies = stash(known.groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("other > b").select("digest", "b"), "copies")
+    links = known.join(copies, "digest").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    suspects = _suspect_sets(thin.where("doc_id is not null"), known.agg(F.sum("n")).first()[0] or 0, k, num, den, filter_bytes)
+    often = _frequent_tokens(suspects, frequent, max_frequent)
+    about = suspects.select("doc_id", "n", "unique", *_SKETCH)
+    near = _near(num, den)
     pair = [F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")]
 
-    found = stash(links.distinct(), "links")
-    tried = None
-    for turn in range(pivot_rounds + 1):
-        of = connected_components(found).withColumnRenamed("node", "doc_id")
-        rows = index.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("key")
-        rows = stash(rows.join(open_keys, "key"), "open")
-        if turn < pivot_rounds:
-            rank = F.xxhash64("component", F.lit(turn)) if turn else F.col("component")
-            pivots = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("p"))
-            pivots = pivots.select("key", F.col("p.doc_id").alias("other_doc_id"), F.col("p.component").alias("other_component"))
-            met = rows.join(pivots, "key").where("component <> other_component").select("doc_id", "other_doc_id").distinct()
-            pairs = met.join(about, "doc_id").join(other, "other_doc_id").where(near).select(*pair).distinct()
-        else:
-            wide = rows.join(about, "doc_id")
-            right = wide.select("key", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "component", *described)])
-            pairs = wide.join(right, "key").where("component < other_component").where(near).select(*pair).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    def joined(stars: DataFrame | None, more: DataFrame) -> DataFrame:
+        """Components when ``more`` links are added."""
+        edges = more if stars is None else more.unionByName(stars.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        made = stash(connected_components(edges), "components")
+        if stars is not None:
+            drop(stars)
+        return made
+
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs, "pairs")
-        sets = _sets(thin, pairs, k)
-        found, old = stash(found.unionByName(verify(pairs, sets, num, den)), "links"), found
-        drop(rows, sets, old)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    drop(index, suspects)
-    of = connected_components(found).withColumnRenamed("node", "doc_id")
+        wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+        sets = stash(suspects.join(_hinted(wanted), "doc_id", "left_semi").select("doc_id", "tokens"), "sets")
+        found = stash(verify(pairs, sets, num, den), "links")
+        drop(pairs, wanted, sets)
+        return found
+
+    longer = [size for size in WIDTHS if size > 2]
+    index = _index(suspects, often, num, den, 2)
+    rows = index.select("doc_id", F.explode("keys").alias("key"))
+    pivots = rows.groupBy("key").agg(F.min("doc_id").alias("other_doc_id"), F.max("doc_id").alias("most")).where("other_doc_id < most").select("key", "other_doc_id")
+    met = rows.join(pivots, "key").where("doc_id <> other_doc_id").select("doc_id", "other_doc_id").distinct()
+    stars = joined(joined(None, links), verified(met.join(about, "doc_id").join(_other(about), "other_doc_id").where(near).select(*pair).distinct()))
+    while True:
+        of = index.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows = of.select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
+        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
+        largest = F.max(F.struct("rows", "component"))
+        keys = sizes.groupBy("key").agg(largest.alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("parts")).where("parts > 1")
+        keys = keys.select("key", F.col("top.component").alias("top"), (F.col("rows") - F.col("top.rows") > bound).alias("large"))
+        opened = stash(rows.join(keys, "key").select("key", "doc_id", "component", (F.col("component") != F.col("top")).alias("straggler"), "large"), "open")
+        # a pair is left to the first key of both that this step finishes
+        first = opened.where("not large").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 4).alias("firsts"))
+        described = stash(about.join(first, "doc_id", "left"), "described")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
+        pivots = stash(opened.where("straggler").withColumn("at", F.row_number().over(order)).where(F.col("at") <= bound).select("key", "doc_id", "component"), "pivots")
+        wide = opened.select("key", "doc_id", "component").join(described, "doc_id")
+        chosen = _other(pivots.join(described, "doc_id"), keep=("key",))
+        met = wide.join(chosen, "key").where("component <> other_component").where(near).where("coalesce(array_min(array_intersect(firsts, other_firsts)) >= key, true)")
+        stars, old = joined(stars, verified(met.select(*pair).distinct())), (index, described)
+        large = opened.where("large")
+        if large.isEmpty():
+            drop(*old, opened, pivots)
+            break
+        if longer:
+            stuck = stash(large.select("doc_id").distinct(), "stuck")
+            index = _index(suspects.join(_hinted(stuck), "doc_id", "left_semi"), often, num, den, longer.pop(0))
+            drop(stuck)
+        else:
+            left = large.join(pivots, ["key", "doc_id"], "left_anti")
+            index = stash(left.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "index")
+        drop(*old, opened, pivots)
+    drop(suspects, copies)
+    of = stars.withColumnRenamed("node", "doc_id")
     whole = table.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") >= 0, F.col("doc_id"))).alias("component_id"))

@@ -147,26 +147,28 @@ def brute_components(rows, k, num, den):
     return sorted(((i, len(x), None if i is None else root(i)) for i, x in sets), key=str)
 
 
-@pytest.mark.parametrize("k, num, frequent", [(4, 85, 2), (2, 80, 64)])
-def test_jaccard_join_against_brute_force(spark, k, num, frequent):
+@pytest.mark.parametrize("k, num, frequent, bound", [(4, 85, 2, 1), (2, 80, 64, 64)])
+def test_jaccard_join_against_brute_force(spark, k, num, frequent, bound):
     rows = list(enumerate(texts_with_copies(5 + k))) + [(None, "one"), (3, "one two three four five")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = jaccard_join.link_components(docs, k=k, num=num, den=100, frequent=frequent)
+    found = jaccard_join.link_components(docs, k=k, num=num, den=100, frequent=frequent, bound=bound)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str) == brute_components(rows, k, num, 100)
 
 
-def test_jaccard_index_shares_a_key_for_every_link():
+@pytest.mark.parametrize("size", list(jaccard_join.WIDTHS))
+@pytest.mark.parametrize("num", [85, 80, 60])
+def test_jaccard_index_shares_a_key_for_every_link(size, num):
     """Any two sets that link meet in the index, with every token frequent, rare or over the bound."""
     rng = np.random.default_rng(8)
     for trial in range(150):
         n = int(rng.integers(2, 200))
         base = np.unique(kernels.mix(rng.integers(0, 1 << 62, n, dtype=np.uint64)))
         other = base.copy()
-        swap = rng.random(len(base)) < 0.07
+        swap = rng.random(len(base)) < rng.choice([0.03, 0.07, 0.2])
         other[swap] = kernels.mix(rng.integers(0, 1 << 62, int(swap.sum()), dtype=np.uint64))
         other = np.unique(other)
         both = len(np.intersect1d(base, other))
-        if 100 * both < 85 * (len(base) + len(other) - both):
+        if 100 * both < num * (len(base) + len(other) - both):
             continue
         often = set(rng.choice(base, int(len(base) * rng.random()), replace=False).tolist())
         keys = []
@@ -174,7 +176,7 @@ def test_jaccard_index_shares_a_key_for_every_link():
             low, high = own[own < jaccard_join._LOW_BOUND], own[own >= jaccard_join._LOW_BOUND]
             shared = np.array([t in theirs for t in low.tolist()], bool)
             common = np.array([t in often for t in low.tolist()], bool) & shared
-            keys.append(set(jaccard_join.index_keys(len(own), int((~shared).sum()), low[shared & ~common], low[common], high, 85, 100).tolist()))
+            keys.append(set(jaccard_join.index_keys(len(own), int((~shared).sum()), low[shared & ~common], low[common], high, num, 100, size).tolist()))
         assert keys[0] & keys[1], trial
         a, b = jaccard_join.odd_sketch(base), jaccard_join.odd_sketch(other)
         assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= len(base) + len(other) - 2 * both
