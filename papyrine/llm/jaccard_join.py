@@ -26,7 +26,7 @@ meets the prefix of y.  The steps:
    key's largest component are its *stragglers*; up to ``bound`` of them become
    pivots and are compared with all sets of the key in other components.  A key
    with no more stragglers than that is done.  Sets of the other keys are indexed
-   again by combinations of more tokens (3, then 5), which splits these keys, and
+   again by combinations of three tokens, which splits these keys, and
    go through the same step.  Beyond the longest combinations the step is repeated
    without the pivots that have had their turn, until every key is done.  So a
    step compares each row of the index with at most ``bound`` others, however
@@ -234,7 +234,7 @@ def _frequent_tokens(suspects: DataFrame, frequent: int, max_frequent: int) -> n
 
 
 #: Combinations of the index and, for each, the tokens that may be missing in a group.
-WIDTHS = {2: 8, 3: 4, 5: 2}
+WIDTHS = {2: 8, 3: 4}
 
 
 def _grouping(own: int, k: int, num: int, den: int) -> tuple[int, int]:
@@ -353,7 +353,7 @@ def link_components(
     frequent: int = 64,
     max_frequent: int = 1 << 20,
     filter_bytes: int = 64 << 20,
-    bound: int = 64,
+    bound: int = 256,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; the component is its smallest doc_id."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -369,6 +369,8 @@ def link_components(
 
     def joined(stars: DataFrame | None, more: DataFrame) -> DataFrame:
         """Components when ``more`` links are added."""
+        if stars is not None and more.isEmpty():
+            return stars
         edges = more if stars is None else more.unionByName(stars.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         made = stash(connected_components(edges), "components")
         if stars is not None:
