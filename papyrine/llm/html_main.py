@@ -10,25 +10,30 @@
    text of that container (a page of another template).  An inner container is
    better than an outer one only if it sheds links or boilerplate.
 3. Pages get their host's winner and are extracted again from the containers on
-   the winning path.  Up to ``max_broadcast`` hosts the counted winners are
+   the winning path.  Up to ``max_broadcast_bytes`` of counted winners these are
    broadcast and no page moves; beyond it the join is salted, so that a host with
    a third of all pages is spread over many tasks.
 
 Parsing follows the HTML rules that matter here: raw text of script, style,
 textarea and title, comments, void elements, implied ends of p, li, dt, dd,
-option, tr, td and th, and end tags that match nothing.  Boilerplate parts
+option, tr, td and th, and end tags that match nothing.  Every class word is in a path.  Boilerplate parts
 (menus, headers, footers, asides, forms, notices, adverts, reader comments, by
 tag, role or class word) are left out wherever they stand, except headers within
 an article that hold its heading.  A class or id counts as a word of boilerplate
-only if it holds nothing else (``sidebar``, ``cookie-banner``, ``ad-1``); compounds
-such as ``site-footer`` or ``with-sidebar`` stay in the text and only count against
+only if it holds nothing else (``sidebar``, ``cookie-banner``, ``ad-1``) but words for a
+place on the site (``site-footer``, ``left-nav``; ``site-header``); compounds
+such as ``share-price`` or ``with-sidebar`` stay in the text and only count against
 a container.  Neither applies to an element that holds the page's article or main,
 or most of its unlinked text.
 
 Defined results: null or empty html gives an empty text; character references
 are decoded, white space inside a block (line breaks included) becomes one
 space, blocks are joined by one newline in page order and nothing else is
-dropped or capped.
+dropped or capped.  A null or unparsable url counts as the host ''.  Ties go to
+the smaller path (votes) and the inner container (scores); repeated rows are
+extracted each for itself and vote each; an empty table gives no rows; pages of
+any length or depth take time in proportion to their length.  Columns of the
+input named text or n_chars are replaced, others are kept, the html goes.
 """
 
 from __future__ import annotations
@@ -57,13 +62,16 @@ IMPLIED_END = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 #: Parts of a page that are never main text.
-SKIP_TAGS = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea input object embed canvas audio video head menu dialog xmp noembed noframes".split())
+SKIP_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select textarea input object embed canvas audio video head menu dialog xmp noembed noframes".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner banners nav navbar navigation menu menus sidebar sidebars "
     "aside footer footers breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations toolbar pagination pager widget widgets masthead skip".split()
 )
+#: Words that say only where on the site a part of boilerplate is; with them a header is one too.
+SITE_WORDS = frozenset("site global top bottom main page left right primary secondary".split())
+SITE_HEADERS = frozenset("site global top".split())
 #: Words of readers' comments, which may well be longer than the text they follow.
 READER_WORDS = frozenset("comment comments disqus reply replies respond".split())
 _TAG = re.compile(
@@ -85,18 +93,19 @@ class Node:
     ``named`` tells what its class and id say: 2 boilerplate, 1 a compound with such a word, 0 nothing.
     """
 
-    __slots__ = ("tag", "key", "parent", "parts", "skip", "depth", "named", "words")
+    __slots__ = ("tag", "key", "parent", "parts", "skip", "depth", "named", "words", "in_article")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
         self.named, self.words = 0, _NO_WORDS
         if not attributes:
             self.key, self.skip = tag, tag in SKIP_TAGS
             return
         names = attributes.get("class", "").lower()
         words = sorted({w for w in _WORDS.findall(names) if len(w) > 1})
-        self.key = tag + "".join("." + w for w in words[:4])
+        self.key = tag + "".join("." + w for w in words)
         self.skip = (
             tag in SKIP_TAGS
             or attributes.get("role", "").lower() in SKIP_ROLES
@@ -105,8 +114,9 @@ class Node:
         names = f"{names} {attributes.get('id', '').lower()}"
         self.words = SKIP_WORDS.intersection(_WORDS.findall(names))
         if self.words and not self.skip and tag not in ("html", "body", "article", "main"):
-            self.named = 2 if any((own := _WORDS.findall(name)) and SKIP_WORDS.issuperset(own) for name in names.split()) else 1
-            self.skip = self.named == 2
+            self.named = 1
+        if not self.skip and tag not in ("html", "body", "article", "main") and any(map(_boilerplate, names.split())):
+            self.named, self.skip = 2, True
 
     def path(self) -> str:
         keys, node = [], self
@@ -115,13 +125,38 @@ class Node:
             node = node.parent
         return ">".join(reversed(keys))
 
-    def inside(self, tags: frozenset[str]) -> bool:
-        node = self.parent
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+
+class _Open:
+    """The open elements, with the places of each tag, so that a look-up needs no walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {"html": [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of these tags, -1 if there is none."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all within."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def imply_end(self, tags, stop) -> None:
+        """Close the innermost of ``tags`` unless an element of ``stop`` lies within."""
+        place = self.last(tags)
+        if place > 0 and place > self.last(stop):
+            self.cut(place)
+
+
+def _boilerplate(name: str) -> bool:
+    """Whether a class or id names a part of boilerplate and nothing else."""
+    own = set(_WORDS.findall(name))
+    kept = own - SITE_WORDS
+    return bool(kept) and kept <= SKIP_WORDS or kept == {"header"} and bool(own & SITE_HEADERS)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -136,39 +171,37 @@ def _attributes(raw: str) -> dict[str, str]:
 def parse(text: str) -> Node:
     """Tree of a page under a root element; never fails."""
     root = Node("html", {}, None)
-    stack, named = [root], False
+    stack, named = _Open(root), False
     at, n = 0, len(text)
     while at < n:
         lt = text.find("<", at)
         if lt < 0:
-            stack[-1].parts.append(text[at:])
+            stack.nodes[-1].parts.append(text[at:])
             break
         m = _TAG.match(text, lt) or _LOOSE_TAG.match(text, lt)
         if not m:
-            stack[-1].parts.append(text[at : lt + 1])
+            stack.nodes[-1].parts.append(text[at : lt + 1])
             at = lt + 1
             continue
         if lt > at:
-            stack[-1].parts.append(text[at:lt])
+            stack.nodes[-1].parts.append(text[at:lt])
         at = m.end()
         tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if (place := stack.last((tag,))) > 0:
+                stack.cut(place)
             continue
-        if tag in ("html", "head", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "head", "body") and stack.last((tag,)) >= 0:
             continue
-        if tag in CLOSES_P and len(stack) > 1:
-            _close(stack, {"p"}, {"button", "table", "td", "th"})
+        if tag in CLOSES_P:
+            stack.imply_end(("p",), ("button", "table", "td", "th"))
         if tag in IMPLIED_END:
-            _close(stack, *IMPLIED_END[tag])
-        node = Node(tag, _attributes(m[3]), stack[-1])
-        stack[-1].parts.append(node)
+            stack.imply_end(*IMPLIED_END[tag])
+        node = Node(tag, _attributes(m[3]), stack.nodes[-1])
+        node.parent.parts.append(node)
         named = named or node.named > 0
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(text, at)
@@ -176,7 +209,7 @@ def parse(text: str) -> Node:
             node.parts.append(text[at:close])
             at = n if not end else text.find(">", close) + 1 or n
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCK - {"hr"}:
-            stack.append(node)
+            stack.push(node)
     if named:
         _keep_holders(root)
     return root
@@ -230,18 +263,9 @@ def _keep_holders(root: Node) -> None:
                 dropped.add(own)
 
 
-def _close(stack: list[Node], tags: set[str], stop: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in stop:
-            return
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-
-
 def _dropped(node: Node) -> bool:
     """Whether a part is boilerplate; a header counts as one unless it stands in an article."""
-    return node.skip or node.tag == "header" and not node.inside(frozenset(("article", "main")))
+    return node.skip or node.tag == "header" and not node.in_article
 
 
 def blocks(node: Node) -> list[str]:
@@ -315,11 +339,11 @@ def best_container(root: Node) -> Node:
 
 
 def on_path(root: Node, path: str) -> list[Node]:
-    """Outermost kept elements with this generalised path, in page order."""
+    """Outermost kept elements with this generalised path, in page order; boilerplate is no step of it."""
     keys = path.split(">")
     level = [root] if root.key == keys[0] else []
     for key in keys[1:]:
-        level = [p for node in level for p in node.parts if isinstance(p, Node) and p.key == key]
+        level = [p for node in level for p in node.parts if isinstance(p, Node) and p.key == key and not _dropped(p)]
     return level
 
 
@@ -364,12 +388,13 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return votes.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("host", "path")
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", max_broadcast: int = 200_000, salts: int = 64) -> DataFrame:
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", max_broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """``pages`` with text (main text) and n_chars (its code points) in place of the html."""
     base = pages.drop("text", "n_chars", "_host", "_path", "_salt")
     winners = stash(winning_paths(base, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "hosts")
     hosted = base.withColumn("_host", host(F.col(url_col)))
-    if winners.count() <= max_broadcast:
+    size = winners.agg(F.sum(F.octet_length("_host") + F.octet_length("_path") + 32)).first()[0] or 0
+    if size <= max_broadcast_bytes:
         joined = hosted.join(F.broadcast(winners), "_host", "left").drop("_host")
     else:
         salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

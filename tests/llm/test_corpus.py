@@ -288,7 +288,7 @@ PAGE = "<html><head><title>t</title><style>p{}</style></head><body><header>Site<
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_html_consensus(spark, most):
     pages = [(i, f"http://h{i % 2}.org/{i}", PAGE.replace("{}", str(i))) for i in range(8)] + [(8, None, PAGE), (9, "x", None), (10, "http://h0.org", ""), (11, "http://h0.org", "<p>only a paragraph"), (12, "http://h1.org/", "plain &lt;text&gt;")]
-    rows = {r.page_id: r for r in html_main.main_text(spark.createDataFrame([(*p, 3) for p in pages], "page_id long, url string, html string, text int"), max_broadcast=most, salts=3).collect()}
+    rows = {r.page_id: r for r in html_main.main_text(spark.createDataFrame([(*p, 3) for p in pages], "page_id long, url string, html string, text int"), max_broadcast_bytes=most, salts=3).collect()}
     wanted = "Title & more\nFirst para bold line\nSecond\nx\ny"
     assert all(rows[i].text == wanted and rows[i].n_chars == len(wanted) for i in range(9))
     assert (rows[9].text, rows[10].text, rows[11].text, rows[12].text) == ("", "", "only a paragraph", "plain <text>")
