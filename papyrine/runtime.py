@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -90,6 +91,23 @@ def _sweep() -> None:
             return
 
 
+#: Bytes of an Arrow batch sent to Python, where the session has Spark's own default.
+_BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if not spark.sparkContext.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, since Spark keeps the worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]],
@@ -97,15 +115,20 @@ def arrow_map(
 ) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds one batch function for each task."""
     ship(df.sparkSession)
+    _small_batches(df.sparkSession)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            out = step(batch)
-            if out is not None and out.num_rows:
-                yield from pa.Table.from_batches([out] if isinstance(out, pa.RecordBatch) else out.to_batches()).cast(arrow).to_batches()
+        try:
+            for batch in batches:
+                out = step(batch)
+                if out is not None and out.num_rows:
+                    yield from pa.Table.from_batches([out] if isinstance(out, pa.RecordBatch) else out.to_batches()).cast(arrow).to_batches()
+        finally:
+            del step
+            _give_back()
 
     return df.mapInArrow(run, schema)
 
