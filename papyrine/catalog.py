@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import columns as C
+from .functions.json_text import JSON5, JsonOptions
+from .operators import csv_table, selectors
+from .runtime import spread, stash
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for operators that run Python: on all cores, even if it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL."""
 
@@ -33,18 +43,11 @@ SELECT event_type, CAST(sum(CAST(json_extract(props, '/k') AS BIGINT)) AS BIGINT
 FROM events GROUP BY event_type
 """)
 def json_pointer_event_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RFC 6901 pointer ``/k`` over a JSON column, lowered to a built-in for a single safe member name."""
-    k = F.get_json_object("props", "$.k").cast("long")
+    """Typed value at the RFC 6901 pointer ``/k`` of a JSON column, by built-ins only."""
+    k = C.json_get("props", "/k", "long")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count(k).alias("n"))
 
 
-from pyspark.sql import Window  # noqa: E402
-
-from .functions import columns as C  # noqa: E402
-from .functions.json_text import JSON5, JsonOptions  # noqa: E402
-from .operators import csv_table, selectors  # noqa: E402
-
-
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document for each order: key, status and its lines by line number."""
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("flag"))
@@ -94,11 +97,11 @@ def json_path_descendant(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '/k') AS BIGINT) + 1) AS BIGINT) AS s FROM events GROUP BY 1")
 def json_patch_move_add(spark, sf_dir):
     """RFC 6902: test, move and add, all or nothing."""
-    k = C.json_pointer("props", "/k")
+    k = C.json_get("props", "/k")
     ops = F.concat(F.lit('[{"op":"test","path":"/k","value":'), k, F.lit('},{"op":"move","from":"/k","path":"/m"},{"op":"add","path":"/l","value":[1]}]'))
-    patched = C.json_patch("props", ops)
-    total = C.json_pointer(patched, "/m").cast("long") + C.json_pointer(patched, "/l/0").cast("long")
-    return table(spark, sf_dir, "events").select("event_type", total.alias("t")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("t").alias("s"))
+    patched = dealt(spark, sf_dir, "events").select("event_type", C.json_patch("props", ops).alias("patched"))
+    total = C.json_get("patched", "/m", "long") + C.json_get("patched", "/l/0", "long")
+    return patched.select("event_type", total.alias("t")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("t").alias("s"))
 
 
 @query("""
@@ -107,14 +110,14 @@ SELECT event_type, count(json_extract(json_merge_patch(props, '{"k":null,"z":{"a
 """)
 def json_merge_patch_remove(spark, sf_dir):
     """RFC 7386: null removes a member, objects merge."""
-    merged = table(spark, sf_dir, "events").select("event_type", C.json_merge_patch("props", F.lit('{"k":null,"z":{"a":7}}')).alias("m"))
-    return merged.groupBy("event_type").agg(F.count(C.json_pointer("m", "/k")).alias("with_k"), F.sum(C.json_pointer("m", "/z/a").cast("long")).alias("s"))
+    merged = dealt(spark, sf_dir, "events").select("event_type", C.json_merge_patch("props", F.lit('{"k":null,"z":{"a":7}}')).alias("m"))
+    return merged.groupBy("event_type").agg(F.count(C.json_get("m", "/k")).alias("with_k"), F.sum(C.json_get("m", "/z/a", "long")).alias("s"))
 
 
 @query("SELECT event_type, count(*) AS n, count(*) AS n_equal, 0 AS n_trailing_comma, count(*) AS n_json5 FROM events GROUP BY 1")
 def json_strict_and_relaxed(spark, sf_dir):
     """Strict validity, JSON5 validity and structural equality whatever the member order and number spelling."""
-    events = table(spark, sf_dir, "events")
+    events = dealt(spark, sf_dir, "events")
     loose = F.concat(F.lit("{/*c*/'a': +.5, b: "), F.col("props"), F.lit(",}"))
     spelt = F.concat(F.lit('{"x":1.0,"y":'), F.col("props"), F.lit("}"))
     other = F.concat(F.lit('{"y":'), F.col("props"), F.lit(',"x":1e0}'))
@@ -129,22 +132,22 @@ def json_strict_and_relaxed(spark, sf_dir):
 @query("SELECT event_id, '{\"a\":[1,100,0.5],\"k\":' || CAST(json_extract(props, '/k') AS VARCHAR) || '}' AS canonical FROM events")
 def json_canonical_text(spark, sf_dir):
     """Canonical writer: sorted members, one spelling for equal numbers, last duplicate kept."""
-    text = F.concat(F.lit('{"k":0,"k":'), C.json_pointer("props", "/k"), F.lit(',"a":[1.0,1e2,5E-1]}'))
-    return table(spark, sf_dir, "events").select("event_id", C.json_canonical(text, JsonOptions(duplicates="last")).alias("canonical"))
+    text = F.concat(F.lit('{"k":0,"k":'), C.json_get("props", "/k"), F.lit(',"a":[1.0,1e2,5E-1]}'))
+    return dealt(spark, sf_dir, "events").select("event_id", C.json_canonical(text, JsonOptions(duplicates="last")).alias("canonical"))
 
 
 @query("SELECT event_type, count(*) * 3 AS n_records FROM events GROUP BY 1")
 def json_record_sequence(spark, sf_dir):
     """Record sequences (RFC 7464 separators)."""
     seq = F.concat(F.lit("\x1e"), F.col("props"), F.lit("\n\x1e"), F.col("event_id").cast("string"), F.lit("\n\x1e[null]\n"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.size(C.json_records(seq, "seq"))).alias("n_records"))
+    return dealt(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.size(C.json_records(seq, "seq"))).alias("n_records"))
 
 
 @query("SELECT c_custkey, c_name || ', \"x\"' AS name, c_mktsegment AS segment FROM customer")
 def csv_write_parse_round_trip(spark, sf_dir):
     """Records written with minimal quoting by column expressions and parsed again."""
     fields = F.array(F.col("c_custkey").cast("string"), F.concat("c_name", F.lit(', "x"')), F.col("c_mktsegment"))
-    text = table(spark, sf_dir, "customer").select(csv_table.record(fields).alias("text"))
+    text = dealt(spark, sf_dir, "customer").select(csv_table.record(fields).alias("text"))
     rows = csv_table.parse(text, "text")
     return rows.select(csv_table.field(0).cast("long").alias("c_custkey"), csv_table.field(1).alias("name"), csv_table.field(2).alias("segment"))
 
@@ -181,7 +184,8 @@ def csv_sniff_delimiter(spark, sf_dir):
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selectors.node_table(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "html")
+    """Node table of the pages, written once, so that every compound of a selector scans it and no page is parsed again."""
+    return stash(selectors.node_table(dealt(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "html"), "nodes")
 
 
 def _count_by_page(selector: str):
@@ -218,7 +222,7 @@ def html_sanitized_links(spark, sf_dir):
     from .functions import markup
 
     clean = C.value_udf(markup.sanitize, "string", "html")
-    return table(spark, sf_dir, "pages").select("page_id", clean.alias("c")).select(
+    return dealt(spark, sf_dir, "pages").select("page_id", clean.alias("c")).select(
         "page_id", F.size(F.regexp_extract_all("c", F.lit("(<script)"), 1)).alias("n_script"), F.size(F.regexp_extract_all("c", F.lit('(rel="nofollow")'), 1)).cast("long").alias("n_links")
     )
 
@@ -283,7 +287,6 @@ def as_of_previous_purchase(spark, sf_dir):
 
 from .functions import encoding_text, ini_text, toml_text  # noqa: E402
 from .operators import cascade  # noqa: E402
-from .runtime import stash  # noqa: E402
 
 #: A sheet with layers, importance, nesting, conditions and inheritance.
 SHEET = """
@@ -310,7 +313,7 @@ UNION ALL SELECT page_id, 'color', 'olive', 1 FROM pages
 """)
 def cascade_winners(spark, sf_dir):
     """Winning declarations of a sheet by origin, layer, specificity and order."""
-    nodes = stash(page_nodes(spark, sf_dir), "nodes")  # read once for each selector of the sheet
+    nodes = page_nodes(spark, sf_dir)
     ranked = cascade.cascade(cascade.candidates(nodes, ["page_id"], SHEET, environment=SCREEN), ["page_id"])
     won = ranked.where("rank = 1 and prop = 'color'")
     return won.groupBy("page_id", "prop", "value").agg(F.count("*").alias("n"))
@@ -319,7 +322,7 @@ def cascade_winners(spark, sf_dir):
 @query("SELECT page_id, 'teal' AS value, len(regexp_extract_all(html, '<li><a')) AS n FROM pages WHERE contains(html, '<li><a')")
 def computed_inherited_color(spark, sf_dir):
     """Computed colour of links: inherited from the nearest element with a winner."""
-    nodes = stash(page_nodes(spark, sf_dir), "nodes")  # read once for each selector of the sheet
+    nodes = page_nodes(spark, sf_dir)
     ranked = cascade.cascade(cascade.candidates(nodes, ["page_id"], SHEET, environment=SCREEN), ["page_id"])
     colors = cascade.computed(nodes, ["page_id"], ranked, "color")
     links = selectors.select_all(nodes, ["page_id"], "nav a").select("page_id", "pre")
@@ -329,7 +332,7 @@ def computed_inherited_color(spark, sf_dir):
 @query("SELECT page_id, 1 AS n_losers FROM pages WHERE contains(html, '<p>')")
 def cascade_losers(spark, sf_dir):
     """Declarations that lost on the first paragraph of an article to a rule of no layer, by layer."""
-    nodes = stash(page_nodes(spark, sf_dir), "nodes")  # read once for each selector of the sheet
+    nodes = page_nodes(spark, sf_dir)
     ranked = cascade.cascade(cascade.candidates(nodes, ["page_id"], SHEET, environment=SCREEN), ["page_id"])
     lost = ranked.where("prop = 'color' and rank = 2 and value = 'green'")
     return lost.groupBy("page_id").agg(F.count("*").cast("int").alias("n_losers"))

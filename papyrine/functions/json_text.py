@@ -12,6 +12,8 @@ import math
 import re
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import cache
+from json.encoder import encode_basestring, encode_basestring_ascii
 
 from .errors import Limits, TextError
 
@@ -55,6 +57,7 @@ JSON5 = JsonOptions(comments=True, trailing_commas=True, nonfinite=True, single_
 
 _SPACE = " \t\n\r"
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_PLAIN_INTEGER = re.compile(r"0|-?[1-9][0-9]{0,14}")
 _LOOSE_NUMBER = re.compile(r"[+-]?(?:0[xX][0-9a-fA-F]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|Infinity|NaN)")
 _ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 _IDENTIFIER = re.compile(r"[^\W\d][\w$]*|\$[\w$]*")
@@ -93,18 +96,33 @@ def parse(text: str, options: JsonOptions = JsonOptions()) -> object:
     return value
 
 
-def _strict(text: str, options: JsonOptions) -> object:
-    def refuse(name: str):
-        raise TextError("number", f"{name} is not JSON", text, max(0, text.find(name)))
+class _Constant(Exception):
+    """NaN or an infinity in a strict text."""
+
+
+def _refuse(name: str):
+    raise _Constant(name)
+
+
+@cache
+def _decoder(policy: str) -> json.JSONDecoder:
+    def members(pairs: list[tuple[str, object]]) -> dict:
+        out = dict(pairs)
+        return out if len(out) == len(pairs) else _fold(pairs, policy, "")
 
-    decoder = json.JSONDecoder(object_pairs_hook=lambda pairs: _fold(pairs, options.duplicates, text), parse_int=Number, parse_float=Number, parse_constant=refuse)
+    return json.JSONDecoder(object_pairs_hook=members, parse_int=Number, parse_float=Number, parse_constant=_refuse)
+
+
+def _strict(text: str, options: JsonOptions) -> object:
     try:
-        value = decoder.decode(text)
+        value = _decoder(options.duplicates).decode(text)
     except json.JSONDecodeError as e:
         raise TextError("syntax", e.msg, text, e.pos) from None
+    except _Constant as e:
+        raise TextError("number", f"{e} is not JSON", text, max(0, text.find(str(e)))) from None
     except RecursionError:
         raise TextError("limit", "nested too deeply", text, 0) from None
-    if re.search(r"\\u[dD][89a-fA-F]", text):
+    if "\\u" in text and re.search(r"\\u[dD][89a-fA-F]", text):
         _no_lone_surrogates(value, text)
     return value
 
@@ -122,6 +140,8 @@ def _no_lone_surrogates(value: object, text: str) -> None:
 
 
 def _check(value: object, limits: Limits, text: str) -> None:
+    if len(text) <= min(limits.items, limits.string) and text.count("[") + text.count("{") <= limits.depth:
+        return  # too short to break a limit
     pending = [(value, 0)]
     while pending:
         v, depth = pending.pop()
@@ -354,6 +374,8 @@ CANONICAL = JsonStyle(sort_keys=True, numbers="canonical")
 
 def canonical_number(lexeme: str) -> str:
     """One spelling for equal numbers: integers in full, else the shortest form of the double."""
+    if _PLAIN_INTEGER.fullmatch(lexeme):
+        return str(lexeme)
     d = Number(lexeme).decimal()
     if not d.is_finite():
         return str(lexeme)
@@ -372,8 +394,10 @@ def canonical_number(lexeme: str) -> str:
 def write(value: object, style: JsonStyle = JsonStyle()) -> str:
     """JSON text of a value."""
 
+    encode = encode_basestring_ascii if style.ascii else encode_basestring
+
     def quoted(s: str) -> str:
-        out = json.dumps(s, ensure_ascii=style.ascii)
+        out = encode(s)
         return out.replace("/", "\\/") if style.escape_slash else out
 
     def put(v: object, level: int) -> str:

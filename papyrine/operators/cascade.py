@@ -110,8 +110,22 @@ def expand(name: str, value: str) -> list[tuple[str, str]]:
     return [(name, value)]
 
 
+def _layer_order(named: list[str]) -> list[str]:
+    """Layers from the weakest: sub-layers by first mention, then the rules of the layer that holds them."""
+    out: list[str] = []
+
+    def visit(parent: str | None) -> None:
+        for name in named:
+            if name.rpartition(".")[0] == (parent or ""):
+                visit(name)
+                out.append(name)
+
+    visit(None)
+    return out
+
+
 def compile_sheet(css: str) -> tuple[list[Declaration], list[str]]:
-    """Declarations of a sheet in order, and its layers in order of first mention.
+    """Declarations of a sheet in order, and its layers from the weakest.
 
     Nested rules, ``@media``, ``@supports`` (tested at once) and ``@layer`` are
     resolved; a rule whose selector does not parse is dropped, as the standard has it.
@@ -157,7 +171,7 @@ def compile_sheet(css: str) -> tuple[list[Declaration], list[str]]:
                 walk("\n".join(nested), layer, media, text_of)
 
     walk(_strip(css), None, (), None)
-    return out, layers
+    return out, _layer_order(layers)
 
 
 def supports(condition: str) -> bool:

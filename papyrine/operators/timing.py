@@ -1,8 +1,8 @@
 """Animation timing as column expressions: phases, progress, easing, keyframes.
 
 Time is data: a row of ``animations`` meets rows of times by a join, and nothing
-reads a clock.  Keyframes are bracketed by one join on the animation and an
-aggregation, as an as-of join needs.
+reads a clock.  Keyframes meet times by one join with the sorted frames of each
+animation.
 """
 
 from __future__ import annotations
@@ -41,14 +41,18 @@ def steps(progress: Column, count: int, position: str = "jump-end") -> Column:
 
 
 def sample_keyframes(times: DataFrame, frames: DataFrame, key: list[str], progress: str = "progress") -> DataFrame:
-    """``times`` with value: frames (key, offset, value) around the progress, interpolated linearly."""
-    under = F.col("offset") <= F.col(progress)
-    joined = times.join(frames.select(*key, "offset", F.col("value").alias("_v")), key)
-    bracket = joined.groupBy(*times.columns).agg(
-        F.max_by(F.struct("offset", "_v"), F.when(under, F.col("offset"))).alias("a"), F.min_by(F.struct("offset", "_v"), F.when(~under, F.col("offset"))).alias("b"),
-        F.min(F.struct("offset", "_v")).alias("first"),
-    )
-    bracket = bracket.withColumn("a", F.coalesce("a", "first")).withColumn("b", F.coalesce("b", "a"))
-    span = F.col("b.offset") - F.col("a.offset")
-    share = F.when(span == 0, 0.0).otherwise((F.col(progress) - F.col("a.offset")) / span)
-    return bracket.select(*times.columns, (F.col("a._v") + share * (F.col("b._v") - F.col("a._v"))).alias("value"))
+    """``times`` with value: frames (key, offset, value) around the progress, interpolated linearly.
+
+    The frames of a key are one sorted array, so every row of ``times`` whose key has
+    frames gives one row, repeated rows included.  Before the first frame and for a null
+    progress the first value holds, after the last frame the last.
+    """
+    listed = frames.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("offset", F.col("value").alias("v")))).alias("_frames"))
+    at = F.col(progress)
+    under = F.try_element_at(F.filter("_frames", lambda x: x["offset"] <= at), F.lit(-1))
+    over = F.try_element_at(F.filter("_frames", lambda x: x["offset"] > at), F.lit(1))
+    joined = times.join(listed, key).withColumn("_a", F.coalesce(under, F.element_at("_frames", 1))).withColumn("_b", F.coalesce(over, "_a"))
+    span = F.col("_b.offset") - F.col("_a.offset")
+    share = F.when(span == 0, 0.0).otherwise((at - F.col("_a.offset")) / span)
+    value = F.col("_a.v") + F.when(at < F.col("_a.offset"), 0.0).otherwise(F.coalesce(share, F.lit(0.0))) * (F.col("_b.v") - F.col("_a.v"))
+    return joined.select(*times.columns, value.alias("value"))

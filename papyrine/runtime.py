@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the workers if their path lacks it."""
+    """Make this package importable on the workers; only those of a local master share the driver's path."""
     home = str(_ROOT.parent)
     places = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
     app = spark.sparkContext.applicationId
-    if os.path.realpath(home) in places or app in _shipped:
+    if spark.sparkContext.master.startswith("local[") and os.path.realpath(home) in places or app in _shipped:
         return
     target = Path(tempfile.mkdtemp(prefix="papyrine-")) / f"{_ROOT.name}.zip"
     with zipfile.ZipFile(target, "w") as archive:
@@ -54,6 +54,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its scan has fewer partitions than there are cores.
+
+    A small file is one row group and so one task, however costly what follows is;
+    a large table has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
@@ -87,8 +97,8 @@ def _sweep() -> None:
     for path, spark in _stashes.items():
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone
-            return
+        except Exception:  # noqa: BLE001  this session is gone, another may live
+            continue
 
 
 #: Bytes of an Arrow batch sent to Python, where the session has Spark's own default.

@@ -19,14 +19,22 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, dialect: csv_text.Dialect = csv_text.Dialect(), header: bool = False) -> DataFrame:
-    """(file, row_idx, fields) of CSV files, ragged rows kept; with ``header`` the first row of each file is a map's keys."""
+    """(file, row_idx, fields) of CSV files, ragged rows kept.
+
+    With ``header`` the first row of each file names the cells: ``record`` maps each
+    name to its cell (a repeated name to its first), ``fields`` has all cells in
+    order and ``surplus`` those beyond the header, so that no cell is lost.
+    """
     rows = csv_table.parse(_files(spark, path), "text", dialect).drop("text")
     if not header:
         return rows
     names = rows.where("row_idx = 0").select("file", F.col("fields").alias("names"))
     body = rows.where("row_idx > 0").join(names, "file")
-    pairs = F.arrays_zip(F.slice("names", F.lit(1), F.least(F.size("names"), F.size("fields"))).alias("k"), F.slice("fields", F.lit(1), F.least(F.size("names"), F.size("fields"))).alias("v"))
-    return body.select("file", (F.col("row_idx") - 1).alias("row_idx"), F.map_from_entries(pairs).alias("record"))
+    width = F.least(F.size("names"), F.size("fields"))
+    pairs = F.arrays_zip(F.slice("names", F.lit(1), width).alias("k"), F.slice("fields", F.lit(1), width).alias("v"))
+    first = F.filter(pairs, lambda x, i: F.array_position("names", x["k"]) == i + 1)
+    surplus = F.slice("fields", width + 1, F.greatest(F.size("fields") - width, F.lit(0)))
+    return body.select("file", (F.col("row_idx") - 1).alias("row_idx"), F.map_from_entries(first).alias("record"), "fields", surplus.alias("surplus"))
 
 
 def read_json_records(spark: SparkSession, path: str, mode: str = "line") -> DataFrame:

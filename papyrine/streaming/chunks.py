@@ -5,7 +5,9 @@ for each stream holds chunks not yet in sequence and the tail of the text that
 no complete record has used; rows do not depend on where the text was cut.  The
 watermark rules of Spark apply if the caller sets one; a stream without its last
 chunk keeps its tail until then.  A stream whose state grows over ``max_state``
-characters, or whose text is bad, emits one error row and drops what follows.
+characters, or whose text is bad, emits one error row; what follows is dropped on
+arrival, and the mark that it failed goes when all its chunks have come.  A chunk
+that comes again is ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ..functions.errors import TextError
 from ..runtime import ship
 
 OUTPUT = "stream_id string, record_idx long, record string, error string"
-_STATE = "next_seq long, emitted long, tail string, waiting string, failed boolean, final_seq long"
+_STATE = "next_seq long, emitted long, tail string, waiting string, failed boolean, final_seq long, dropped long"
 
 
 def _csv_records(text: str, last: bool, dialect: csv_text.Dialect) -> tuple[list[str], str]:
@@ -61,32 +63,46 @@ def parse_chunks(chunks: DataFrame, kind: str = "csv", dialect: csv_text.Dialect
     split = {"csv": _csv_records, "json": _json_lines}[kind]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_seq, emitted, tail, waiting, failed, final = state.get if state.exists else (0, 0, "", "{}", False, -1)
+        next_seq, emitted, tail, waiting, failed, final, dropped = state.get if state.exists else (0, 0, "", "{}", False, -1, 0)
         held = {int(k): v for k, v in json.loads(waiting).items()}
+        size = len(tail) + sum(map(len, held.values()))
+        rows: list[tuple] = []
+
+        def fail(e: TextError) -> None:
+            nonlocal failed, tail, size, dropped
+            rows.append((key[0], emitted, None, str(e)))
+            dropped = next_seq + len(held)
+            failed, tail, size = True, "", 0
+            held.clear()
+
         for batch in batches:
             for seq, data, last in zip(batch["seq"], batch["data"], batch["last"], strict=True):
-                if int(seq) >= next_seq:
-                    held[int(seq)] = data or ""
+                seq, data = int(seq), data or ""
                 if last:
-                    final = int(seq)
-        rows: list[tuple] = []
-        while next_seq in held and not failed:
-            tail += held.pop(next_seq)
-            done = next_seq == final
-            next_seq += 1
-            try:
-                found, tail = split(tail, done, dialect)
-                rows += [(key[0], emitted + i, r, None) for i, r in enumerate(found)]
-                emitted += len(found)
-                if len(tail) + sum(map(len, held.values())) > max_state:
-                    raise TextError("limit", "the stream's state is too large")
-            except TextError as e:
-                rows.append((key[0], emitted, None, str(e)))
-                failed, tail, held = True, "", {}
-        if next_seq > final >= 0:
+                    final = seq
+                if failed:
+                    dropped += 1
+                    continue
+                if seq >= next_seq and seq not in held:
+                    held[seq] = data
+                    size += len(data)
+                try:
+                    while next_seq in held:
+                        tail += held.pop(next_seq)
+                        done = next_seq == final
+                        next_seq += 1
+                        found, left = split(tail, done, dialect)
+                        size, tail = size - len(tail) + len(left), left
+                        rows += [(key[0], emitted + i, r, None) for i, r in enumerate(found)]
+                        emitted += len(found)
+                    if size > max_state:
+                        raise TextError("limit", "the stream's state is too large")
+                except TextError as e:
+                    fail(e)
+        if (dropped if failed else next_seq) > final >= 0:
             state.remove()
         else:
-            state.update((next_seq, emitted, tail, json.dumps(held), failed, final))
+            state.update((next_seq, emitted, tail, json.dumps(held), failed, final, dropped))
         yield pd.DataFrame(rows, columns=["stream_id", "record_idx", "record", "error"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
