@@ -169,6 +169,34 @@ def json_records(column: Column | str, mode: str, options: Options = Options(),
     return value_udf(lambda t: [json_text.write(v) for v in json_text.records(t, mode, options)], "array<string>", column, on_error=on_error)
 
 
+def json_put(column: Column | str, pointer: str, value: Column | str, on_error: str = "null") -> Column:
+    """JSON text with the member or item at the pointer set to a JSON text."""
+    json_text.pointer_tokens(pointer)
+    return value_udf(lambda t, v: json_text.write(json_text.put(json_text.parse(t), pointer, json_text.parse(v))), "string", column, value, on_error=on_error)
+
+
+def json_insert(column: Column | str, pointer: str, value: Column | str, on_error: str = "null") -> Column:
+    """JSON text with a JSON text put before the item at the pointer."""
+    json_text.pointer_tokens(pointer)
+    return value_udf(lambda t, v: json_text.write(json_text.insert(json_text.parse(t), pointer, json_text.parse(v))), "string", column, value, on_error=on_error)
+
+
+def json_remove(column: Column | str, pointer: str, on_error: str = "null") -> Column:
+    """JSON text without the member or item at the pointer."""
+    json_text.pointer_tokens(pointer)
+    return value_udf(lambda t: json_text.write(json_text.remove(json_text.parse(t), pointer)), "string", column, on_error=on_error)
+
+
+def json_merge(a: Column | str, b: Column | str, policy: str = "last", on_error: str = "null") -> Column:
+    """JSON text of the members of two objects."""
+    return value_udf(lambda x, y: json_text.write(json_text.merge(json_text.parse(x), json_text.parse(y), policy)), "string", a, b, on_error=on_error)
+
+
+def json_events(column: Column | str, on_error: str = "raise") -> Column:
+    """Parse events in document order, repeated members kept: rows of a stream of events by ``posexplode``."""
+    return value_udf(json_text.events, "array<struct<event:string,depth:int,key:string,value:string>>", column, on_error=on_error)
+
+
 # --- other formats ---
 
 
@@ -281,3 +309,13 @@ def css_color(column: Column | str) -> Column:
     from . import css_values
 
     return value_udf(lambda t: css_values.serialize_color(css_values.color(t)), "string", column, on_error="null")
+
+
+def css_substitute(value: Column | str, properties: Column | str, environment: dict[str, str] | None = None) -> Column:
+    """Value with ``var()`` and ``env()`` replaced; null if it is invalid at computed-value time.
+
+    ``properties`` is a map of custom properties of the element, ``environment`` the ``env()`` names.
+    """
+    from . import css_values
+
+    return value_udf(lambda v, p: css_values.substitute(v, dict(p), environment or {}), "string", value, properties, on_error="null")

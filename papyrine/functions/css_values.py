@@ -161,12 +161,27 @@ class _Math:
         self.fail(f"{name}() is unknown or has other arguments")
 
 
-#: The sixteen basic colour keywords and transparent.
-NAMED = {
-    "black": "000000", "silver": "c0c0c0", "gray": "808080", "white": "ffffff", "maroon": "800000", "red": "ff0000", "purple": "800080", "fuchsia": "ff00ff",
-    "green": "008000", "lime": "00ff00", "olive": "808000", "yellow": "ffff00", "navy": "000080", "blue": "0000ff", "teal": "008080", "aqua": "00ffff",
-    "orange": "ffa500", "rebeccapurple": "663399", "transparent": "00000000",
-}
+#: The named colours of CSS Color 4.
+NAMED = dict(
+    pair.split(":") for pair in (
+        "aliceblue:f0f8ff antiquewhite:faebd7 aqua:00ffff aquamarine:7fffd4 azure:f0ffff beige:f5f5dc bisque:ffe4c4 black:000000 blanchedalmond:ffebcd blue:0000ff "
+        "blueviolet:8a2be2 brown:a52a2a burlywood:deb887 cadetblue:5f9ea0 chartreuse:7fff00 chocolate:d2691e coral:ff7f50 cornflowerblue:6495ed cornsilk:fff8dc crimson:dc143c "
+        "cyan:00ffff darkblue:00008b darkcyan:008b8b darkgoldenrod:b8860b darkgray:a9a9a9 darkgreen:006400 darkgrey:a9a9a9 darkkhaki:bdb76b darkmagenta:8b008b "
+        "darkolivegreen:556b2f darkorange:ff8c00 darkorchid:9932cc darkred:8b0000 darksalmon:e9967a darkseagreen:8fbc8f darkslateblue:483d8b darkslategray:2f4f4f "
+        "darkslategrey:2f4f4f darkturquoise:00ced1 darkviolet:9400d3 deeppink:ff1493 deepskyblue:00bfff dimgray:696969 dimgrey:696969 dodgerblue:1e90ff firebrick:b22222 "
+        "floralwhite:fffaf0 forestgreen:228b22 fuchsia:ff00ff gainsboro:dcdcdc ghostwhite:f8f8ff gold:ffd700 goldenrod:daa520 gray:808080 green:008000 greenyellow:adff2f "
+        "grey:808080 honeydew:f0fff0 hotpink:ff69b4 indianred:cd5c5c indigo:4b0082 ivory:fffff0 khaki:f0e68c lavender:e6e6fa lavenderblush:fff0f5 lawngreen:7cfc00 "
+        "lemonchiffon:fffacd lightblue:add8e6 lightcoral:f08080 lightcyan:e0ffff lightgoldenrodyellow:fafad2 lightgray:d3d3d3 lightgreen:90ee90 lightgrey:d3d3d3 lightpink:ffb6c1 "
+        "lightsalmon:ffa07a lightseagreen:20b2aa lightskyblue:87cefa lightslategray:778899 lightslategrey:778899 lightsteelblue:b0c4de lightyellow:ffffe0 lime:00ff00 "
+        "limegreen:32cd32 linen:faf0e6 magenta:ff00ff maroon:800000 mediumaquamarine:66cdaa mediumblue:0000cd mediumorchid:ba55d3 mediumpurple:9370db mediumseagreen:3cb371 "
+        "mediumslateblue:7b68ee mediumspringgreen:00fa9a mediumturquoise:48d1cc mediumvioletred:c71585 midnightblue:191970 mintcream:f5fffa mistyrose:ffe4e1 moccasin:ffe4b5 "
+        "navajowhite:ffdead navy:000080 oldlace:fdf5e6 olive:808000 olivedrab:6b8e23 orange:ffa500 orangered:ff4500 orchid:da70d6 palegoldenrod:eee8aa palegreen:98fb98 "
+        "paleturquoise:afeeee palevioletred:db7093 papayawhip:ffefd5 peachpuff:ffdab9 peru:cd853f pink:ffc0cb plum:dda0dd powderblue:b0e0e6 purple:800080 rebeccapurple:663399 "
+        "red:ff0000 rosybrown:bc8f8f royalblue:4169e1 saddlebrown:8b4513 salmon:fa8072 sandybrown:f4a460 seagreen:2e8b57 seashell:fff5ee sienna:a0522d silver:c0c0c0 "
+        "skyblue:87ceeb slateblue:6a5acd slategray:708090 slategrey:708090 snow:fffafa springgreen:00ff7f steelblue:4682b4 tan:d2b48c teal:008080 thistle:d8bfd8 tomato:ff6347 "
+        "transparent:00000000 turquoise:40e0d0 violet:ee82ee wheat:f5deb3 white:ffffff whitesmoke:f5f5f5 yellow:ffff00 yellowgreen:9acd32"
+    ).split()
+)
 
 
 def color(text: str) -> tuple[float, float, float, float]:
@@ -272,3 +287,76 @@ def cubic_bezier(x1: float, y1: float, x2: float, y2: float, t: float) -> float:
         else:
             high = mid
     return at(y1, y2, (low + high) / 2)
+
+
+# --- custom properties ---
+
+_REFERENCE = re.compile(r"\b(var|env)\(", re.I)
+
+
+def _references(value: str):
+    """(begin, end, function, name, fallback) of the outermost references of a value."""
+    at = 0
+    while m := _REFERENCE.search(value, at):
+        depth, i, comma = 1, m.end(), -1
+        while i < len(value) and depth:
+            depth += (value[i] == "(") - (value[i] == ")")
+            comma = i if comma < 0 and depth == 1 and value[i] == "," else comma
+            i += 1
+        if depth:
+            raise TextError("css", "a parenthesis is not closed", value, m.start())
+        name = value[m.end() : comma if comma >= 0 else i - 1].strip()
+        yield m.start(), i, m[1].lower(), name, value[comma + 1 : i - 1].strip() if comma >= 0 else None
+        at = i
+
+
+def _named(value: str) -> set[str]:
+    """Custom properties that a value refers to, fallbacks included."""
+    out: set[str] = set()
+    for _, _, function, name, fallback in _references(value):
+        if function == "var":
+            out.add(name)
+        out |= _named(fallback) if fallback else set()
+    return out
+
+
+def cyclic(properties: dict[str, str]) -> set[str]:
+    """Custom properties that lie on a cycle of references."""
+    edges = {k: {n for n in _named(v) if n in properties} for k, v in properties.items()}
+    reach = {k: set(v) for k, v in edges.items()}
+    changed = True
+    while changed:
+        changed = False
+        for k, own in reach.items():
+            more = set().union(*(reach[n] for n in own)) - own if own else set()
+            if more:
+                own |= more
+                changed = True
+    return {k for k, own in reach.items() if k in own}
+
+
+def substitute(value: str, properties: dict[str, str], environment: dict[str, str], limit: int = 1 << 20) -> str | None:
+    """``value`` with its references replaced; None where one is invalid and has no fallback, or the result is too long."""
+    dead, known = cyclic(properties), {}
+
+    def of(name: str) -> str | None:
+        if name not in known:
+            own = properties.get(name)
+            known[name] = None if own is None or name in dead or own.strip().lower() == "initial" else expand(own)
+        return known[name]
+
+    def expand(text: str) -> str | None:
+        out, at = [], 0
+        for begin, end, function, name, fallback in _references(text):
+            found = of(name) if function == "var" else environment.get(name)
+            if found is None and fallback is not None:
+                found = expand(fallback)
+            if found is None:
+                return None
+            out += [text[at:begin], found]
+            at = end
+            if sum(map(len, out)) > limit:
+                return None
+        return "".join(out) + text[at:]
+
+    return expand(value)

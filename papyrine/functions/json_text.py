@@ -581,3 +581,72 @@ def merge_patch(target: object, change: object) -> object:
         else:
             out[key] = merge_patch(out.get(key), value)
     return out
+
+
+# --- setters and events ---
+
+
+def put(target: object, pointer: str, value: object) -> object:
+    """Copy of ``target`` with the member or item at ``pointer`` set; a new member goes last, '-' appends an item."""
+    tokens = pointer_tokens(pointer)
+    parent = pointer_get(target, tokens[:-1], _MISSING) if tokens else _MISSING
+    there = isinstance(parent, list) and tokens[-1] != "-"
+    return patch(target, [{"op": "replace" if there else "add", "path": pointer, "value": value}])
+
+
+def insert(target: object, pointer: str, value: object) -> object:
+    """Copy of ``target`` with an item put before the one at ``pointer``."""
+    if not isinstance(pointer_get(target, pointer_tokens(pointer)[:-1], _MISSING), list):
+        raise TextError("patch", f"{pointer!r} is not in an array")
+    return patch(target, [{"op": "add", "path": pointer, "value": value}])
+
+
+def remove(target: object, pointer: str) -> object:
+    """Copy of ``target`` without the member or item at ``pointer``."""
+    return patch(target, [{"op": "remove", "path": pointer}])
+
+
+def merge(a: object, b: object, policy: str = "last") -> object:
+    """Members of two objects in one, not merged below; ``policy`` for names of both: first, last or error."""
+    if not isinstance(a, dict) or not isinstance(b, dict):
+        raise TextError("type", "two objects are needed")
+    if policy == "error" and (both := a.keys() & b.keys()):
+        raise TextError("duplicate-key", f"member {min(both)!r} is in both objects")
+    return a | b if policy == "last" else b | a if policy == "first" and a.keys() >= b.keys() else {**a, **{k: v for k, v in b.items() if k not in a}}
+
+
+class _Members(list):
+    """Members of an object in order, repeated names kept."""
+
+
+def events(text: str, limits: Limits = Limits()) -> list[dict]:
+    """Parse events in document order: event, depth, key of the member they belong to, value of a scalar.
+
+    Repeated member names give an event each.
+    """
+    decoder = json.JSONDecoder(object_pairs_hook=_Members, parse_int=Number, parse_float=Number, parse_constant=_refuse)
+    try:
+        whole = decoder.decode(text.removeprefix("\ufeff"))
+    except json.JSONDecodeError as e:
+        raise TextError("syntax", e.msg, text, e.pos) from None
+    except _Constant as e:
+        raise TextError("number", f"{e} is not JSON", text, max(0, text.find(str(e)))) from None
+    except RecursionError:
+        raise TextError("limit", "nested too deeply", text, 0) from None
+    out: list[dict] = []
+    pending: list[tuple] = [("value", whole, 0, None)]
+    while pending:
+        kind, v, depth, key = pending.pop()
+        if kind != "value":
+            out.append({"event": kind, "depth": depth, "key": key, "value": None})
+        elif isinstance(v, list):
+            if depth >= limits.depth:
+                raise TextError("limit", "nested too deeply", text, 0)
+            name = "object" if isinstance(v, _Members) else "array"
+            out.append({"event": f"begin_{name}", "depth": depth, "key": key, "value": None})
+            pending.append((f"end_{name}", None, depth, key))
+            inner = v if name == "object" else [(None, x) for x in v]
+            pending.extend(("value", x, depth + 1, k) for k, x in reversed(inner))
+        else:
+            out.append({"event": type_name(v), "depth": depth, "key": key, "value": v if isinstance(v, str) else write(v)})
+    return out

@@ -51,11 +51,18 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\0]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^'
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-def parse_html(text: str, limits: Limits = Limits(depth=512, items=10_000_000)) -> list[dict]:
-    """Node rows of an HTML document: tokenizer and the core insertion rules.
+#: Fixed values of the HTML standard: where rows and cells stand, and what may stand in a table beside them.
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
+TABLE_SCOPES = {"caption": "table", "colgroup": "table", "tbody": "table", "thead": "table", "tfoot": "table", "tr": "tbody", "td": "tr", "th": "tr", "col": "colgroup"}
+
+
+def parse_html(text: str, limits: Limits = Limits(depth=512, items=10_000_000), context: str | None = None) -> list[dict]:
+    """Node rows of an HTML document, or of a fragment inside a ``context`` element.
 
     Covered: doctype, comments, raw text, void elements, implied html, head and
-    body, implied end tags, misnested formatting elements (reopened after the
+    body, implied table bodies, rows and column groups, content of a table that must
+    stand before it, implied end tags, misnested formatting elements (reopened after the
     element that closed them), stray end tags, character references.
     """
     if len(text) > limits.total:
@@ -64,7 +71,10 @@ def parse_html(text: str, limits: Limits = Limits(depth=512, items=10_000_000))
     html, head, body = Tree("element", "html"), Tree("element", "head"), Tree("element", "body")
     html.children = [head, body]
     stack = [html, head]
-    in_head = True
+    in_head = context is None
+    if context:
+        body.name = context.lower()
+        stack = [html, body]
     count = 0
 
     def top() -> Tree:
@@ -85,11 +95,22 @@ def parse_html(text: str, limits: Limits = Limits(depth=512, items=10_000_000))
             if not value.strip(" \t\n\f"):
                 return
             to_body()
-        own = top().children
-        if own and own[-1].kind == "text":
-            own[-1].text += value
+        own, at = top().children, None
+        if top().name in TABLE_PARTS and value.strip(" \t\n\f"):
+            own, at = before_table()
+        at = len(own) if at is None else at
+        if at and own[at - 1].kind == "text":
+            own[at - 1].text += value
         else:
-            own.append(Tree("text", text=value))
+            own.insert(at, Tree("text", text=value))
+
+    def before_table() -> tuple[list[Tree], int]:
+        """Children of the innermost table's parent and the table's place among them."""
+        at = max((i for i, x in enumerate(stack) if x.name == "table"), default=1)
+        if at < 2:
+            return stack[1].children, len(stack[1].children)
+        own = stack[at - 1].children
+        return own, next(i for i in range(len(own) - 1, -1, -1) if own[i] is stack[at])
 
     at, n = 0, len(text)
     while at < n:
@@ -147,13 +168,26 @@ def parse_html(text: str, limits: Limits = Limits(depth=512, items=10_000_000))
                 _close(stack, {"p"}, {"button", "table", "td", "th", "caption", "object"})
             if name in IMPLIED:
                 tags, stop = IMPLIED[name]
-                _close(stack, set(tags.split()), set(stop.split()))
+                while _close(stack, set(tags.split()), set(stop.split())) and name in TABLE_SCOPES:
+                    pass
+            if top().name == "colgroup" and name not in ("col", "template"):
+                stack.pop()
+            while (parent := TABLE_SCOPES.get(name)) and top().name in TABLE_PARTS and top().name != parent and not (name == "tr" and top().name in ("thead", "tfoot")):
+                implied = "tbody" if top().name == "table" and parent != "colgroup" else parent
+                if implied == "table":
+                    break
+                top().children.append(made := Tree("element", implied))
+                stack.append(made)
             if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", top().name):
                 stack.pop()
             if name == "a" and any(x.name == "a" for x in stack):
                 _end_tag(stack, "a", False)
         node = Tree("element", name, attrs)
-        top().children.append(node)
+        if not in_head and top().name in TABLE_PARTS and name not in IN_TABLE and not (name == "input" and attrs.get("type", "").lower() == "hidden"):
+            own, place = before_table()
+            own.insert(place, node)
+        else:
+            top().children.append(node)
         if name in RAW_TEXT or name in ESCAPABLE_RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(text, at)
             stop = end.start() if end else n
@@ -168,7 +202,7 @@ def parse_html(text: str, limits: Limits = Limits(depth=512, items=10_000_000))
             if len(stack) >= limits.depth:
                 raise TextError("limit", "too many open elements", text[:1], 0)
             stack.append(node)
-    root.children.append(html)
+    root.children = body.children if context else [*root.children, html]
     return rows(root)
 
 
@@ -176,13 +210,14 @@ def html_used(stack: list[Tree], html: Tree, root: Tree) -> bool:
     return len(stack) > 2 or bool(html.attrs)
 
 
-def _close(stack: list[Tree], tags: set[str], stop: set[str]) -> None:
+def _close(stack: list[Tree], tags: set[str], stop: set[str]) -> bool:
     for i in range(len(stack) - 1, 1, -1):
         if stack[i].name in stop:
-            return
+            return False
         if stack[i].name in tags:
             del stack[i:]
-            return
+            return True
+    return False
 
 
 def _end_tag(stack: list[Tree], name: str, in_head: bool) -> None:

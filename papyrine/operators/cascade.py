@@ -315,6 +315,31 @@ def cascade(found: DataFrame, id_cols: list[str]) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order))
 
 
+def resolved(ranked: DataFrame, id_cols: list[str]) -> DataFrame:
+    """(ids, pre, prop, value): the winner after ``revert`` and ``revert-layer``; null if nothing is left.
+
+    ``revert`` sets aside all declarations of its origin, ``revert-layer`` those of its
+    layer, and the next candidate decides.  The candidates of one property of one
+    element are one array, walked by a fold.
+    """
+    own = F.struct("rank", "origin", F.concat_ws("/", "origin", F.when(F.col("attached"), F.lit("style")).otherwise(F.col("layer").cast("string"))).alias("layer"), "value")
+    listed = ranked.groupBy(*id_cols, "pre", "prop").agg(F.array_sort(F.collect_list(own)).alias("_all"))
+    nothing = F.array().cast("array<string>")
+    begin = F.struct(F.lit(False).alias("done"), F.lit(None).cast("string").alias("value"), nothing.alias("aside"))
+
+    def step(state: Column, x: Column) -> Column:
+        skip = state["done"] | F.array_contains(state["aside"], x["origin"]) | F.array_contains(state["aside"], x["layer"])
+        back, layer_back = F.lower(x["value"]) == "revert", F.lower(x["value"]) == "revert-layer"
+        more = F.when(back, F.concat(state["aside"], F.array(x["origin"]))).when(layer_back, F.concat(state["aside"], F.array(x["layer"]))).otherwise(state["aside"])
+        return F.struct(
+            F.when(skip, state["done"]).otherwise(~(back | layer_back)).alias("done"),
+            F.when(skip | back | layer_back, state["value"]).otherwise(x["value"]).alias("value"),
+            F.when(skip, state["aside"]).otherwise(more).alias("aside"),
+        )
+
+    return listed.select(*id_cols, "pre", "prop", F.aggregate("_all", begin, step, lambda s: s["value"]).alias("value"))
+
+
 def computed(nodes: DataFrame, id_cols: list[str], winners: DataFrame, prop: str) -> DataFrame:
     """(ids, pre, value) of one property on every element, after inheritance and defaulting.
 

@@ -214,14 +214,24 @@ def specificity(selectors: list[Complex]) -> tuple[int, int, int]:
     return max(map(of, selectors))
 
 
-def node_table(df: DataFrame, id_cols: list[str], text_col: str, xml: bool = False, on_error: str = "raise") -> DataFrame:
-    """One row for each node of each document: the id columns, pre, post, parent, depth, sib_idx, sib_count, kind, name, attrs, text."""
-    parse_one = markup.parse_xml if xml else markup.parse_html
+def node_table(df: DataFrame, id_cols: list[str], text_col: str, xml: bool = False, on_error: str = "row", context: str | None = None) -> DataFrame:
+    """One row for each node of each document: the id columns, pre, post, parent, depth, sib_idx, sib_count, kind, name, attrs, text.
 
-    def run(text: str):
-        return [n | {"attrs": list(n["attrs"].items())} for n in parse_one(text)]
+    A document that cannot be parsed (too deep, not well-formed) gives one row of
+    kind ``error`` with the message as text; ``on_error="raise"`` fails the job.
+    ``context`` names the element in which the texts are HTML fragments.
+    """
 
-    nodes = value_udf(run, markup.NODE_TYPE, text_col, on_error=on_error)
+    def run(text: str):
+        try:
+            found = markup.parse_xml(text) if xml else markup.parse_html(text, context=context)
+        except TextError as e:
+            if on_error == "raise":
+                raise
+            found = [{"pre": 0, "post": 1, "parent": None, "depth": 0, "sib_idx": 0, "sib_count": 0, "kind": "error", "name": e.code, "attrs": {}, "text": str(e)}]
+        return [n | {"attrs": list(n["attrs"].items())} for n in found]
+
+    nodes = value_udf(run, markup.NODE_TYPE, text_col)
     return df.select(*id_cols, F.explode(nodes).alias("n")).select(*id_cols, "n.*")
 
 
