@@ -8,7 +8,11 @@ temperature (calibration) and the score under which a prediction is to be
 rejected: the smallest at which the accepted predictions reach ``precision``.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
-and rejected; if nothing can be learned every text is ``und``.
+and rejected; if nothing can be learned every text is ``und``; texts of any length
+count whole; equal probabilities give the language first in alphabetical order;
+repeated rows and ids are predicted each for itself; an empty table gives no rows.
+Columns named lang_pred, score or rejected are replaced, others are kept.  Scores
+are rounded to 9 places (see ``quality``).
 """
 
 from __future__ import annotations
@@ -140,7 +144,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                 picked.append(np.where(letters, p.argmax(axis=1), len(found.languages)))
                 scores.append(np.where(letters, p.max(axis=1), 0.0))
             choice = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-            score = np.concatenate(scores) if scores else np.zeros(0)
+            score = np.round(np.concatenate(scores), 9) if scores else np.zeros(0)
             return pa.RecordBatch.from_arrays([*b.columns, pa.array(names[choice], pa.string()), pa.array(score), pa.array(score < found.reject_below)], names=schema.names)
 
         return step

@@ -5,13 +5,19 @@
 2. Only lines that the filter suspects shuffle, as (128-bit key digest, doc id);
    distinct documents are counted exactly and the keeper is the largest doc id.
 3. Confirmed keys are applied to the texts in a map.  They are broadcast only if
-   their counted size is under ``max_broadcast_bytes``; beyond it the drops are
-   joined to the documents by id.
+   their counted size (100 bytes a key of fixed width) is under
+   ``max_broadcast_bytes``; beyond it the suspected lines meet them in a join and
+   the drops are joined to the documents by id.
+
+Beyond ``filter_bytes`` the filter suspects more lines than repeat: more lines
+shuffle for the confirmation and none is lost.
 
 Defined results: a null or empty text is one empty line; a null id counts as one
 document smaller than all others; rows that repeat an id count as one document
 when keys are counted, and all of them keep the line if the id is the keeper.
-Columns of the input named like the added ones are replaced.
+Texts of any length count whole; repeated rows keep or lose their lines alike;
+an empty table gives no rows.  Columns of the input named like the added ones are
+replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -52,14 +58,14 @@ def _heads(keys: list[bytes]) -> np.ndarray:
 
 
 class Drops:
-    """Sorted table of confirmed keys and their keepers."""
+    """Confirmed keys and their keepers, by key."""
 
     def __init__(self, table: pa.Table):
         self.keepers = dict(zip(table.column("key").to_pylist(), table.column("keeper").to_pylist(), strict=True))
 
 
-def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, filter_bytes: int) -> DataFrame:
-    """(key, keeper) of keys of at least ``min_chars`` code points held by at least ``min_docs`` documents."""
+def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, filter_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(key, keeper) of keys of at least ``min_chars`` code points held by at least ``min_docs`` documents; (key, doc) of all suspects."""
     spark = df.sparkSession
     thin = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     lines = F.size(F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x: F.octet_length(x) >= min_chars))
@@ -94,9 +100,9 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, mi
 
         return step
 
-    suspects = arrow_map(thin, suspecting, "key binary, doc long")
-    confirmed = suspects.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
-    return stash(confirmed.where(F.col("n") >= min_docs).select("key", "keeper"), "lines")
+    suspects = arrow_map(thin, suspecting, "key binary, doc long").distinct()
+    confirmed = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
+    return stash(confirmed.where(F.col("n") >= min_docs).select("key", "keeper"), "lines"), suspects
 
 
 def _kept(text: bytes | None, dropped: set[bytes], min_chars: int) -> tuple[bytes, int, int]:
@@ -118,7 +124,7 @@ def dedup_lines(
 ) -> DataFrame:
     """``df`` with ``text_col`` replaced by the kept lines, plus n_lines and n_dropped."""
     spark = df.sparkSession
-    confirmed = repeated_lines(df, id_col, text_col, min_chars, min_docs, filter_bytes)
+    confirmed, suspects = repeated_lines(df, id_col, text_col, min_chars, min_docs, filter_bytes)
     base = df.drop("n_lines", "n_dropped")
     added = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     added = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType, True) for f in added.fields])
@@ -148,22 +154,15 @@ def dedup_lines(
 
         return arrow_map(base, applying, added)
 
-    thin = base.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-
-    def listing():
-        def step(b: pa.RecordBatch):
-            pairs = [(k, doc) for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True) for k in _keys(text, min_chars)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.int64())], names=["key", "doc"])
-
-        return step
-
-    held = arrow_map(thin, listing, "key binary, doc long").distinct()
-    drops = held.join(confirmed, "key").where("doc <> keeper").groupBy("doc").agg(F.collect_list("key").alias("_drops"))
-    joined = base.join(drops, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col("doc"), "left").drop("doc")
+    listed, of = "_drops", "_drops_of"
+    while listed in names or of in names:
+        listed, of = f"{listed}_", f"{of}_"
+    drops = suspects.join(confirmed, "key").where("doc <> keeper").groupBy(F.col("doc").alias(of)).agg(F.collect_list("key").alias(listed))
+    joined = base.join(drops, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col(of), "left").drop(of)
 
     def joined_apply():
         def step(b: pa.RecordBatch):
-            lists = b.column("_drops").to_pylist()
+            lists = b.column(listed).to_pylist()
             return rewrite(b, lambda i, *_: set(lists[i] or ()))
 
         return step

@@ -15,15 +15,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
     """At most ``rows`` (text, label) with a label, the first in the order of a hash of the id.
 
     Labels are bounded before they meet the documents, so at most ``rows``
-    labels are broadcast and at most ``rows`` texts reach the driver; texts over
-    ``max_bytes`` take no part in training.
+    labels are broadcast; of documents that repeat an id the first texts in order
+    count, and at most ``2 * rows`` texts reach the driver.  Texts over ``max_bytes``
+    take no part in training.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
     texts = docs.where(F.octet_length(text_col) <= max_bytes).select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    found = texts.join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_at"), "_id", "_text", "_label").toArrow().to_pylist()
+    found = texts.join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_at"), "_id", "_text", "_label")
+    found = found.orderBy("_at", "_id", "_label", "_text").limit(2 * rows).toArrow().to_pylist()
     found.sort(key=lambda r: (r["_at"], r["_id"], str(r["_label"]), r["_text"]))
-    return [(r["_text"], r["_label"]) for r in found[: 2 * rows]]
+    return [(r["_text"], r["_label"]) for r in found]
 
 
 def interleave(a: list, b: list) -> list:

@@ -12,9 +12,13 @@ group that would break the law of near equal bytes.
 Only the per-partition totals and one row count for each (partition, shard) that
 meet (at most partitions + shards rows) reach the driver.
 
-Defined results: a null text has no bytes, a null id is dealt like any other
-(first in order); an empty table gives an empty result; if no row has any bytes,
-all rows go to shard 0.
+Defined results: a null text or size has no bytes, texts of any length count by
+their bytes (one longer than a shard's share leaves shards empty); a null id is
+dealt like any other (first in order); repeated rows are dealt each for itself;
+rows that tie in ``order_by`` stand in any order (op2 orders by all its columns, so
+that tied rows are equal); an empty table gives an empty result; if no row has any
+bytes, all rows go to shard 0.  Columns named size, shard, slot, part, row or
+bytes_before are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -84,7 +88,7 @@ def shard_sized(df: DataFrame, shards: int, size_col: str = "size", order_by: li
     Without ``order_by`` rows keep their stored order and nothing shuffles; with
     it they are range partitioned and sorted by those columns.
     """
-    df = df.drop("shard", "slot", "part", "row", "bytes_before")
+    df = df.drop("shard", "slot", "part", "row", "bytes_before").withColumn(size_col, F.coalesce(F.col(size_col).cast("long"), F.lit(0)))
     if order_by:
         width = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartitionByRange(width, *order_by).sortWithinPartitions(*order_by)

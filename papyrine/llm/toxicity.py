@@ -10,7 +10,11 @@ n-gram vectors with the forms seen.  Scoring folds the softmax into the
 embeddings (one number a bucket), so it is one gather for each n-gram.
 
 Defined results: a text without words (null, empty, white space) has the score
-of an empty window.
+of an empty window; texts of any length are scored whole, and a longer text has
+more windows, so its score can only be that of a worse one; repeated rows and ids
+are scored each for itself, ties of windows have one value; an empty table gives
+no rows; without labels of both kinds every score is 0.5, or near the one label
+there is.  A column named like the score is replaced, others are kept.
 """
 
 from __future__ import annotations
