@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .catalog import SCREEN, dealt, page_nodes, query, table
 from .functions import columns as C
-from .functions import css_values, encoding_text, ini_text, json_schema, json_text, markup
+from .functions import css_values, encoding_text, ini_text, markup
 from .operators import cascade, csv_table, selectors, timing
+from .runtime import shared_dir, stash
+from .streaming import chunks
 
 
 # --- JSON ---
@@ -313,3 +315,115 @@ def keyframes_of_repeated_rows(spark, sf_dir):
     times = table(spark, sf_dir, "events").select("user_id", F.lit("a").alias("name"), (F.pmod("user_id", F.lit(10)) / F.lit(10.0)).alias("progress"))
     frames = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.25, 10.0), ("a", 1.0, 30.0)], "name string, offset double, value double")
     return timing.sample_keyframes(times, frames, ["name"]).select("user_id", F.round("value", 6).alias("value"))
+
+
+# --- errors, rule index, style hashes, getters of YAML ---
+
+
+@query("""
+SELECT CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'syntax' WHEN 2 THEN 'duplicate-key' ELSE 'number' END AS code, count(*) AS n, CAST(max(CASE event_id % 4 WHEN 1 THEN 2 WHEN 0 THEN NULL ELSE 1 END) AS INTEGER) AS line
+FROM events GROUP BY 1
+""")
+def json_error_counts(spark, sf_dir):
+    """Parse errors by code, with the line they stand on."""
+    kind = F.pmod("event_id", F.lit(4))
+    text = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("[1,\n"), "props")).when(kind == 2, F.lit('{"a":1,"a":2}')).otherwise(F.lit("[NaN]"))
+    found = dealt(spark, sf_dir, "events").select(C.json_error(text).alias("e"))
+    return found.groupBy(F.col("e.code").alias("code")).agg(F.count("*").alias("n"), F.max("e.line").alias("line"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n_li, len(regexp_extract_all(html, '<div')) AS n_ad, len(regexp_extract_all(html, '<h1>')) AS n_h1, CAST(0 AS BIGINT) AS n_id FROM pages")
+def cascade_rule_index(spark, sf_dir):
+    """Rules of ids, classes and names matched in one pass by buckets."""
+    sheet = "li { a: 1 } div.ad { a: 2 } .ad { a: 3 } h1, h7 { a: 4 } #none { a: 5 } p.ad { a: 6 } * { b: 1 }"
+    won = cascade.cascade(cascade.candidates(page_nodes(spark, sf_dir), ["page_id"], sheet), ["page_id"]).where("rank = 1")
+    n = lambda v: F.count_if((F.col("prop") == "a") & (F.col("value") == v))
+    return won.groupBy("page_id").agg(n("1").alias("n_li"), n("2").alias("n_ad"), n("4").alias("n_h1"), n("5").alias("n_id"))
+
+
+@query("SELECT page_id, CAST(3 AS BIGINT) AS n_styles FROM pages WHERE contains(html, '<li>') AND contains(html, '<h1>')")
+def cascade_style_hash(spark, sf_dir):
+    """Elements with the same winning declarations share a style."""
+    ranked = cascade.cascade(cascade.candidates(page_nodes(spark, sf_dir), ["page_id"], "li { a: 1; b: 2 } nav a { b: 2; a: 1 } h1 { a: 1 } div { a: 2 } .ad { c: 1 }"), ["page_id"])
+    return cascade.style_hash(ranked, ["page_id"]).groupBy("page_id").agg(F.count_distinct("hash").alias("n_styles"))
+
+
+@query("SELECT n_nationkey, '\"' || n_name || '\"' AS name, CAST(n_regionkey AS VARCHAR) AS region, NULL AS missing FROM nation")
+def yaml_pointer_get(spark, sf_dir):
+    """Values of a YAML mapping and sequence by pointer."""
+    text = F.concat(F.lit("n: {name: '"), "n_name", F.lit("'}\nl:\n- 0\n- "), F.col("n_regionkey").cast("string"), F.lit("\n"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", C.yaml_pointer(text, "/n/name").alias("name"), C.yaml_pointer(text, "/l/1").alias("region"), C.yaml_pointer(text, "/l/9").alias("missing"))
+
+
+# --- grouping sets ---
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def grouping_cube(spark, sf_dir):
+    """All grouping sets of two columns."""
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def grouping_rollup(spark, sf_dir):
+    """Subtotals of a hierarchy."""
+    return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# --- streams ---
+
+
+def run_stream(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream gives until its input is used up, written to the shared folder batch by batch."""
+    import uuid
+
+    spark = stream.sparkSession
+    home = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{home}/out")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+
+def streamed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written down and read again as a stream."""
+    kept = stash(df, name)
+    return df.sparkSession.readStream.schema(kept.schema).parquet(kept._stashed_at)
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) > 0 AS some FROM events GROUP BY 1, 2")
+def stream_hourly_windows(spark, sf_dir):
+    """Tumbling windows over event time with a watermark."""
+    events = streamed(table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id"), "events")
+    hours = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), (F.approx_count_distinct("user_id") > 0).alias("some"))
+    found = run_stream(hours, "hours", "complete")
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "some")
+
+
+def _cut(spark: SparkSession, sf_dir: str, text) -> DataFrame:
+    """Every nation's text cut into chunks of seven characters."""
+    whole = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("stream_id"), text.alias("t"))
+    last = F.floor((F.length("t") - 1) / 7)
+    parts = whole.select("stream_id", "t", last.alias("end"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq"))
+    return parts.select("stream_id", "seq", F.expr("substring(t, cast(seq * 7 + 1 as int), 7)").alias("data"), (F.col("seq") == F.col("end")).alias("last"))
+
+
+@query("""
+SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, unnest([0, 1, 2]) AS record_idx, unnest(['["a", "b,""c"]'.replace('""', chr(92) || '"'), '["' || n_name || '", "x' || chr(92) || 'ny"]', '["' || n_regionkey || '"]']) AS record FROM nation
+""")
+def stream_csv_chunks(spark, sf_dir):
+    """CSV records of texts that arrive in chunks cut anywhere, quotes and line breaks included."""
+    text = F.concat(F.lit('a,"b,""c"\r\n'), "n_name", F.lit(',"x\ny"\n'), F.col("n_regionkey").cast("string"))
+    found = run_stream(chunks.parse_chunks(streamed(_cut(spark, sf_dir, text), "chunks"), "csv"), "csv", "append")
+    return found.where("error is null").select("stream_id", F.col("record_idx").cast("int").alias("record_idx"), "record")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, CAST(2 AS BIGINT) AS n_records, n_nationkey % 5 = 0 AS failed FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 1, true FROM nation WHERE n_nationkey % 5 = 0")
+def stream_json_chunks(spark, sf_dir):
+    """JSON lines in chunks; a stream whose text is bad gives one error row and no more records."""
+    bad = F.when(F.pmod("n_nationkey", F.lit(5)) == 0, "[1,").otherwise("[1]")
+    text = F.concat(F.lit('{"n": "'), "n_name", F.lit('"}\n'), bad, F.lit("\n"))
+    found = run_stream(chunks.parse_chunks(streamed(_cut(spark, sf_dir, text), "chunks"), "json"), "json", "append")
+    return found.groupBy("stream_id").agg(F.count("record").alias("n_records"), (F.count("error") > 0).alias("failed"))

@@ -169,6 +169,24 @@ def json_records(column: Column | str, mode: str, options: Options = Options(),
     return value_udf(lambda t: [json_text.write(v) for v in json_text.records(t, mode, options)], "array<string>", column, on_error=on_error)
 
 
+def json_error(column: Column | str, options: Options = Options()) -> Column:
+    """Why a text is refused (code, message, offset, line, col), null if it is one value."""
+    return value_udf(lambda t: json_text.parse(t, options) is t, "boolean", column, on_error="try")["error"]
+
+
+def yaml_pointer(column: Column | str, pointer: str, options=None, on_error: str = "null") -> Column:
+    """JSON text of the value at an RFC 6901 pointer of a YAML text, null if nothing is there."""
+    from . import yaml_text
+
+    tokens, chosen, missing = json_text.pointer_tokens(pointer), options or yaml_text.YamlOptions(), object()
+
+    def get(text: str):
+        found = json_text.pointer_get(yaml_text.parse(text, chosen), tokens, missing)
+        return None if found is missing else json_text.write(found)
+
+    return value_udf(get, "string", column, on_error=on_error)
+
+
 def json_put(column: Column | str, pointer: str, value: Column | str, on_error: str = "null") -> Column:
     """JSON text with the member or item at the pointer set to a JSON text."""
     json_text.pointer_tokens(pointer)

@@ -261,6 +261,27 @@ def _length(text: str) -> float | None:
     return float(m[1]) * per[m[2]] if m else None
 
 
+def simple_keys(selector: str) -> list[str] | None:
+    """What an element must have (``#id``, ``.class``, tag name), id first, for a selector of these alone; else None."""
+    (one,) = selectors.parse(selector)
+    if one.combinators or one.lead or any(kind not in ("universal", "type", "class", "id") for kind, _ in one.compounds[0].parts):
+        return None
+    mark = {"id": "#", "class": ".", "type": ""}
+    keys = [mark[kind] + (arg.lower() if kind == "type" else arg) for kind, arg in one.compounds[0].parts if kind in mark]
+    return sorted(set(keys), key=lambda k: (k[:1] not in "#", k[:1] != ".", k))
+
+
+def indexed_hits(nodes: DataFrame, id_cols: list[str], rules: dict[str, list[str]]) -> DataFrame:
+    """(ids, pre, selector) of simple selectors in one pass: rules are bucketed by their rarest key and meet the keys of every element."""
+    spark = nodes.sparkSession
+    index = spark.createDataFrame([(s, keys[0] if keys else "*", keys) for s, keys in rules.items()], "selector string, bucket string, need array<string>")
+    classes = F.filter(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"[ \t\n\f\r]+"), lambda c: c != "")
+    own = F.concat(F.array(F.lit("*"), F.lower("name"), F.concat(F.lit("#"), F.coalesce(F.col("attrs")["id"], F.lit("")))), F.transform(classes, lambda c: F.concat(F.lit("."), c)))
+    elements = nodes.where("kind = 'element'").select(*id_cols, "pre", F.array_distinct(own).alias("own"))
+    met = elements.select(*id_cols, "pre", "own", F.explode("own").alias("bucket")).join(F.broadcast(index), "bucket")  # the rules of one sheet
+    return met.where(F.size(F.array_except("need", "own")) == 0).select(*id_cols, "pre", "selector")
+
+
 def candidates(nodes: DataFrame, id_cols: list[str], css: str, origin: str = "author", environment: dict | None = None) -> DataFrame:
     """Declarations by the elements they apply to: ids, pre, prop, value, important, origin, attached, layer, a, b, c, ord."""
     found, layers = compile_sheet(css)
@@ -275,7 +296,10 @@ def candidates(nodes: DataFrame, id_cols: list[str], css: str, origin: str = "au
             rows.append((single, d.prop, d.value, d.important, rank, a, b, c, d.order))
             matched.setdefault(single, None)
     rules = spark.createDataFrame(rows, schema)
-    hits = [selectors.select_all(nodes, id_cols, s).select(*id_cols, "pre", F.lit(s).alias("selector")) for s in matched]
+    plain = {s: keys for s in matched if (keys := simple_keys(s)) is not None}
+    hits = [selectors.select_all(nodes, id_cols, s).select(*id_cols, "pre", F.lit(s).alias("selector")) for s in matched if s not in plain]
+    if plain:
+        hits.append(indexed_hits(nodes, id_cols, plain))
     if not hits:
         return nodes.select(*id_cols, "pre").where("false").join(rules.limit(0))
     joined = reduce(DataFrame.unionByName, hits).join(F.broadcast(rules), "selector")  # the rules of one sheet
@@ -340,6 +364,12 @@ def resolved(ranked: DataFrame, id_cols: list[str]) -> DataFrame:
     return listed.select(*id_cols, "pre", "prop", F.aggregate("_all", begin, step, lambda s: s["value"]).alias("value"))
 
 
+def style_hash(winners: DataFrame, id_cols: list[str]) -> DataFrame:
+    """(ids, pre, hash) of each element's winning declarations, whatever their order."""
+    own = F.sort_array(F.collect_list(F.concat_ws(":", "prop", "value")))
+    return winners.where("rank = 1").groupBy(*id_cols, "pre").agg(F.xxhash64(F.array_join(own, ";")).alias("hash"))
+
+
 def computed(nodes: DataFrame, id_cols: list[str], winners: DataFrame, prop: str) -> DataFrame:
     """(ids, pre, value) of one property on every element, after inheritance and defaulting.
 

@@ -47,6 +47,28 @@ def read_json_records(spark: SparkSession, path: str, mode: str = "line") -> Dat
     return _files(spark, path).select("file", F.explode(json_records("text", mode)).alias("record"))
 
 
+def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(file, doc_idx, value, error): whole files of json, yaml or toml as JSON text; a bad file is a row with its error.
+
+    A YAML file gives a row for each of its documents, the others one row a file.
+    """
+    from ..functions import json_text, toml_text, yaml_text
+
+    of = {
+        "json": lambda t: [json_text.parse(t)], "yaml": yaml_text.documents, "toml": lambda t: [toml_text.to_json(toml_text.parse(t))],
+    }[kind]
+    parsed = value_udf(lambda t: [json_text.write(v) for v in of(t)], "array<string>", "text", on_error="try")
+    files = _files(spark, path).select("file", parsed.alias("p")).select("file", F.col("p.value").alias("values"), F.col("p.error").alias("error"))
+    return files.select("file", F.posexplode_outer("values").alias("doc_idx", "value"), "error")
+
+
+def read_markup(spark: SparkSession, path: str, xml: bool = False) -> DataFrame:
+    """Node table of HTML or XML files, keyed by file; a file that cannot be parsed gives a row of kind ``error``."""
+    from ..operators import selectors
+
+    return selectors.node_table(_files(spark, path), ["file"], "text", xml=xml)
+
+
 def read_ini(spark: SparkSession, path: str, dialect: str = "generic") -> DataFrame:
     """(file, group, subsection, key, value, line) of INI files."""
     d = ini_text.DIALECTS[dialect]
