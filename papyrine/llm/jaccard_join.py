@@ -22,7 +22,7 @@ meets the prefix of y.  The steps:
    stands for p tokens.  Groups are made for bands of sizes, and a set enters
    each band in which it can meet a partner.  k is 2 at first.
 5. Candidates: first every set of a key is compared with one pivot of the key.
-   Links make components.  After that, the sets of a key that lie outside the
+   Links make components (of the sets left; their copies join them at the end).  After that, the sets of a key that lie outside the
    key's largest component are its *stragglers*; up to ``bound`` of them become
    pivots and are compared with all sets of the key in other components.  A key
    with no more stragglers than that is done.  Sets of the other keys are indexed
@@ -205,7 +205,7 @@ def _suspect_sets(thin: DataFrame, tokens: int, k: int, num: int, den: int, filt
 
 
 def _hinted(df: DataFrame, max_rows: int = 1 << 20) -> DataFrame:
-    """A stashed table of ids, broadcast up to ``max_rows``."""
+    """A stashed table of narrow rows, broadcast if it has at most ``max_rows``."""
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
@@ -234,7 +234,7 @@ def _frequent_tokens(suspects: DataFrame, frequent: int, max_frequent: int) -> n
 
 
 #: Combinations of the index and, for each, the tokens that may be missing in a group.
-WIDTHS = {2: 8, 3: 4}
+WIDTHS = {2: 2, 3: 2}
 
 
 def _grouping(own: int, k: int, num: int, den: int) -> tuple[int, int]:
@@ -353,7 +353,7 @@ def link_components(
     frequent: int = 64,
     max_frequent: int = 1 << 20,
     filter_bytes: int = 64 << 20,
-    bound: int = 256,
+    bound: int = 2048,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; the component is its smallest doc_id."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -367,15 +367,9 @@ def link_components(
     near = _near(num, den)
     pair = [F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")]
 
-    def joined(stars: DataFrame | None, more: DataFrame) -> DataFrame:
-        """Components when ``more`` links are added."""
-        if stars is not None and more.isEmpty():
-            return stars
-        edges = more if stars is None else more.unionByName(stars.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        made = stash(connected_components(edges), "components")
-        if stars is not None:
-            drop(stars)
-        return made
+    def joined(links: DataFrame) -> DataFrame:
+        """(node, component) of the linked sets, written down."""
+        return stash(connected_components(links), "components")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs, "pairs")
@@ -390,9 +384,11 @@ def link_components(
     rows = index.select("doc_id", F.explode("keys").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("doc_id").alias("other_doc_id"), F.max("doc_id").alias("most")).where("other_doc_id < most").select("key", "other_doc_id")
     met = rows.join(pivots, "key").where("doc_id <> other_doc_id").select("doc_id", "other_doc_id").distinct()
-    stars = joined(joined(None, links), verified(met.join(about, "doc_id").join(_other(about), "other_doc_id").where(near).select(*pair).distinct()))
+    pairs = met.join(_hinted(about, 1 << 17), "doc_id").join(_hinted(_other(about), 1 << 17), "other_doc_id").where(near).select(*pair).distinct()
+    found = verified(pairs)
+    stars = joined(found)
     while True:
-        of = index.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        of = index.join(_hinted(stars, 1 << 17).withColumnRenamed("node", "doc_id"), "doc_id", "left")
         rows = of.select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
         sizes = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
         largest = F.max(F.struct("rows", "component"))
@@ -404,14 +400,18 @@ def link_components(
         described = stash(about.join(first, "doc_id", "left"), "described")
         order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
         pivots = stash(opened.where("straggler").withColumn("at", F.row_number().over(order)).where(F.col("at") <= bound).select("key", "doc_id", "component"), "pivots")
-        wide = opened.select("key", "doc_id", "component").join(described, "doc_id")
-        chosen = _other(pivots.join(described, "doc_id"), keep=("key",))
+        told = _hinted(described, 1 << 17)
+        wide = opened.select("key", "doc_id", "component").join(told, "doc_id")
+        chosen = _other(pivots.join(told, "doc_id"), keep=("key",))
         met = wide.join(chosen, "key").where("component <> other_component").where(near).where("coalesce(array_min(array_intersect(firsts, other_firsts)) >= key, true)")
-        stars, old = joined(stars, verified(met.select(*pair).distinct())), (index, described)
+        more, old = verified(met.select(*pair).distinct()), (index, described)
+        found = found.unionByName(more)
         large = opened.where("large")
         if large.isEmpty():
-            drop(*old, opened, pivots)
+            drop(*old, opened, pivots, stars)
             break
+        if not more.isEmpty():
+            old, stars = (*old, stars), joined(found)
         if longer:
             stuck = stash(large.select("doc_id").distinct(), "stuck")
             index = _index(suspects.join(_hinted(stuck), "doc_id", "left_semi"), often, num, den, longer.pop(0))
@@ -420,6 +420,7 @@ def link_components(
             left = large.join(pivots, ["key", "doc_id"], "left_anti")
             index = stash(left.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "index")
         drop(*old, opened, pivots)
+    stars = joined(links.unionByName(found))
     drop(suspects, copies)
     of = stars.withColumnRenamed("node", "doc_id")
     whole = table.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
