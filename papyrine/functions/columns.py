@@ -283,10 +283,10 @@ def yaml_validate(column: Column | str, schema: str, draft: str = "2020-12", for
     return value_udf(lambda t: compiled.validate(yaml_text.parse(t)), "struct<valid:boolean,pointer:string,message:string>", column, on_error="null")
 
 
-def html_sanitize(column: Column | str) -> Column:
+def html_sanitize(column: Column | str, images: bool = False) -> Column:
     from . import markup
 
-    return value_udf(markup.sanitize, "string", column)
+    return value_udf(lambda t: markup.sanitize(t, images), "string", column)
 
 
 def html_normalize(column: Column | str) -> Column:

@@ -384,8 +384,8 @@ SAFE_SCHEMES = frozenset(("http", "https", "mailto"))
 DROP_WITH_CONTENT = frozenset("script style iframe object embed noscript template title textarea svg math head noembed noframes xmp select".split())
 
 
-def sanitize(text: str) -> str:
-    """HTML with only allowed elements, attributes and link schemes; links get rel=nofollow."""
+def sanitize(text: str, images: bool = False) -> str:
+    """HTML with only allowed elements, attributes and link schemes; links get rel=nofollow, images stay only if asked for."""
     nodes = parse_html(text)
     out: list[str] = []
     open_tags: list[tuple[int, str]] = []
@@ -401,7 +401,7 @@ def sanitize(text: str) -> str:
             name = n["name"]
             if name in DROP_WITH_CONTENT:
                 skip_to = n["post"]
-            elif name in SAFE_TAGS:
+            elif name in SAFE_TAGS and (images or name != "img"):
                 allowed = set(f"{SAFE_ATTRIBUTES.get(name, '')} {SAFE_ATTRIBUTES['*']}".split())
                 kept = {k: v for k, v in n["attrs"].items() if k in allowed and (k not in ("href", "src", "cite") or safe_url(v))}
                 if name == "a" and "href" in kept:

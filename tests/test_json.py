@@ -5,14 +5,14 @@ from hypothesis import strategies as st
 from papyrine.functions import json_path, json_text as J
 from papyrine.functions.errors import TextError
 
-BOOKS = J.parse('{"store":{"book":[{"c":"r","p":8.95},{"c":"f","p":12.99,"isbn":"x"},{"c":"f","p":8.99,"isbn":"y"},{"c":"f","p":22.99}],"bicycle":{"color":"red","price":399}}}')
+PORT = J.parse('{"port":{"ship":[{"kind":"tug","len":21.5},{"kind":"ferry","len":88,"flag":"NO"},{"kind":"fishing","len":17.2,"flag":"IS"},{"kind":"ferry","len":120.9}],"crane":{"lifts":40,"height":61}},"open":true}')
 
 
 def paths(query):
-    return [json_path.normalized(p) for p, _ in json_path.compile_path(query).nodes(BOOKS, BOOKS)]
+    return [json_path.normalized(p) for p, _ in json_path.compile_path(query).nodes(PORT, PORT)]
 
 
-@pytest.mark.parametrize("query, n", [("$.store.book[*].c", 4), ("$..p", 4), ("$..book[-1]", 1), ("$..book[0,0]", 2), ("$..book[:2]", 2), ("$..book[?@.isbn]", 2), ("$..book[?@.p<10]", 2), ("$..*", 19), ("$..book[?count(@.*)==3]", 2), ("$..book[?match(@.c,'f.*')]", 3), ("$", 1), ("$.nothing", 0)])
+@pytest.mark.parametrize("query, n", [("$.port.ship[*].kind", 4), ("$..len", 4), ("$..ship[-1]", 1), ("$..ship[0,0]", 2), ("$..ship[:2]", 2), ("$..ship[?@.flag]", 2), ("$..ship[?@.len<50]", 2), ("$..*", 20), ("$..ship[?count(@.*)==3]", 2), ("$..ship[?match(@.kind,'f.*')]", 3), ("$", 1), ("$.nothing", 0)])
 def test_path_counts(query, n):
     assert len(paths(query)) == n
 
