@@ -427,3 +427,49 @@ def stream_json_chunks(spark, sf_dir):
     text = F.concat(F.lit('{"n": "'), "n_name", F.lit('"}\n'), bad, F.lit("\n"))
     found = run_stream(chunks.parse_chunks(streamed(_cut(spark, sf_dir, text), "chunks"), "json"), "json", "append")
     return found.groupBy("stream_id").agg(F.count("record").alias("n_records"), (F.count("error") > 0).alias("failed"))
+
+
+# --- small functions ---
+
+
+@query("SELECT page_id, true AS same, false AS other FROM pages")
+def markup_trees_equal(spark, sf_dir):
+    """Pages equal their serialized trees, and no page equals one with a class more."""
+    pages = dealt(spark, sf_dir, "pages").select("page_id", "html", C.html_normalize("html").alias("written"), F.regexp_replace("html", "<nav>", "<nav class=x>").alias("changed"))
+    return pages.select("page_id", C.markup_equal("html", "written").alias("same"), C.markup_equal("html", "changed").alias("other"))
+
+
+@query("SELECT DISTINCT 'nav' AS name, false AS void, false AS flag FROM pages UNION SELECT 'br', true, false UNION SELECT 'meta', true, false UNION SELECT 'checked', false, true")
+def html_element_classes(spark, sf_dir):
+    """Void elements and boolean attributes."""
+    names = page_nodes(spark, sf_dir).where(F.col("name").isin("nav", "br", "meta")).select("name").distinct().unionByName(spark.range(1).select(F.lit("checked").alias("name")))
+    return names.select("name", C.html_is_void("name").alias("void"), C.html_is_boolean_attribute("name").alias("flag"))
+
+
+@query("""
+SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/x/y?q=' || page_id AS rooted, regexp_extract(url, '^(https?:)', 1) || '//other.example/p' AS scheme, 'mailto:a@b' AS whole FROM pages
+""")
+def uri_resolution(spark, sf_dir):
+    """References resolved against each page's address."""
+    pages = dealt(spark, sf_dir, "pages")
+    q = F.concat(F.lit("/a/../x/./y?q="), F.col("page_id").cast("string"))
+    return pages.select("page_id", C.uri_resolve("url", q).alias("rooted"), C.uri_resolve("url", F.lit("//other.example/p")).alias("scheme"), C.uri_resolve("url", F.lit("mailto:a@b")).alias("whole"))
+
+
+@query("SELECT doc_id, nfc_normalize(text || 'e' || chr(769)) AS nfc FROM documents")
+def unicode_nfc(spark, sf_dir):
+    """Texts with a combining accent in normalization form C."""
+    return dealt(spark, sf_dir, "documents").select("doc_id", C.unicode_normalize(F.concat("text", F.lit("e\u0301"))).alias("nfc"))
+
+
+@query("SELECT n_nationkey, [n_name, 'two words', 'a\"b', ''] AS words, (n_regionkey * 1024) :: BIGINT AS size, 31 :: BIGINT AS hex, NULL :: BIGINT AS bad FROM nation")
+def ini_words_and_integers(spark, sf_dir):
+    """Words of a value with quotes and escapes, integers with bases and suffixes."""
+    def words(name: str) -> list[str]:
+        return ini_text.split_words(f"'{name}'  \"two words\" a\\\"b ''")
+
+    number = lambda t: C.value_udf(ini_text.integer, "bigint", t)
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", C.value_udf(words, "array<string>", "n_name").alias("words"), number(F.concat(F.col("n_regionkey").cast("string"), F.lit("K"))).alias("size"),
+        number(F.lit("0x1F")).alias("hex"), number(F.lit("12x")).alias("bad"),
+    )

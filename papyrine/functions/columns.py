@@ -337,3 +337,37 @@ def css_substitute(value: Column | str, properties: Column | str, environment: d
     from . import css_values
 
     return value_udf(lambda v, p: css_values.substitute(v, dict(p), environment or {}), "string", value, properties, on_error="null")
+
+
+def markup_equal(a: Column | str, b: Column | str, xml: bool = False) -> Column:
+    """Whether two markup texts have the same tree; null if one of them is refused."""
+    from . import markup
+
+    return value_udf(lambda x, y: markup.equal(x, y, xml), "boolean", a, b, on_error="null")
+
+
+def html_is_void(name: Column | str) -> Column:
+    """Whether an element never has content."""
+    from . import markup
+
+    return F.lower(F.col(name) if isinstance(name, str) else name).isin(*sorted(markup.VOID))
+
+
+def html_is_boolean_attribute(name: Column | str) -> Column:
+    from . import markup
+
+    return F.lower(F.col(name) if isinstance(name, str) else name).isin(*sorted(markup.BOOLEAN_ATTRIBUTES))
+
+
+def uri_resolve(base: Column | str, reference: Column | str) -> Column:
+    """RFC 3986 reference resolution against an absolute base."""
+    from urllib.parse import urljoin
+
+    return value_udf(urljoin, "string", base, reference, on_error="null")
+
+
+def unicode_normalize(column: Column | str, form: str = "NFC") -> Column:
+    """Unicode normalization form of a text."""
+    import unicodedata
+
+    return value_udf(lambda t: unicodedata.normalize(form, t), "string", column)

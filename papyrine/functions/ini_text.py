@@ -239,3 +239,36 @@ def write(found: list[dict], d: IniDialect) -> str:
             raise TextError("unwritable", f"{e['key']!r} has outer white space")
         out.append(f"{e['key']}={value}")
     return "\n".join(out) + "\n" if out else ""
+
+
+def split_words(value: str) -> list[str]:
+    """Words apart by white space; quotes of either kind hold a word together, a backslash takes the next character as it is."""
+    out: list[str] = []
+    word, quote, at = None, "", 0
+    while at < len(value):
+        c = value[at]
+        if c == "\\" and quote != "'":
+            if at + 1 == len(value):
+                raise TextError("escape", "a backslash ends the value", value, at)
+            at += 1
+            word = (word or "") + value[at]
+        elif quote:
+            quote, word = ("", word) if c == quote else (quote, word + c)
+        elif c in "\"'" and word is None:
+            quote, word = c, ""
+        elif c in " \t\n\r":
+            out, word = ([*out, word] if word is not None else out), None
+        else:
+            word = (word or "") + c
+        at += 1
+    if quote:
+        raise TextError("quote", "a quote is not closed", value, len(value))
+    return [*out, word] if word is not None else out
+
+
+def integer(value: str) -> int | None:
+    """A decimal, 0x, 0o or 0b integer with an optional sign and K, M or G (of 1024); None if it is none."""
+    m = re.fullmatch(r"([+-]?)(0x[0-9a-fA-F]+|0o[0-7]+|0b[01]+|[0-9]+)([KMG]?)", value.strip())
+    if not m:
+        return None
+    return (-1 if m[1] == "-" else 1) * int(m[2], 0 if m[2][:1] == "0" and m[2][1:2] in ("x", "o", "b") else 10) * 1024 ** " KMG".index(m[3] or " ")

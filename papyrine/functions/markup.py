@@ -430,3 +430,11 @@ def is_xml_name(text: str) -> bool:
 
 def xml_chars_ok(text: str) -> bool:
     return not re.search(r"[^\t\n\r\x20-퟿-�\U00010000-\U0010FFFF]", text)
+
+
+def equal(a: str, b: str, xml: bool = False) -> bool:
+    """Whether two texts have the same tree: attributes in any order, adjacent texts joined, comments counted."""
+    parse = parse_xml if xml else parse_html
+    keep = ("parent", "depth", "kind", "name", "attrs", "text")
+    x, y = ([tuple(n[k] for k in keep) for n in parse(t)] for t in (a, b))
+    return x == y
