@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_main, jaccard_join, langid, line_dedup, packing, quality, sharding, toxicity
+from . import ann, decontamination, html_main, jaccard_join, langid, line_dedup, packing, periodic_runs, quality, sharding, toxicity
 from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.select("leak.item_id", "doc_id", "leak.item_shingles", "leak.shared", "leak.containment")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where every tenth document, by crc32 of its id, repeats a part of its words to its end.
+
+    With h the crc32, g = h div 10 and n words, the words from a = g mod n on repeat
+    with period 1 + (n - a) div (3 + g mod 8); such a text's words are joined by one space.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.greatest(F.size(words), F.lit(1)).cast("long")
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    turns = F.ceil((n - a) / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, period), turns)), F.lit(1), (n - a).cast("int"))
+    repeated = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in the words of every document, its longest run and its text without the repeats."""
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")), min_length=6, min_repeats=4)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    ranked = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    return found.withColumn("top", ranked).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.before")).alias("start"), "top.length", (-F.col("top.shorter")).alias("period"),
+        F.expr("1000 * top.length div -top.shorter").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -106,4 +136,5 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
