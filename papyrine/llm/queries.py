@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_main, jaccard_join, langid, line_dedup, packing, periodic_runs, quality, sharding, toxicity
+from . import ann, decontamination, html_main, jaccard_join, langid, line_dedup, packing, periodic_runs, quality, sharding, token_alignment, toxicity
 from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.select("leak.item_id", "doc_id", "leak.item_shingles", "leak.shared", "leak.containment")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two public tokenizers for every document, with corpus counts of id pairs."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) where every tenth document, by crc32 of its id, repeats a part of its words to its end.
 
@@ -136,5 +146,6 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
