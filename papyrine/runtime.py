@@ -79,6 +79,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared folder, for files that tasks write; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stashes[path] = spark
+    return path
+
+
 def drop(*stashed: DataFrame) -> None:
     """Remove stashed tables that nothing will read again."""
     for df in stashed:
