@@ -117,6 +117,12 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
+def prepare(spark: SparkSession) -> None:
+    """What every Arrow map needs: the package on the workers, and batches of bounded bytes."""
+    ship(spark)
+    _small_batches(spark)
+
+
 def _give_back() -> None:
     """Return freed memory to the system, since Spark keeps the worker for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -131,8 +137,7 @@ def arrow_map(
     schema: T.StructType | str,
 ) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds one batch function for each task."""
-    ship(df.sparkSession)
-    _small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
