@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_main, jaccard_join, langid, line_dedup, packing, periodic_runs, quality, sharding, token_alignment, toxicity
+from . import ann, decontamination, html_main, jaccard_join, langid, line_dedup, packing, periodic_runs, quality, sharding, token_alignment, toxicity, warc
 from .samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.select("leak.item_id", "doc_id", "leak.item_shingles", "leak.shared", "leak.containment")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages written to WARC archives with revisits, read back and merged into capture histories.
+
+    ``pages`` has no time of capture: page n counts as taken n seconds after 2000.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    time = F.date_format(F.timestamp_seconds(F.lit(946_684_800) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    found = warc.histories(pages, time)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no", "intact")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two public tokenizers for every document, with corpus counts of id pairs."""
     import public_tokenizers
@@ -146,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_warc": op11_warc,
     "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }

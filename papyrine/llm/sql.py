@@ -91,3 +91,21 @@ FROM i JOIN d USING (g) GROUP BY item_id, doc_id, n HAVING {den} * count(*) >= {
 
 
 ORACLE_SQL["op10_decontamination"] = containment_sql(5, 80, 100)
+
+ORACLE_SQL["op11_warc"] = r"""
+WITH captured AS (
+  SELECT page_id, coalesce(html, '') AS payload, coalesce(url, '') AS url,
+         regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') AS absolute,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages
+), sized AS (
+  SELECT *, strlen(payload) AS n, min(page_id) OVER (PARTITION BY payload) AS first, CASE WHEN coalesce(absolute, false) THEN
+    array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END ELSE url END AS url_key FROM captured
+)
+SELECT page_id, n AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to,
+       url_key, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture_no, true AS intact
+FROM sized
+"""
