@@ -459,7 +459,7 @@ from .functions import css_values  # noqa: E402
 from .operators import timing  # noqa: E402
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(2, least(l_quantity * 96 / 72 + 10, 60)), 6) AS px FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(2, least(l_quantity * 96 / 72 + 10, 60)), 6) AS px FROM lineitem")
 def css_math_clamp(spark, sf_dir):
     """Math functions over units, resolved to canonical units."""
     expr = F.concat(F.lit("clamp(2px, calc("), F.col("l_quantity").cast("string"), F.lit("pt + 10px), 60px)"))
@@ -470,8 +470,8 @@ def css_math_clamp(spark, sf_dir):
 @query("""
 WITH t AS (SELECT event_id, (event_id % 50) / 10.0 AS local FROM events)
 SELECT event_id, CASE WHEN local < 1 THEN 'before' WHEN local >= 4 THEN 'after' ELSE 'active' END AS phase,
-  round(CASE WHEN local < 1 THEN 0 WHEN local >= 4 THEN 1 WHEN CAST(floor((local - 1) / 1.5) AS INTEGER) % 2 = 1 THEN 1 - ((local - 1) / 1.5 - floor((local - 1) / 1.5))
-    ELSE (local - 1) / 1.5 - floor((local - 1) / 1.5) END, 6) AS progress FROM t WHERE NOT (local >= 4)
+  round(CASE WHEN local < 1 OR local >= 4 THEN 0 WHEN CAST(floor((local - 1) / 1.5) AS INTEGER) % 2 = 1 THEN 1 - ((local - 1) / 1.5 - floor((local - 1) / 1.5))
+    ELSE (local - 1) / 1.5 - floor((local - 1) / 1.5) END, 6) AS progress FROM t
 """)
 def animation_progress(spark, sf_dir):
     """Phase and directed progress of an alternating effect at given times."""
