@@ -35,8 +35,10 @@ Columns other than the id and the text are not read, whatever their names.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,6 +53,8 @@ from . import kernels
 _WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: Units over so many bytes are not kept in the memo.
 _LARGE_UNIT = 256
+#: Units given to a tokenizer at a time.
+_CALL = 8192
 _aligners: dict[tuple, Aligner] = {}
 
 
@@ -110,7 +114,8 @@ class Units:
 
 def cut_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Common cuts of two ascending series of ends, and the group of each token of A and of B."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    distinct = bool((ends_a[1:] > ends_a[:-1]).all() and (ends_b[1:] > ends_b[:-1]).all())
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=distinct)
     return cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
 
 
@@ -127,7 +132,7 @@ def links_at(cuts: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[
 class Aligner:
     """Both tokenizers and the memo of units of a worker process."""
 
-    def __init__(self, byte_path: str, piece_path: str, memo_bytes: int):
+    def __init__(self, byte_path: str, piece_path: str, memo_bytes: int, write: bool):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -143,7 +148,7 @@ class Aligner:
         self.odd = re.compile(b"[" + "".join(sorted(joins)).encode() + b"]|" + _WIDE_SPACE)
         self.whole = any("▁" in p.lstrip("▁") for p in pieces)
         self.lone_space = self.b.piece_to_id("▁")
-        self.memo_bytes = memo_bytes
+        self.memo_bytes, self.write = memo_bytes, write
         self.forget()
 
     def forget(self) -> None:
@@ -151,6 +156,19 @@ class Aligner:
         self.keys, self.rows = np.zeros(0, np.uint64), empty
         self.table = Units(np.zeros(0, bool), empty, empty, empty, empty, empty, empty, np.zeros(0, object))
 
+    @staticmethod
+    def _flat(encode: Callable[[list[str]], list[list[int]]], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row and how many each has; the tokenizers' own objects are held for a few texts at a time."""
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), _CALL):
+            lists = encode(texts[i : i + _CALL])
+            counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _ids_b(self, texts: list[str]) -> list[list[int]]:
         """Ids of B for units: the space it adds is the unit's own, or goes again; it adds none to an empty text."""
         spaced = [t[:1] == " " for t in texts]
@@ -161,10 +179,7 @@ class Aligner:
     def align(self, raw: list[bytes]) -> Units:
         """Tokens, groups and links of units given by their bytes."""
         texts = [r.decode("utf-8", "replace") for r in raw]
-        lists_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        lists_b = self._ids_b(texts)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (lists_a, lists_b))
-        ids_a, ids_b = (np.array([i for x in ids for i in x], np.int64) for ids in (lists_a, lists_b))
+        (ids_a, n_a), (ids_b, n_b) = self._flat(self._ids_a, texts), self._flat(self._ids_b, texts)
         size = np.array([len(r) for r in raw], np.int64)
         of_a, of_b = np.repeat(np.arange(len(raw)), n_a), np.repeat(np.arange(len(raw)), n_b)
         bad = np.zeros(len(raw), bool)
@@ -188,22 +203,34 @@ class Aligner:
         pairs = ids_a[link_a] << 32 | ids_b[link_b]
         n_links = np.bincount(of_a[link_a], minlength=len(raw))
         n_groups = np.bincount(of_a[np.searchsorted(ends_a, cuts)], minlength=len(raw))
-        return Units(bad, n_a, n_b, n_groups, n_links, np.cumsum(n_links) - n_links, pairs, self._written(ids_a, ids_b, group_a, group_b, n_groups))
+        groups = self._written(ids_a, ids_b, group_a, group_b, n_groups) if self.write else np.full(len(raw), b"", object)
+        return Units(bad, n_a, n_b, n_groups, n_links, np.cumsum(n_links) - n_links, pairs, groups)
 
     @staticmethod
     def _written(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_groups: np.ndarray) -> np.ndarray:
-        """``a1,a2|b1;a3|b2,b3`` of each unit."""
-        total = int(n_groups.sum())
-        sides = []
-        for ids, group in ((ids_a, group_a), (ids_b, group_b)):
-            edge = np.searchsorted(group, np.arange(total + 1)).tolist()
-            names = list(map(str, ids.tolist()))
-            sides.append([names[i] if j == i + 1 else ",".join(names[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)])
-        groups = [f"{a}|{b}" for a, b in zip(*sides, strict=True)]
-        edge = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        out = np.empty(len(n_groups), object)
-        out[:] = [(groups[i] if j == i + 1 else ";".join(groups[i:j])).encode() for i, j in zip(edge[:-1], edge[1:], strict=True)]
-        return out
+        """``a1,a2|b1;a3|b2,b3`` of each unit: digits of all ids at once, then one slice a unit."""
+        group = np.concatenate([group_a, group_b])
+        order = np.argsort(2 * group + (np.arange(len(group)) >= len(group_a)), kind="stable")
+        ids, group, of_b = np.concatenate([ids_a, ids_b])[order], group[order], order >= len(group_a)
+        sign = np.full(len(ids), ord(","), np.uint8)  # what follows each id
+        if len(ids):
+            ends = np.append(group[1:] != group[:-1], True)
+            sign[~ends & ~of_b & np.append(of_b[1:], False)] = ord("|")
+            sign[ends] = ord(";")
+        digits = 1 + sum((ids >= 10**d).astype(np.int64) for d in range(1, 10))
+        stop = np.cumsum(digits + 1)
+        out = np.empty(int(stop[-1]) if len(ids) else 0, np.uint8)
+        out[stop - 1] = sign
+        rest, at, place = ids, stop - 2, digits
+        while len(rest):
+            out[at] = 48 + rest % 10
+            left = place > 1
+            rest, at, place = rest[left] // 10, at[left] - 1, place[left] - 1
+        edge = np.searchsorted(group, np.concatenate([[0], np.cumsum(n_groups)]))
+        edge = np.concatenate([[0], stop])[edge].tolist()
+        text, made = out.tobytes(), np.empty(len(n_groups), object)
+        made[:] = [text[i : max(i, j - 1)] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        return made
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys, starts, ends, first): the units of a batch of texts; a start of -1 - d means the first unit of text d, with its space."""
@@ -265,28 +292,30 @@ class Aligner:
         both = old.plus(made)
         row = np.empty(len(distinct), np.int64)
         row[known], row[~known] = np.arange(known.sum()), known.sum() + np.arange(len(fresh))
-        self._remember(distinct[~known], made, np.array([len(r) for r in raw], np.int64))
+        if self._size() > self.memo_bytes:  # what this batch did not use goes
+            self.forget()
+            self._remember(distinct[known], old)
+        small = np.fromiter(map(len, raw), np.int64, len(raw)) <= _LARGE_UNIT
+        self._remember(distinct[~known][small], made.take(np.flatnonzero(small)))
         return both, row[place], first
 
-    def _remember(self, keys: np.ndarray, made: Units, sizes: np.ndarray) -> None:
-        small = np.flatnonzero(sizes <= _LARGE_UNIT)
-        if self._size() > self.memo_bytes:
-            self.forget()
-        rows = np.concatenate([self.rows, len(self.table.bad) + np.arange(len(small))])
-        keys = np.concatenate([self.keys, keys[small]])
-        self.table = self.table.plus(made.take(small))
+    def _remember(self, keys: np.ndarray, made: Units) -> None:
+        rows = np.concatenate([self.rows, len(self.table.bad) + np.arange(len(keys))])
+        keys = np.concatenate([self.keys, keys])
+        self.table = self.table.plus(made)
         order = np.argsort(keys)
         self.keys, self.rows = keys[order], rows[order]
 
     def _size(self) -> int:
         table = self.table
-        return 160 * len(table.bad) + 8 * len(table.pairs) + 10 * int(table.n_a.sum() + table.n_b.sum())
+        return (120 if self.write else 72) * len(table.bad) + 8 * len(table.pairs) + 6 * self.write * int(table.n_a.sum() + table.n_b.sum())
 
 
-def aligner(byte_path: str, piece_path: str, memo_bytes: int) -> Aligner:
-    """One for each worker process; its memo outlives a task."""
-    key = (byte_path, piece_path, memo_bytes)
+def aligner(byte_path: str, piece_path: str, memo_bytes: int, write: bool = True) -> Aligner:
+    """One for each worker process and pass (only the second one writes groups); its memo outlives a task."""
+    key = (byte_path, piece_path, memo_bytes, write)
     if key not in _aligners:
+        _aligners.clear()
         _aligners[key] = Aligner(*key)
     return _aligners[key]
 
@@ -295,12 +324,12 @@ def _thin(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def pair_counts(df: DataFrame, byte_path: str, piece_path: str, text_col: str = "text", salts: int = 16, memo_bytes: int = 32 << 20) -> DataFrame:
+def pair_counts(df: DataFrame, byte_path: str, piece_path: str, text_col: str = "text", salts: int = 16, memo_bytes: int = 64 << 20) -> DataFrame:
     """(a, b, n, best): how many links hold each id pair, and whether that is the highest count of its B id."""
     thin = df.select(F.col(text_col).cast("binary").alias("text"))
 
     def make():
-        own = aligner(byte_path, piece_path, memo_bytes)
+        own = aligner(byte_path, piece_path, memo_bytes, write=False)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             pairs, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -342,7 +371,7 @@ _COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 _RARE = "rare array<struct<a: int, b: int, times: long>>"
 
 
-def align(df: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 1 << 20, salts: int = 16, memo_bytes: int = 32 << 20) -> DataFrame:
+def align(df: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 1 << 20, salts: int = 16, memo_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups of every row.
 
     ``n_best`` counts the links whose pair has its B id's highest count, ``count_sum``
