@@ -473,3 +473,37 @@ def ini_words_and_integers(spark, sf_dir):
         "n_nationkey", C.value_udf(words, "array<string>", "n_name").alias("words"), number(F.concat(F.col("n_regionkey").cast("string"), F.lit("K"))).alias("size"),
         number(F.lit("0x1F")).alias("hex"), number(F.lit("12x")).alias("bad"),
     )
+
+
+# --- HTML tree construction ---
+
+_ESCAPED = "replace(replace(replace(replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 10 AS kind, 'x' || {_ESCAPED} AS t FROM documents)
+SELECT doc_id, sha256('<html><head></head><body>' || CASE kind
+  WHEN 0 THEN '<b></b><p><b>' || t || '</b>tail</p>'
+  WHEN 1 THEN '<p>1<b>2<i>' || t || '</i></b><i>4</i>5</p>'
+  WHEN 2 THEN t || '<b>' || t || '</b><table><caption>c</caption><tbody><tr><td>d</td></tr></tbody></table><b>e</b>'
+  WHEN 3 THEN '<button>1</button><button>' || t || '</button>'
+  WHEN 4 THEN '<form><input></form>' || t
+  WHEN 5 THEN '<template><tr><td>' || t || '</td></tr></template>'
+  WHEN 6 THEN '<p>a<svg viewBox="0"><foreignObject><p>' || t || '</p></foreignObject><title>q</title></svg>z</p>'
+  WHEN 7 THEN '<div><a><b></b></a><b></b><div><b><a>' || t || '</a>2</b></div>3</div>'
+  WHEN 8 THEN '<svg><g></g></svg><p>' || t || '</p>'
+  ELSE '<select><option>' || t || '</option><option>2</option></select><table><colgroup><col></colgroup><tbody><tr><td><a>1</a></td></tr></tbody></table>' END || '</body></html>') AS tree
+FROM d
+""")
+def html_misnested(spark, sf_dir):
+    """Trees of damaged pages around whole documents: adoption, foster parents, nested buttons and forms, templates, foreign content."""
+    text = F.concat(F.lit("x"), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+    around = [
+        ("<b><p>", "</b>tail</p>"), ("<p>1<b>2<i>", "</b>4</i>5</p>"), None, ("<button>1<button>", ""), ("<form><form><input></form>", ""), ("<body><template><tr><td>", ""),
+        ("<p>a<svg viewbox=0><foreignobject><p>", "</p></foreignobject><title>q</title></svg>z"), ("<div><a><b><div>", "</a>2</b></div>3"), ("<svg><g/><p>", ""),
+        ("<select><option>", "<option>2</select><table><col><td><a>1</table>"),
+    ]
+    fostered = F.concat(F.lit("<table>"), text, F.lit("<b>"), text, F.lit("<caption>c<tr><td>d</b></table>e"))
+    pages = F.array(*[fostered if x is None else F.concat(F.lit(x[0]), text, F.lit(x[1])) for x in around])
+    made = dealt(spark, sf_dir, "documents").select("doc_id", F.element_at(pages, (F.col("doc_id") % 10 + 1).cast("int")).alias("page"))
+    return made.select("doc_id", F.sha2(C.html_normalize("page"), 256).alias("tree"))

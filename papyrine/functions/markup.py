@@ -7,11 +7,11 @@ a are exactly the nodes with ``a.pre < pre < a.post``.
 
 from __future__ import annotations
 
-import html as entities
 import re
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
+from . import html_tree
 from .errors import Limits, TextError
 
 NODE_TYPE = (
@@ -21,19 +21,9 @@ NODE_TYPE = (
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("textarea title".split())
-HEAD_ONLY = frozenset("base basefont bgsound link meta noframes script style template title".split())
 BOOLEAN_ATTRIBUTES = frozenset(
     "allowfullscreen async autofocus autoplay checked controls default defer disabled formnovalidate hidden inert ismap itemscope loop multiple muted nomodule novalidate open playsinline readonly required reversed selected".split()
 )
-CLOSES_PARAGRAPH = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
-)
-IMPLIED = {
-    "li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "option": ("option", "select optgroup"), "optgroup": ("option optgroup", "select"),
-    "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th caption colgroup", "table"),
-    "thead": ("caption colgroup", "table"), "tfoot": ("tbody thead tr td th", "table"), "rt": ("rt rp", "ruby"), "rp": ("rt rp", "ruby"),
-}
-FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
 
 @dataclass
@@ -47,201 +37,12 @@ class Tree:
     children: list[Tree] = field(default_factory=list)
 
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\0]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?|[\"'])*?)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-
-
-#: Fixed values of the HTML standard: where rows and cells stand, and what may stand in a table beside them.
-TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
-IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
-TABLE_SCOPES = {"caption": "table", "colgroup": "table", "tbody": "table", "thead": "table", "tfoot": "table", "tr": "tbody", "td": "tr", "th": "tr", "col": "colgroup"}
-
-
 def parse_html(text: str, limits: Limits = Limits(depth=512, items=10_000_000), context: str | None = None) -> list[dict]:
-    """Node rows of an HTML document, or of a fragment inside a ``context`` element.
-
-    Covered: doctype, comments, raw text, void elements, implied html, head and
-    body, implied table bodies, rows and column groups, content of a table that must
-    stand before it, implied end tags, misnested formatting elements (reopened after the
-    element that closed them), stray end tags, character references.
-    """
+    """Node rows of an HTML document, or of a fragment inside a ``context`` element, by the tree construction of the standard."""
     if len(text) > limits.total:
         raise TextError("limit", "document is too long", text[:1], 0)
-    root = Tree("document")
-    html, head, body = Tree("element", "html"), Tree("element", "head"), Tree("element", "body")
-    html.children = [head, body]
-    stack = [html, head]
-    in_head = context is None
-    if context:
-        body.name = context.lower()
-        stack = [html, body]
-    count = 0
-
-    def top() -> Tree:
-        return stack[-1]
-
-    def to_body() -> None:
-        nonlocal in_head
-        if in_head:
-            in_head = False
-            stack[:] = [html, body]
-
-    def add_text(raw: str, decode: bool = True) -> None:
-        value = entities.unescape(raw) if decode and "&" in raw else raw
-        value = value.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�" if not decode else "")
-        if not value:
-            return
-        if in_head and top().name in ("head", "html"):
-            if not value.strip(" \t\n\f"):
-                return
-            to_body()
-        own, at = top().children, None
-        if top().name in TABLE_PARTS and value.strip(" \t\n\f"):
-            own, at = before_table()
-        at = len(own) if at is None else at
-        if at and own[at - 1].kind == "text":
-            own[at - 1].text += value
-        else:
-            own.insert(at, Tree("text", text=value))
-
-    def before_table() -> tuple[list[Tree], int]:
-        """Children of the innermost table's parent and the table's place among them."""
-        at = max((i for i, x in enumerate(stack) if x.name == "table"), default=1)
-        if at < 2:
-            return stack[1].children, len(stack[1].children)
-        own = stack[at - 1].children
-        return own, next(i for i in range(len(own) - 1, -1, -1) if own[i] is stack[at])
-
-    at, n = 0, len(text)
-    while at < n:
-        lt = text.find("<", at)
-        if lt < 0:
-            add_text(text[at:])
-            break
-        if lt > at:
-            add_text(text[at:lt])
-        count += 1
-        if count > limits.items:
-            raise TextError("limit", "too many nodes", text[:1], 0)
-        if text.startswith("<!--", lt):
-            end = re.compile(r"(?<=<!--)-?>|--!?>").search(text, lt + 4)
-            stop = end.start() if end else n
-            (root.children if not html_used(stack, html, root) and in_head and not head.children else top().children).append(Tree("comment", text=text[lt + 4 : stop]))
-            at = end.end() if end else n
-            continue
-        if text[lt + 1 : lt + 2] in ("!", "?"):
-            end = text.find(">", lt)
-            end = n if end < 0 else end
-            body_text = text[lt + 2 : end]
-            if text[lt + 1] == "!" and body_text[:7].lower() == "doctype":
-                root.children.append(Tree("doctype", body_text[7:].strip().split(" ")[0].lower()))
-            else:
-                top().children.append(Tree("comment", text=text[lt + 1 : end]))
-            at = end + 1
-            continue
-        m = _TAG.match(text, lt)
-        if not m:
-            add_text("<", decode=False)
-            at = lt + 1
-            continue
-        at = m.end()
-        name = m[2].lower()
-        if m[1]:
-            _end_tag(stack, name, in_head)
-            if name == "head":
-                to_body()
-            continue
-        attrs: dict[str, str] = {}
-        for k, a, b, c in _ATTRIBUTE.findall(m[3]):
-            attrs.setdefault(k.lower(), entities.unescape(a or b or c))
-        if name in ("html", "head", "body"):
-            target = {"html": html, "head": head, "body": body}[name]
-            for k, v in attrs.items():
-                target.attrs.setdefault(k, v)
-            if name == "body":
-                to_body()
-            continue
-        if in_head and name not in HEAD_ONLY:
-            to_body()
-        if not in_head:
-            if name in CLOSES_PARAGRAPH:
-                _close(stack, {"p"}, {"button", "table", "td", "th", "caption", "object"})
-            if name in IMPLIED:
-                tags, stop = IMPLIED[name]
-                while _close(stack, set(tags.split()), set(stop.split())) and name in TABLE_SCOPES:
-                    pass
-            if top().name == "colgroup" and name not in ("col", "template"):
-                stack.pop()
-            while (parent := TABLE_SCOPES.get(name)) and top().name in TABLE_PARTS and top().name != parent and not (name == "tr" and top().name in ("thead", "tfoot")):
-                implied = "tbody" if top().name == "table" and parent != "colgroup" else parent
-                if implied == "table":
-                    break
-                top().children.append(made := Tree("element", implied))
-                stack.append(made)
-            if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", top().name):
-                stack.pop()
-            if name == "a" and any(x.name == "a" for x in stack):
-                _end_tag(stack, "a", False)
-        node = Tree("element", name, attrs)
-        if not in_head and top().name in TABLE_PARTS and name not in IN_TABLE and not (name == "input" and attrs.get("type", "").lower() == "hidden"):
-            own, place = before_table()
-            own.insert(place, node)
-        else:
-            top().children.append(node)
-        if name in RAW_TEXT or name in ESCAPABLE_RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(text, at)
-            stop = end.start() if end else n
-            raw = text[at:stop]
-            if name == "textarea" and raw.startswith("\n"):
-                raw = raw[1:]
-            if raw:
-                node.children.append(Tree("text", text=entities.unescape(raw) if name in ESCAPABLE_RAW else raw))
-            gt = text.find(">", stop)
-            at = n if not end or gt < 0 else gt + 1
-        elif name not in VOID:
-            if len(stack) >= limits.depth:
-                raise TextError("limit", "too many open elements", text[:1], 0)
-            stack.append(node)
-    root.children = body.children if context else [*root.children, html]
-    return rows(root)
-
-
-def html_used(stack: list[Tree], html: Tree, root: Tree) -> bool:
-    return len(stack) > 2 or bool(html.attrs)
-
-
-def _close(stack: list[Tree], tags: set[str], stop: set[str]) -> bool:
-    for i in range(len(stack) - 1, 1, -1):
-        if stack[i].name in stop:
-            return False
-        if stack[i].name in tags:
-            del stack[i:]
-            return True
-    return False
-
-
-def _end_tag(stack: list[Tree], name: str, in_head: bool) -> None:
-    if name in ("html", "body"):
-        return
-    if name == "br":
-        stack[-1].children.append(Tree("element", "br"))
-        return
-    if name == "p" and not any(x.name == "p" for x in stack):
-        if not in_head:
-            stack[-1].children.append(Tree("element", "p"))
-        return
-    for i in range(len(stack) - 1, 1, -1):
-        if stack[i].name == name:
-            reopen = [x for x in stack[i + 1 :] if x.name in FORMATTING] if name not in FORMATTING or stack[i + 1 :] else []
-            del stack[i:]
-            if name in FORMATTING:
-                for x in reopen:
-                    again = Tree("element", x.name, dict(x.attrs))
-                    stack[-1].children.append(again)
-                    stack.append(again)
-            return
-        if name in FORMATTING and stack[i].name in ("table", "td", "th", "caption", "button", "object"):
-            return
+    root = html_tree.build(text, limits, context)
+    return rows(Tree("document", children=root.children) if context else root)
 
 
 def parse_xml(text: str, limits: Limits = Limits(depth=256, items=10_000_000)) -> list[dict]:
@@ -285,10 +86,10 @@ def parse_xml(text: str, limits: Limits = Limits(depth=256, items=10_000_000)) -
     return rows(root)
 
 
-def rows(root: Tree) -> list[dict]:
+def rows(root: Tree | html_tree.Node) -> list[dict]:
     """Node rows of a tree in document order."""
     out: list[dict] = []
-    pending: list[tuple[Tree, int, int, int, int] | int] = [(root, -1, 0, 0, 1)]
+    pending: list[tuple | int] = [(root, -1, 0, 0, 1)]
     while pending:
         item = pending.pop()
         if isinstance(item, int):
