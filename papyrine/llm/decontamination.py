@@ -168,13 +168,17 @@ def _one_pass(docs: DataFrame, index: ItemIndex, text_col: str, num: int, den: i
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, rows: int, size: int):
-    """Functions that collect one block (ids, texts) each, of at most about ``rows`` items and ``size`` bytes."""
+    """Functions that collect one block (ids, texts) each, of at most about ``rows`` items and ``size`` bytes.
+
+    Items are dealt to blocks by their row number, so repeated items lie in different ones.
+    """
     thin = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    thin = stash(thin.withColumn("row", F.monotonically_increasing_id()), "items")
     n, total = thin.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // rows), -(-total // size))
 
     def block(i: int) -> tuple[list, list]:
-        part = thin.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i).orderBy("id").toArrow()
+        part = thin.where(F.pmod("row", F.lit(blocks)) == i).orderBy("id", "row").toArrow()
         return part.column("id").to_pylist(), part.column("text").to_pylist()
 
     return [partial(block, i) for i in range(blocks)]
