@@ -1,7 +1,10 @@
 """Approximate nearest neighbours: IVF lists of product-quantised residuals.
 
 Fit (driver, numpy, on at most ``sample_rows`` vectors): k-means centroids whose
-number grows with the square root of the table, codebooks of the residuals (two
+number grows with the square root of the table as far as the sample trains them (an
+eighth of its rows, 2,500 lists of 20,000 sampled vectors, from about 390,000 vectors
+on; beyond that the lists grow, and raising ``sample_rows`` with the table keeps them
+small), codebooks of the residuals (two
 components to a code), and the number of lists to probe, taken as the smallest
 that reaches ``aim`` of the true neighbours of the sample's distinct vectors.
 
@@ -9,8 +12,9 @@ Index (one map): every vector gets its list and codes; only these are written to
 shared storage and shuffle.  Lists are put into blocks of bounded size: small lists
 share a block, a large list is salted over several.
 
-Search: a query goes to the blocks of its probed lists, in chunks of bounded
-size.  A task scores the probed lists of one block by asymmetric distance tables
+Search: a query goes to the blocks of its probed lists.  The queries of a block are
+cut into chunks of bounded size, and the block is copied once a chunk, so copies
+grow with the probing of a block and not with the number of all queries.  A task scores the probed lists of one block by asymmetric distance tables
 (query x centroid plus one table entry for each code) and keeps the best ``depth``
 of each query; the best ``depth`` of all blocks meet their original vectors in a join
 by id and are ranked again by the exact product in double precision.
@@ -205,23 +209,39 @@ def knn(
         block, room = (block + salts - 1, block_rows - share) if salts > 1 else (block, room - share)
     blocks = spark.createDataFrame(plan, "list int, first int, salts int")
     spread = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("salts"))).cast("int")
-    chunks = max(1, -(-asked.count() // chunk_rows))
-    left = indexed.join(F.broadcast(blocks), "list").select("vec_id", "list", "codes", spread.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     of_list = {own: (first, salts) for own, first, salts in plan}
 
+    def probed_blocks(found: Index, b: pa.RecordBatch) -> list[list[int]]:
+        rank = found.probe_scores(_rows(b.column("v"), dims).astype(np.float32))
+        probed = np.argsort(-rank, axis=1)[:, : found.probes]
+        return [sorted({f + s for own in row for f, n in [of_list.get(int(own), (0, 0))] for s in range(n)}) for row in probed]
+
+    def counting():
+        found = shared.value
+
+        def step(b: pa.RecordBatch) -> pa.RecordBatch:
+            block, n = np.unique(np.array([x for g in probed_blocks(found, b) for x in g], np.int32), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(n.astype(np.int64))], names=["block", "n"])
+
+        return step
+
     def routing():
         found = shared.value
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            rank = found.probe_scores(_rows(b.column("v"), dims).astype(np.float32))
-            probed = np.argsort(-rank, axis=1)[:, : found.probes]
-            goes = [sorted({f + s for own in row for f, n in [of_list.get(int(own), (0, 0))] for s in range(n)}) for row in probed]
+            goes = probed_blocks(found, b)
             at = pa.array(np.repeat(np.arange(len(goes)), [len(g) for g in goes]))
             return pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("v").take(at), pa.array([x for g in goes for x in g], pa.int32())], names=["query_id", "v", "block"])
 
         return step
 
-    right = arrow_map(asked, routing, f"query_id long, v {kind}, block int").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    # a block is copied once for every ``chunk_rows`` of the queries that probe it, and not at all if none does
+    asking = arrow_map(asked, counting, "block int, n long").groupBy("block").agg(F.ceil(F.sum("n") / chunk_rows).cast("int").alias("chunks"))
+    asking = F.broadcast(stash(asking, "asking"))
+    left = indexed.join(F.broadcast(blocks), "list").select("vec_id", "list", "codes", spread.alias("block")).join(asking, "block")
+    left = left.select("vec_id", "list", "codes", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = arrow_map(asked, routing, f"query_id long, v {kind}, block int").join(asking, "block")
+    right = right.select("query_id", "v", "block", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"))
 
     def search(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         row, vec, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
