@@ -8,14 +8,17 @@ a are exactly the nodes with ``a.pre < pre < a.post``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from xml.parsers import expat
+from zlib import crc32
 
 from . import html_tree
 from .errors import Limits, TextError
 
 NODE_TYPE = (
-    "array<struct<pre:int,post:int,parent:int,depth:int,sib_idx:int,sib_count:int,kind:string,name:string,attrs:map<string,string>,text:string>>"
+    "array<struct<pre:int,post:int,parent:int,depth:int,sib_idx:int,sib_count:int,kind:string,name:string,attrs:map<string,string>,text:string,above:bigint>>"
 )
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -86,8 +89,30 @@ def parse_xml(text: str, limits: Limits = Limits(depth=256, items=10_000_000)) -
     return rows(root)
 
 
+@lru_cache(1 << 16)
+def _bit(key: str) -> int:
+    return 1 << (crc32(key.encode()) & 63)
+
+
+def key_bits(keys: Iterable[str]) -> int:
+    """Bloom filter of 64 bits of element keys: ``#id``, ``.class``, type in lower case."""
+    out = 0
+    for key in keys:
+        out |= _bit(key)
+    return out
+
+
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def element_keys(name: str, attrs: dict[str, str]) -> list[str]:
+    return [name.lower(), *(["#" + attrs["id"]] if attrs.get("id") else []), *("." + c for c in attrs.get("class", "").split())]
+
+
 def rows(root: Tree | html_tree.Node) -> list[dict]:
-    """Node rows of a tree in document order."""
+    """Node rows of a tree in document order; ``above`` is the filter of the keys of all ancestors."""
+    below: list[int] = []  # for each node the filter of its own keys and those above it
     out: list[dict] = []
     pending: list[tuple | int] = [(root, -1, 0, 0, 1)]
     while pending:
@@ -97,7 +122,9 @@ def rows(root: Tree | html_tree.Node) -> list[dict]:
             continue
         node, parent, depth, index, count = item
         pre = len(out)
-        out.append({"pre": pre, "post": pre + 1, "parent": parent, "depth": depth, "sib_idx": index, "sib_count": count, "kind": node.kind, "name": node.name, "attrs": node.attrs, "text": node.text})
+        out.append({"pre": pre, "post": pre + 1, "parent": parent, "depth": depth, "sib_idx": index, "sib_count": count, "kind": node.kind, "name": node.name, "attrs": node.attrs, "text": node.text, "above": signed(below[parent] if parent >= 0 else 0)})
+        above = below[parent] if parent >= 0 else 0
+        below.append(above | key_bits(element_keys(node.name, node.attrs)) if node.kind == "element" else above)
         pending.append(pre)
         elements = sum(c.kind == "element" for c in node.children)
         place = elements

@@ -11,13 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.errors import TextError
-from . import selectors
+from . import rule_index, selectors, structural
 
 #: Properties that inherit (those the computed subset knows).
 INHERITED = frozenset("color cursor direction font-family font-size font-style font-weight letter-spacing line-height list-style-type quotes text-align text-indent text-transform visibility white-space word-spacing".split())
@@ -296,13 +295,7 @@ def candidates(nodes: DataFrame, id_cols: list[str], css: str, origin: str = "au
             rows.append((single, d.prop, d.value, d.important, rank, a, b, c, d.order))
             matched.setdefault(single, None)
     rules = spark.createDataFrame(rows, schema)
-    plain = {s: keys for s in matched if (keys := simple_keys(s)) is not None}
-    hits = [selectors.select_all(nodes, id_cols, s).select(*id_cols, "pre", F.lit(s).alias("selector")) for s in matched if s not in plain]
-    if plain:
-        hits.append(indexed_hits(nodes, id_cols, plain))
-    if not hits:
-        return nodes.select(*id_cols, "pre").where("false").join(rules.limit(0))
-    joined = reduce(DataFrame.unionByName, hits).join(F.broadcast(rules), "selector")  # the rules of one sheet
+    joined = rule_index.hits(nodes, id_cols, list(matched)).join(F.broadcast(rules), "selector")  # the rules of one sheet
     return joined.select(*id_cols, "pre", "prop", "value", "important", F.lit(origin).alias("origin"), F.lit(False).alias("attached"), "layer", "a", "b", "c", "ord")
 
 
@@ -374,8 +367,7 @@ def computed(nodes: DataFrame, id_cols: list[str], winners: DataFrame, prop: str
     """(ids, pre, value) of one property on every element, after inheritance and defaulting.
 
     The value of an inherited property comes from the nearest ancestor-or-self
-    with a winner of its own: one range join within the document and one
-    aggregation, whatever the depth.
+    with a winner of its own: two windows in document order, whatever the depth.
     """
     own = winners.where((F.col("prop") == prop) & (F.col("rank") == 1)).select(*id_cols, "pre", "value")
     elements = nodes.where("kind = 'element'").select(*id_cols, "pre", "post", "depth")
@@ -385,6 +377,6 @@ def computed(nodes: DataFrame, id_cols: list[str], winners: DataFrame, prop: str
         joined = elements.join(own, [*id_cols, "pre"], "left")
         return joined.select(*id_cols, "pre", F.when(keep, F.col("value")).otherwise(F.lit(initial)).alias("value"))
     own = own.where(~F.col("value").isin("inherit", "unset")).withColumn("value", F.when(F.col("value") == "initial", F.lit(initial)).otherwise(F.col("value")))
-    sources = elements.join(own, [*id_cols, "pre"]).select(*id_cols, F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), "value")
-    inside = elements.join(sources, id_cols).where("pre >= _pre and pre < _post").groupBy(*id_cols, "pre").agg(F.max_by("value", "_depth").alias("value"))
-    return elements.select(*id_cols, "pre").join(inside, [*id_cols, "pre"], "left").withColumn("value", F.coalesce("value", F.lit(initial)))
+    sources = elements.join(own, [*id_cols, "pre"]).select(*id_cols, "pre", "post", "value")
+    found = structural.nearest_ancestor(elements.select(*id_cols, "pre"), sources, id_cols, "value", or_self=True)
+    return found.withColumn("value", F.coalesce("value", F.lit(initial)))

@@ -2,8 +2,8 @@
 
 A selector list is parsed on the driver.  Every compound becomes a filter on the
 element rows of the node table; every combinator one join within the document:
-child on (doc, parent), descendant on doc with a range on pre, siblings on (doc,
-parent) with the sibling index.  ``:not()`` is an anti join, ``:is()`` and
+child on (doc, parent), descendant a window in document order (see ``structural``),
+siblings on (doc, parent) with the sibling index.  ``:not()`` is an anti join, ``:is()`` and
 ``:has()`` semi joins; ``:nth-*`` tests a sibling index (a window where it counts
 by type or ``of S``).  The subjects of a list are united distinct.
 """
@@ -20,10 +20,17 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions.columns import value_udf
 from ..functions.errors import TextError
+from . import structural
 
 _IDENT = r"-?(?:[_a-zA-Z\u0080-\U0010ffff]|\\[^\n])(?:[-\w\u0080-\U0010ffff]|\\[^\n])*|--(?:[-\w\u0080-\U0010ffff]|\\[^\n])*"
 
 
+#: Pseudo-classes without arguments that a node table can answer; a rule with another one is dropped, like any that does not parse.
+PLAIN_PSEUDO = frozenset(
+    "root first-child last-child only-child first-of-type last-of-type only-of-type empty link any-link checked disabled enabled required optional defined visited hover active focus target".split()
+)
+
+
 @dataclass
 class Compound:
     """Simple selectors on one element; each is (kind, argument)."""
@@ -137,6 +144,8 @@ class _Parser:
     def pseudo(self) -> tuple:
         name = self.ident().lower()
         if not self.take(r"\("):
+            if name not in PLAIN_PSEUDO:
+                self.fail(f":{name} is not supported")
             return "pseudo", (name, None)
         self.space()
         if name in ("not", "is", "where", "matches", "has"):
@@ -147,7 +156,7 @@ class _Parser:
             if self.space() and self.take(r"of\s"):
                 of = self.list(end=")")
             arg = (an_plus_b(raw), of)
-        elif name in ("lang", "dir"):
+        elif name == "lang":
             arg = [x.strip().strip("\"'") for x in (self.take(r"[^()]*") or "").split(",")]
         else:
             self.fail(f"unknown function :{name}()")
@@ -215,7 +224,7 @@ def specificity(selectors: list[Complex]) -> tuple[int, int, int]:
 
 
 def node_table(df: DataFrame, id_cols: list[str], text_col: str, xml: bool = False, on_error: str = "row", context: str | None = None) -> DataFrame:
-    """One row for each node of each document: the id columns, pre, post, parent, depth, sib_idx, sib_count, kind, name, attrs, text.
+    """One row for each node of each document: the id columns, pre, post, parent, depth, sib_idx, sib_count, kind, name, attrs, text, above.
 
     A document that cannot be parsed (too deep, not well-formed) gives one row of
     kind ``error`` with the message as text; ``on_error="raise"`` fails the job.
@@ -228,7 +237,7 @@ def node_table(df: DataFrame, id_cols: list[str], text_col: str, xml: bool = Fal
         except TextError as e:
             if on_error == "raise":
                 raise
-            found = [{"pre": 0, "post": 1, "parent": None, "depth": 0, "sib_idx": 0, "sib_count": 0, "kind": "error", "name": e.code, "attrs": {}, "text": str(e)}]
+            found = [{"pre": 0, "post": 1, "parent": None, "depth": 0, "sib_idx": 0, "sib_count": 0, "kind": "error", "name": e.code, "attrs": {}, "text": str(e), "above": 0}]
         return [n | {"attrs": list(n["attrs"].items())} for n in found]
 
     nodes = value_udf(run, markup.NODE_TYPE, text_col)
@@ -260,14 +269,17 @@ class Matcher:
 
     def _step(self, left: DataFrame, sign: str, right: DataFrame) -> DataFrame:
         """Rows of ``right`` with a row of ``left`` on the other side of the combinator."""
-        l = left.select(*self.ids, F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("parent").alias("_parent"), F.col("sib_idx").alias("_sib"))  # noqa: E741
+        if sign == " ":
+            return structural.with_ancestor(right, left.select(*self.ids, "pre", "post"), self.ids)
+        l = left.select(*self.ids, F.col("pre").alias("_pre"), F.col("parent").alias("_parent"), F.col("sib_idx").alias("_sib"))  # noqa: E741
+        if sign == "~":
+            l = l.groupBy(*self.ids, "_parent").agg(F.min("_sib").alias("_sib"))  # noqa: E741
         same = reduce(Column.__and__, [l[c].eqNullSafe(right[c]) for c in self.ids])
         link = {
-            ">": right["parent"] == l["_pre"],
-            " ": (right["pre"] > l["_pre"]) & (right["pre"] < l["_post"]),
-            "+": (right["parent"] == l["_parent"]) & (right["sib_idx"] == l["_sib"] + 1),
-            "~": (right["parent"] == l["_parent"]) & (right["sib_idx"] > l["_sib"]),
-        }[sign]
+            ">": lambda: right["parent"] == l["_pre"],
+            "+": lambda: (right["parent"] == l["_parent"]) & (right["sib_idx"] == l["_sib"] + 1),
+            "~": lambda: (right["parent"] == l["_parent"]) & (right["sib_idx"] > l["_sib"]),
+        }[sign]()
         return right.join(l, same & link, "left_semi")
 
     def _compound(self, compound: Compound) -> DataFrame:
@@ -344,14 +356,16 @@ class Matcher:
             counted = self._counted(typed, last, self._list(of) if of else None)
             return self._kept(df, counted.where(_nth(F.col("_n"), a, b)).select(*self.key), "left_semi")
         if name == "lang":
-            langs = self.elements.where(F.col("attrs")["lang"].isNotNull()).select(*self.ids, F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), F.lower(F.col("attrs")["lang"]).alias("_lang"))
-            close = df.join(langs, self.ids).where("pre >= _pre and pre < _post").groupBy(*self.key).agg(F.max_by("_lang", "_depth").alias("_lang"))
+            langs = self.elements.where(F.col("attrs")["lang"].isNotNull()).select(*self.ids, "pre", "post", F.lower(F.col("attrs")["lang"]).alias("_lang"))
+            close = structural.nearest_ancestor(df.select(*self.key), langs, self.ids, "_lang", or_self=True)
             wanted = reduce(Column.__or__, [(F.col("_lang") == x.lower()) | F.col("_lang").startswith(x.lower() + "-") for x in arg])
             return self._kept(df, close.where(wanted).select(*self.key), "left_semi")
         raise TextError("selector", f":{name} is not supported")
 
     def _has(self, df: DataFrame, c: Complex) -> DataFrame:
         """Keys of rows of ``df`` from which the relative selector reaches an element."""
+        if c.lead == " " and len(c.compounds) == 1:
+            return structural.with_descendant(df.select(*self.key, "post"), self._compound(c.compounds[0]).select(*self.key), self.ids).select(*self.key)
         anchors = df.select(*self.ids, F.col("pre").alias("_a"), F.col("post").alias("_z"), F.col("parent").alias("_p"), F.col("sib_idx").alias("_s"))
         signs = [c.lead, *c.combinators]
         current, first = anchors, True
@@ -400,8 +414,5 @@ def select_first(nodes: DataFrame, id_cols: list[str], selector: str) -> DataFra
 
 def text_content(nodes: DataFrame, id_cols: list[str], elements: DataFrame) -> DataFrame:
     """(ids, pre, text): the texts under each element, in order."""
-    own = elements.select(*id_cols, F.col("pre").alias("_pre"), F.col("post").alias("_post"))
     texts = nodes.where("kind in ('text', 'cdata')").select(*id_cols, "pre", "text")
-    under = own.join(texts, id_cols, "left").where("pre is null or (pre > _pre and pre < _post)")
-    listed = under.groupBy(*id_cols, "_pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("text"))
-    return listed.withColumnRenamed("_pre", "pre")
+    return structural.text_within(elements.select(*id_cols, "pre", "post"), texts, id_cols)
