@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import query, table
-from .operators import css_declarations
+from .catalog import page_nodes, query, table
+from .operators import cascade, css_declarations, rule_index, selectors
+from .runtime import spread, stash
 
 
 def line_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,3 +80,32 @@ def css_logical_properties(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, ["margin-inline-start", "block-size", "border-end-end-radius"])), (F.col("p_partkey") % 3 + 1).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("longhand"), F.concat("p_size", F.lit("px")).alias("longhand_value"))
     return css_declarations.physical(rows, direction="rtl")
+
+
+@query("""
+WITH p AS (SELECT page_id, len(regexp_extract_all(html, '<li><a href=')) AS li, len(regexp_extract_all(html, '<h1>')) AS h1, len(regexp_extract_all(html, '<div class="ad">')) AS ad FROM pages),
+c AS (SELECT page_id, unnest(['nav li a', 'body > nav ul > li + li', 'li:nth-child(2n) > a[href^="/"]', 'article h1', '.ad ~ article > h1']) AS selector,
+  unnest([li, greatest(li - 1, 0), li // 2, h1, CASE WHEN ad > 0 THEN h1 ELSE 0 END]) AS n FROM p)
+SELECT page_id, selector, n FROM c WHERE n > 0
+""")
+def css_sheet_of_two_thousand_rules(spark, sf_dir):
+    """A sheet of 2,000 complex rules in one plan: elements a selector matches in each page, for those that match any."""
+    sheet = [f"article.k{i} > div .c{i} + p" for i in range(1995)] + ["nav li a", "body > nav ul > li + li", 'li:nth-child(2n) > a[href^="/"]', "article h1", ".ad ~ article > h1"]
+    found = rule_index.hits(page_nodes(spark, sf_dir), ["page_id"], sheet)
+    return found.groupBy("page_id", "selector").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH q AS (SELECT l_orderkey, list(CAST(l_quantity AS INTEGER) ORDER BY l_linenumber, l_partkey, l_quantity) AS qs FROM lineitem GROUP BY 1),
+u AS (SELECT l_orderkey, unnest(range(0, len(qs))) AS nth, qs FROM q)
+SELECT l_orderkey, CAST(nth AS BIGINT) AS nth, CASE WHEN list_max(list_transform(qs[1:nth + 1], lambda x: CASE WHEN x > 25 THEN 1 ELSE 0 END)) = 1
+  THEN 'rgb-' || list_filter(qs[1:nth + 1], lambda x: x > 25)[-1] ELSE 'canvastext' END AS color FROM u
+""")
+def css_inheritance_through_nesting(spark, sf_dir):
+    """Each order as nested elements, one inside the other: the colour of each comes from the nearest element around it that sets one."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
+    opened = F.array_join(F.transform("lines", lambda x: F.when(x["l_quantity"] > 25, F.concat(F.lit("<div style='color: rgb-"), x["l_quantity"].cast("int"), F.lit("'>"))).otherwise("<div>")), "")
+    nodes = stash(selectors.node_table(spread(lines.select("l_orderkey", opened.alias("page"))), ["l_orderkey"], "page"), "nodes")
+    ranked = cascade.cascade(cascade.inline_candidates(nodes, ["l_orderkey"]), ["l_orderkey"])
+    found = cascade.computed(nodes, ["l_orderkey"], ranked, "color").where("pre > 3")
+    return found.select("l_orderkey", (F.col("pre") - 4).cast("long").alias("nth"), F.col("value").alias("color"))
