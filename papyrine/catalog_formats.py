@@ -9,7 +9,7 @@ from .catalog import SCREEN, dealt, page_nodes, query, table
 from .functions import columns as C
 from .functions import css_values, encoding_text, ini_text, markup
 from .operators import cascade, csv_table, selectors, timing
-from .runtime import shared_dir, stash
+from .runtime import scratch, stash
 from .streaming import chunks
 
 
@@ -374,11 +374,9 @@ def grouping_rollup(spark, sf_dir):
 
 
 def run_stream(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream gives until its input is used up, written to the shared folder batch by batch."""
-    import uuid
-
+    """What a stream gives until its input is used up, written to the shared folder batch by batch; output and state go when the driver ends."""
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    home = scratch(spark, name)
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{home}/out")
