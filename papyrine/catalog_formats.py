@@ -505,3 +505,32 @@ def html_misnested(spark, sf_dir):
     pages = F.array(*[fostered if x is None else F.concat(F.lit(x[0]), text, F.lit(x[1])) for x in around])
     made = dealt(spark, sf_dir, "documents").select("doc_id", F.element_at(pages, (F.col("doc_id") % 10 + 1).cast("int")).alias("page"))
     return made.select("doc_id", F.sha2(C.html_normalize("page"), 256).alias("tree"))
+
+
+@query("""
+SELECT o_orderkey, unnest([struct_pack(at := 0, path := 'order.id', value := CAST(o_orderkey AS VARCHAR)), struct_pack(at := 1, path := 'customer.id', value := CAST(o_custkey AS VARCHAR)),
+  struct_pack(at := 2, path := 'order.state.code', value := o_orderstatus), struct_pack(at := 3, path := 'line.0.q', value := '[1] # no'), struct_pack(at := 4, path := 'line.1.priority', value := o_orderpriority),
+  struct_pack(at := 5, path := 'order.note', value := '')], recursive := true) FROM orders
+""")
+def toml_reopened_tables(spark, sf_dir):
+    """Assignments of one document for each order, in document order although its tables are opened again."""
+    key, own = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    text = F.concat(
+        F.lit("[order] # first\nid = "), key, F.lit("\n[customer]\nid = "), own, F.lit("\n[order.state]\ncode = '"), "o_orderstatus", F.lit("'\n[[line]]\nq = \"[1] # no\"\n[[line]]\npriority = '''"), "o_orderpriority", F.lit("'''\n[order.note]\n")
+    )
+    return dealt(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(C.toml_events(text)).alias("at", "e")).select("o_orderkey", "at", "e.path", "e.value")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*/)', 1) AS folder FROM pages),
+q AS (SELECT *, CASE WHEN folder = '' THEN '/' ELSE folder END AS dir FROM p)
+SELECT page_id, scheme || '://' || host || regexp_replace(dir, '[^/]+/$', '') || 'up?q=' || page_id AS up, scheme || '://' || host || dir || 'a/c/' AS dots, regexp_replace(url, '#.*$', '') || '#f' AS fragment,
+       'foo://h/' || page_id || '/c' AS other, 'urn:x:' || page_id || '/c' AS rootless FROM q
+""")
+def uri_references(spark, sf_dir):
+    """References with dot segments, queries and fragments resolved against each page's address, and against schemes unknown to the library."""
+    n = F.col("page_id").cast("string")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", C.uri_resolve("url", F.concat(F.lit("../up?q="), n)).alias("up"), C.uri_resolve("url", F.lit("./a/./b/../c/.")).alias("dots"), C.uri_resolve("url", F.lit("#f")).alias("fragment"),
+        C.uri_resolve(F.concat(F.lit("foo://h/"), n, F.lit("/a/b")), F.lit("../c")).alias("other"), C.uri_resolve(F.concat(F.lit("urn:x:"), n, F.lit("/b")), F.lit("c")).alias("rootless"),
+    )

@@ -359,11 +359,44 @@ def html_is_boolean_attribute(name: Column | str) -> Column:
     return F.lower(F.col(name) if isinstance(name, str) else name).isin(*sorted(markup.BOOLEAN_ATTRIBUTES))
 
 
-def uri_resolve(base: Column | str, reference: Column | str) -> Column:
-    """RFC 3986 reference resolution against an absolute base."""
-    from urllib.parse import urljoin
+def _uri_parts(uri: Column) -> dict[str, Column]:
+    """Components of a URI reference; null where one is absent (a path is never absent)."""
+    pattern = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    at = lambda i: F.regexp_extract(uri, pattern, i)
+    rest = F.regexp_replace(uri, r"^[^:/?#]+:", "")
+    return {
+        "scheme": F.when(uri.rlike(r"^[^:/?#]+:"), at(1)), "authority": F.when(rest.startswith("//"), at(2)), "path": at(3),
+        "query": F.when(uri.rlike(r"^[^#?]*\?"), at(4)), "fragment": F.when(F.contains(uri, F.lit("#")), at(5)),
+    }
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without "." and ".." segments, by a fold over its segments; each piece but the first keeps its slash."""
+    segments = F.split(F.regexp_replace(path, r"^(?:\.\.?/)+|^\.\.?$", ""), "/")
+    pieces = F.transform(segments, lambda s, i: F.struct(s.alias("s"), F.when(i == 0, s).otherwise(F.concat(F.lit("/"), s)).alias("p"), F.lit(False).alias("end")))
+    marked = F.concat(F.slice(pieces, F.lit(1), F.size(segments) - 1), F.transform(F.slice(pieces, -1, 1), lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), F.lit(True).alias("end"))))
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+        slash = F.when(x["end"], F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
+        return F.when(x["s"] == ".", F.concat(kept, slash)).when(x["s"] == "..", F.concat(up, slash)).otherwise(F.concat(kept, F.array(x["p"])))
 
-    return value_udf(urljoin, "string", base, reference, on_error="null")
+    return F.array_join(F.aggregate(marked, F.array().cast("array<string>"), step), "")
+
+
+def uri_resolve(base: Column | str, reference: Column | str) -> Column:
+    """RFC 3986, 5.2: a reference resolved against an absolute base, by column expressions; null if neither has a scheme."""
+    base, reference = (F.col(x) if isinstance(x, str) else x for x in (base, reference))
+    b, r = _uri_parts(base), _uri_parts(reference)
+    merged = F.when(b["authority"].isNotNull() & (b["path"] == ""), F.concat(F.lit("/"), r["path"])).otherwise(F.concat(F.regexp_replace(b["path"], r"[^/]*$", ""), r["path"]))
+    own = r["scheme"].isNotNull() | r["authority"].isNotNull()
+    path = (
+        F.when(own, _without_dots(r["path"])).when(r["path"] == "", b["path"]).when(r["path"].startswith("/"), _without_dots(r["path"])).otherwise(_without_dots(merged))
+    )
+    query = F.when(own | (r["path"] != ""), r["query"]).otherwise(F.coalesce(r["query"], b["query"]))
+    scheme, authority = F.coalesce(r["scheme"], b["scheme"]), F.when(own, r["authority"]).otherwise(b["authority"])
+    part = lambda mark, value: F.coalesce(F.concat(F.lit(mark), value), F.lit(""))
+    return F.when(scheme.isNotNull(), F.concat(scheme, F.lit(":"), part("//", authority), path, part("?", query), part("#", r["fragment"])))
 
 
 def unicode_normalize(column: Column | str, form: str = "NFC") -> Column:

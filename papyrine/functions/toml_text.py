@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import re
 import tomllib
+from collections.abc import Iterator
 
 from .errors import TextError
 from .json_text import Number
@@ -49,8 +50,54 @@ def from_json(value: object, nulls: str = "error") -> object:
     return value
 
 
+_STRING = re.compile(r'"""(?:[^\\]|\\.)*?"{3,5}|\'\'\'.*?\'{3,5}|"(?:[^"\\\n]|\\.)*"|\'[^\'\n]*\'', re.S)
+
+
+def statements(text: str) -> Iterator[str]:
+    """Headers and assignments of a valid document, one after the other, without comments around them."""
+    at, n = 0, len(text)
+    while at < n:
+        if text[at] in " \t\r\n":
+            at += 1
+            continue
+        if text[at] == "#":
+            at = text.find("\n", at)
+            at = n if at < 0 else at
+            continue
+        start, depth = at, 0
+        while at < n:
+            c = text[at]
+            if c in "\"\'":
+                at = _STRING.match(text, at).end()
+                continue
+            if c == "#":
+                stop = text.find("\n", at)
+                if not depth:
+                    break
+                at = n if stop < 0 else stop
+                continue
+            if c == "\n" and not depth:
+                break
+            depth += (c in "[{") - (c in "]}")
+            at += 1
+        yield text[start:at].strip()
+
+
+def _names(header: str) -> list[str]:
+    """Key path of a header's inside."""
+    names, found = [], tomllib.loads(f"{header} = 0")
+    while isinstance(found, dict):
+        ((name, found),) = found.items()
+        names.append(name)
+    return names
+
+
 def events(text: str) -> list[dict]:
-    """Leaf assignments in document order: dotted path, type and value text."""
+    """Leaf assignments in document order, whatever tables are opened again: dotted path, type and value text.
+
+    Items of an array of tables are numbered; an empty table or array is a leaf where it is written.
+    """
+    whole = parse(text)
     out: list[dict] = []
 
     def walk(value: object, path: tuple) -> None:
@@ -64,7 +111,23 @@ def events(text: str) -> list[dict]:
             kind = {dict: "table", list: "array", str: "string", bool: "boolean", int: "integer", float: "float", dt.datetime: "datetime", dt.date: "date", dt.time: "time"}[type(value)]
             out.append({"path": ".".join(path), "kind": kind, "value": value if isinstance(value, str) else scalar(value) if not isinstance(value, (dict, list)) else ""})
 
-    walk(parse(text), ())
+    items: dict[tuple, int] = {}  # number of the current item of each array of tables
+    here: tuple = ()
+    for statement in statements(text.replace("\r\n", "\n")):
+        if not statement.startswith("["):
+            walk(tomllib.loads(statement), here)
+            continue
+        array = statement.startswith("[[")
+        names, here, found = _names(statement.strip("[] \t")), (), whole
+        for i, name in enumerate(names):
+            here, found = (*here, name), found[name]
+            if array and i == len(names) - 1:
+                items[here] = items.get(here, -1) + 1
+            if here in items:
+                number = items[here]
+                here, found = (*here, str(number)), found[number]
+        if found == {}:
+            walk(found, here)
     return out
 
 

@@ -5,16 +5,21 @@ from hypothesis import strategies as st
 from papyrine.functions import json_path, json_text as J
 from papyrine.functions.errors import TextError
 
-PORT = J.parse('{"port":{"ship":[{"kind":"tug","len":21.5},{"kind":"ferry","len":88,"flag":"NO"},{"kind":"fishing","len":17.2,"flag":"IS"},{"kind":"ferry","len":120.9}],"crane":{"lifts":40,"height":61}},"open":true}')
-
-
-def paths(query):
-    return [json_path.normalized(p) for p, _ in json_path.compile_path(query).nodes(PORT, PORT)]
-
-
-@pytest.mark.parametrize("query, n", [("$.port.ship[*].kind", 4), ("$..len", 4), ("$..ship[-1]", 1), ("$..ship[0,0]", 2), ("$..ship[:2]", 2), ("$..ship[?@.flag]", 2), ("$..ship[?@.len<50]", 2), ("$..*", 20), ("$..ship[?count(@.*)==3]", 2), ("$..ship[?match(@.kind,'f.*')]", 3), ("$", 1), ("$.nothing", 0)])
-def test_path_counts(query, n):
-    assert len(paths(query)) == n
+#: Readings by month: nested arrays, odd member names, values of one member in several types.
+LOG = J.parse("""{"n": [0, -1, 1.0, 1e0, "1"], "log": {"2024-01": [[1, {"v": null}], [], [{"v": 3}, {"v": "3"}, {"w": []}]], "it's": {"": [true, false]}, "none": {}}}""")
+
+
+@pytest.mark.parametrize(("query", "wanted"), [
+    ("$.n[::-2]", ["$['n'][4]", "$['n'][2]", "$['n'][0]"]), ("$.n[1:99:3]", ["$['n'][1]", "$['n'][4]"]), ("$.n[-2:]", ["$['n'][3]", "$['n'][4]"]), ("$.n[9,-9]", []), ("$.n[0,0]", ["$['n'][0]"] * 2),
+    ("$.n[?@ == 1]", ["$['n'][2]", "$['n'][3]"]), ("$.n[?@ == '1']", ["$['n'][4]"]), ("$.n[?@ < 0 || @ >= 1]", ["$['n'][1]", "$['n'][2]", "$['n'][3]"]), ("$.n[?!(@ != 0)]", ["$['n'][0]"]),
+    ("$.log['2024-01'][0][1].v", ["$['log']['2024-01'][0][1]['v']"]), ('$.log["it\'s"][\'\'][1]', ["$['log']['it\\'s'][''][1]"]), ("$.log.none.*", []), ("$.log.none[?@]", []),
+    ("$..[?@.v == null]", ["$['log']['2024-01'][0][1]"]), ("$..[?@.v]", ["$['log']['2024-01'][0][1]", "$['log']['2024-01'][2][0]", "$['log']['2024-01'][2][1]"]), ("$..[?@.v == 3].v", ["$['log']['2024-01'][2][0]['v']"]),
+    ("$.log[?length(@) == 3]", ["$['log']['2024-01']"]), ("$.log['2024-01'][?count(@.*) == 0]", ["$['log']['2024-01'][1]"]), ("$.log['2024-01'][?@[0].v == @[1].v]", ["$['log']['2024-01'][1]"]),
+    ("$..['w', '']", ["$['log']['it\\'s']['']", "$['log']['2024-01'][2][2]['w']"]), ("$[?@[?@ == -1]]", ["$['n']"]),
+])
+def test_paths_of_a_log(query, wanted):
+    found = [json_path.normalized(p) for p, _ in json_path.compile_path(query).nodes(LOG, LOG)]
+    assert sorted(found) == sorted(wanted) if ".." in query else found == wanted
 
 
 @pytest.mark.parametrize("query", ["", "store", "$[", "$.a[?@.b==]", "$[01]", "$[?length(@.*)==1]", "$[?count(1)==1]", "$ ", "$[?@.*==1]", "$['a"])
