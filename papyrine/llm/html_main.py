@@ -21,10 +21,14 @@ option, tr, td and th, and end tags that match nothing.  Every class word is in
 tag, role or class word) are left out wherever they stand, except headers within
 an article that hold its heading.  A class or id counts as a word of boilerplate
 only if it holds nothing else (``sidebar``, ``cookie-banner``, ``ad-1``) but words for a
-place on the site (``site-footer``, ``left-nav``; ``site-header``); compounds
+place on the site (``site-footer``, ``left-nav``; ``site-header``) or for a kind of part
+(``comment-list``, ``cookieConsent``, ``share-buttons``); other compounds
 such as ``share-price`` or ``with-sidebar`` stay in the text and only count against
 a container.  Neither applies to an element that holds the page's article or main,
-or most of its unlinked text.
+or most of its unlinked text.  Inside an article a word that articles use as well
+(``menu``, ``notice``, ``related``, ``reply``) counts only with evidence: links make up half
+of the element's text, or it holds controls of a form.  What a style attribute hides is
+left out.
 
 Defined results: null or empty html gives an empty text; character references
 are decoded, white space inside a block (line breaks included) becomes one
@@ -72,6 +76,15 @@ SKIP_WORDS = frozenset(
 #: Words that say only where on the site a part of boilerplate is; with them a header is one too.
 SITE_WORDS = frozenset("site global top bottom main page left right primary secondary".split())
 SITE_HEADERS = frozenset("site global top".split())
+#: Words that only say what kind of part a name means; with them a word of boilerplate still is one.
+PART_WORDS = frozenset(
+    "area bar block body box button buttons container content feed form group holder icons inner item items links list message outer panel part post posts section articles stories "
+    "strip thread tools user users reader readers view wrap wrapper zone".split()
+)
+#: Words of boilerplate that are words of an article as well (a menu of dishes, a notice, a reply); inside an article they need evidence.
+WEAK_WORDS = frozenset(
+    "aside banner banners menu menus navigation notice notices overlay pager promo promos promotion related recommended recommendations reply replies respond share sharing skip social toolbar widget widgets login signup".split()
+)
 #: Words of readers' comments, which may well be longer than the text they follow.
 READER_WORDS = frozenset("comment comments disqus reply replies respond".split())
 _TAG = re.compile(
@@ -82,6 +95,11 @@ _TAG = re.compile(
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
+#: A lower-case letter before an upper-case one, or one of these words before a part's name: a word ends there.
+_GLUED = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PARTED = re.compile(r"\b(ads?|advert|comments?|cookies?|gdpr|consent|newsletter|share|sharing|related|sidebar|sponsor)(?=(?:area|bar|box|buttons?|container|list|links|panel|posts|section|wrap|wrapper)\b)")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
+_CONTROLS = frozenset("form input textarea select button".split())
 _NO_ATTRIBUTES: dict[str, str] = {}
 _NO_WORDS: frozenset[str] = frozenset()
 _CONTAINERS = frozenset("article main section div td body".split())
@@ -93,30 +111,31 @@ class Node:
     ``named`` tells what its class and id say: 2 boilerplate, 1 a compound with such a word, 0 nothing.
     """
 
-    __slots__ = ("tag", "key", "parent", "parts", "skip", "depth", "named", "words", "in_article")
+    __slots__ = ("tag", "key", "parent", "parts", "skip", "depth", "named", "words", "in_article", "weak")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
         self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
-        self.named, self.words = 0, _NO_WORDS
+        self.named, self.words, self.weak = 0, _NO_WORDS, False
         if not attributes:
             self.key, self.skip = tag, tag in SKIP_TAGS
             return
-        names = attributes.get("class", "").lower()
-        words = sorted({w for w in _WORDS.findall(names) if len(w) > 1})
+        words = sorted({w for w in _WORDS.findall(attributes.get("class", "").lower()) if len(w) > 1})
         self.key = tag + "".join("." + w for w in words)
         self.skip = (
             tag in SKIP_TAGS
             or attributes.get("role", "").lower() in SKIP_ROLES
-            or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+            or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "style" in attributes and bool(_HIDDEN.search(attributes["style"]))
         )
-        names = f"{names} {attributes.get('id', '').lower()}"
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        names = _PARTED.sub(r"\1-", _GLUED.sub("-", names).lower())
         self.words = SKIP_WORDS.intersection(_WORDS.findall(names))
         if self.words and not self.skip and tag not in ("html", "body", "article", "main"):
             self.named = 1
-        if not self.skip and tag not in ("html", "body", "article", "main") and any(map(_boilerplate, names.split())):
+        if not self.skip and tag not in ("html", "body", "article", "main") and (parts := [n for n in names.split() if _boilerplate(n)]):
             self.named, self.skip = 2, True
+            self.weak = self.in_article and all(WEAK_WORDS.issuperset(_WORDS.findall(n)) for n in parts)
 
     def path(self) -> str:
         keys, node = [], self
@@ -156,6 +175,8 @@ def _boilerplate(name: str) -> bool:
     """Whether a class or id names a part of boilerplate and nothing else."""
     own = set(_WORDS.findall(name))
     kept = own - SITE_WORDS
+    if kept & SKIP_WORDS:
+        kept -= PART_WORDS
     return bool(kept) and kept <= SKIP_WORDS or kept == {"header"} and bool(own & SITE_HEADERS)
 
 
@@ -216,9 +237,15 @@ def parse(text: str) -> Node:
 
 
 def _keep_holders(root: Node) -> None:
-    """Take the mark of boilerplate from named elements that hold the article or most of the unlinked text."""
+    """Take the mark of boilerplate from named elements that hold the article or most of the unlinked text.
+
+    A weakly named element inside an article loses it too, unless half of its text is
+    links or it holds controls of a form.
+    """
     order: list[Node] = []
     size: dict[int, int] = {}
+    linked_size: dict[int, int] = {}
+    controls: set[int] = set()
     pending: list[tuple[Node, bool]] = [(root, False)]
     while pending:
         node, linked = pending.pop()
@@ -226,7 +253,10 @@ def _keep_holders(root: Node) -> None:
             continue
         order.append(node)
         linked = linked or node.tag == "a"
-        size[id(node)] = 0 if linked else sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        text = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        size[id(node)], linked_size[id(node)] = (0, text) if linked else (text, 0)
+        if any(isinstance(p, Node) and p.tag in _CONTROLS for p in node.parts):
+            controls.add(id(node))
         pending.extend((p, linked) for p in node.parts if isinstance(p, Node))
     held: dict[int, int] = {}
     mains: set[int] = set()
@@ -239,6 +269,9 @@ def _keep_holders(root: Node) -> None:
         if node.parent is not None:
             up = id(node.parent)
             size[up] += size[own]
+            linked_size[up] += linked_size[own]
+            if own in controls:
+                controls.add(up)
             held[up] = max(held.get(up, 0), held.get(own, 0))
             if own in mains:
                 mains.add(up)
@@ -257,7 +290,8 @@ def _keep_holders(root: Node) -> None:
         elif node.named:
             article = held.get(own, 0)
             most = 2 * size[own] > whole and 5 * outside <= whole and (node.named == 1 or not node.words & READER_WORDS)
-            if own in mains or 5 * article > whole and article >= outside or most:
+            prose = node.weak and size[own] > linked_size[own] and own not in controls
+            if own in mains or 5 * article > whole and article >= outside or most or prose:
                 node.named, node.skip = 0, False
             elif node.skip:
                 dropped.add(own)

@@ -57,3 +57,21 @@ def test_odd_pages_take_linear_time(make):
         return least
 
     assert seconds(16_000) < 3 * seconds(8_000) + 0.05
+
+
+#: Parts that stand inside an article: (markup, text that stays of it).
+PARTS = [
+    ("<div class='user-comments'>nice post</div>", ""), ("<div id=comment-list><p>One</p><p>Two</p></div>", ""), ("<section class='cookieConsent'>cookies!</section>", ""), ("<div class=gdprbox>We care.</div>", ""),
+    ("<div class='share-buttons'>Share: fb tw</div>", ""), ("<div class='related-posts'><a href=/1>Rel one</a></div>", ""), ("<div class='menu'><a href=/>Home</a> <a href=/b>Back</a></div>", ""), ("<div class=reply><textarea></textarea><button>Send</button>Your reply</div>", ""),
+    ("<p style='display:none'>hidden</p>", ""), ("<div style='color:red; display: none !important'>hidden</div>", ""), ("<span hidden>hidden</span>", ""), ("<div class='newsletter-box'>Sign up now</div>", ""), ("<div id='disqus_thread'>Loading</div>", ""),
+    ("<ul class=menu><li>Soup of the day</li><li>Bread</li></ul>", "Soup of the day\nBread"), ("<h2 class=banner>The second part</h2>", "The second part"), ("<p class=related>A related finding is this.</p>", "A related finding is this."),
+    ("<section id=reply><p>The minister's reply was short.</p></section>", "The minister's reply was short."), ("<p class=notice>Notice how it bends.</p>", "Notice how it bends."), ("<p style='display:block'>shown</p>", "shown"),
+    ("<p class='cookie-recipe'>Mix the dough.</p>", "Mix the dough."), ("<div class='social-history'>A history of towns.</div>", "A history of towns."), ("<p class=share-price>It rose.</p>", "It rose."), ("<dl class=promotion><dt>Rank</dt><dd>Major</dd></dl>", "Rank\nMajor"),
+]
+
+
+@pytest.mark.parametrize(("part", "stays"), PARTS)
+@pytest.mark.parametrize("around", ["<body><nav><a href=/>Home</a></nav><article>{}</article><footer>Foot</footer></body>", "<body><div id=top><main><div class=text>{}</div></main></div></body>"])
+def test_parts_inside_an_article(around, part, stays):
+    page = around.format(f"<h1>Title</h1><p>{LONG}</p>{part}<p>Last words of it.</p>")
+    assert html_main.extract(page, None) == "\n".join(x for x in ("Title", LONG, stays, "Last words of it.") if x)
