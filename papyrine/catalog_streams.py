@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .catalog_formats import run_stream
-from .runtime import stash
+from .operators import csv_table
+from .runtime import scratch, stash
+from .sources import split_csv
 from .streaming import events
 
 
@@ -59,3 +61,20 @@ def stream_xml_events(spark, sf_dir):
     piece = F.when(F.col("event") == "start_element", F.concat(F.lit("\n"), F.get_json_object("value", "$.n"), F.lit("|"))).otherwise(F.col("value"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_idx", piece.alias("x")))), lambda e: e["x"]), "")
     return inner.groupBy("stream_id").agg(F.count_if(F.col("event") == "start_element").alias("n_elements"), F.sha2(F.substring(whole, 2, 1 << 30), 256).alias("names"))
+
+
+@query("""
+WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders)
+SELECT n AS row_idx, CAST(o_orderkey AS VARCHAR) AS key, 'said "' || o_orderstatus || '",' || chr(10) || chr(10) || o_orderpriority AS note, repeat('wide' || chr(10), CAST(o_custkey % 9 AS INTEGER)) AS pad FROM o
+""")
+def csv_read_by_splits(spark, sf_dir):
+    """One CSV file of all orders with quotes and line breaks inside its fields, read by many tasks, rows in their order."""
+    note = F.concat(F.lit('said "'), "o_orderstatus", F.lit('",\n\n'), "o_orderpriority")
+    pad = F.repeat(F.lit("wide\n"), (F.col("o_custkey") % 9).cast("int"))
+    text = table(spark, sf_dir, "orders").select("o_orderkey", csv_table.record(F.array(F.col("o_orderkey").cast("string"), note, pad)).alias("value"))
+    home = scratch(spark, "orders_csv")
+    text.orderBy("o_orderkey").select("value").coalesce(1).write.option("lineSep", "\n").text(home)
+    small = spark.newSession()  # splits of 256 KB, so that a small file has many
+    small.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 18))
+    rows = split_csv.read_split_csv(small, home)
+    return rows.select("row_idx", F.col("fields")[0].alias("key"), F.col("fields")[1].alias("note"), F.col("fields")[2].alias("pad"))
