@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import page_nodes, query, table
-from .operators import cascade, css_declarations, rule_index, selectors
+from .operators import cascade, colour, css_declarations, rule_index, selectors
 from .runtime import spread, stash
 
 
@@ -109,3 +109,36 @@ def css_inheritance_through_nesting(spark, sf_dir):
     ranked = cascade.cascade(cascade.inline_candidates(nodes, ["l_orderkey"]), ["l_orderkey"])
     found = cascade.computed(nodes, ["l_orderkey"], ranked, "color").where("pre > 3")
     return found.select("l_orderkey", (F.col("pre") - 4).cast("long").alias("nth"), F.col("value").alias("color"))
+
+
+def event_colour() -> Column:
+    """A hex colour of two bytes of an event's ids and 07."""
+    two = lambda c: F.lpad(F.lower(F.hex(F.pmod(c, F.lit(256)))), 2, "0")
+    return F.concat(F.lit("#"), two(F.col("event_id")), two(F.col("user_id")), F.lit("07"))
+
+
+@query("""
+WITH c AS (SELECT event_id, event_id % 256 AS r, user_id % 256 AS g FROM events),
+m AS (SELECT event_id, [CAST(round((2 * r + 255) / 3) AS BIGINT), CAST(round(2 * g / 3) AS BIGINT), CAST(round((14 + 0) / 3) AS BIGINT)] AS v FROM c)
+SELECT event_id, '#' || array_to_string(list_transform(v, lambda x: lower(lpad(to_hex(x), 2, '0'))), '') AS mixed FROM m
+""")
+def css_color_mix(spark, sf_dir):
+    """color-mix(in srgb, a third of red) of the colour of every event, by column expressions."""
+    mixed = colour.mix(colour.parse(event_colour()), colour.parse(F.lit("red")), F.lit(1 / 3), "srgb")
+    return table(spark, sf_dir, "events").select("event_id", colour.hex_text(mixed).alias("mixed"))
+
+
+@query("""
+WITH c AS (SELECT event_id, [(event_id % 256) / 255.0, (user_id % 256) / 255.0, 7 / 255.0] AS v FROM events),
+l AS (SELECT event_id, list_transform(v, lambda x: CASE WHEN x <= 0.04045 THEN x / 12.92 ELSE pow((x + 0.055) / 1.055, 2.4) END) AS v FROM c),
+s AS (SELECT event_id, cbrt(0.4122214694707629 * v[1] + 0.5363325372617349 * v[2] + 0.0514459932675022 * v[3]) AS a, cbrt(0.2119034958178251 * v[1] + 0.6806995506452344 * v[2] + 0.1073969535369405 * v[3]) AS b,
+  cbrt(0.0883024591900564 * v[1] + 0.2817188391361215 * v[2] + 0.6299787016738222 * v[3]) AS c FROM l)
+SELECT event_id, round(0.2104542683093140 * a + 0.7936177747023054 * b - 0.0040720430116193 * c, 4) + 0.0 AS lightness, round(1.9779985324311684 * a - 2.4285922420485799 * b + 0.4505937096174110 * c, 4) + 0.0 AS green_red,
+  round(0.0259040424655478 * a + 0.7827717124575296 * b - 0.8086757549230774 * c, 4) + 0.0 AS blue_yellow FROM s
+""")
+def css_color_to_oklab(spark, sf_dir):
+    """The colour of every event in OKLab."""
+    lab = colour.to_space(colour.parse(event_colour()), "oklab")
+    return table(spark, sf_dir, "events").select("event_id", lab["c"].alias("c")).select(
+        "event_id", (F.round(F.col("c")[0], 4) + F.lit(0.0)).alias("lightness"), (F.round(F.col("c")[1], 4) + F.lit(0.0)).alias("green_red"), (F.round(F.col("c")[2], 4) + F.lit(0.0)).alias("blue_yellow")
+    )
