@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import query, table
@@ -10,7 +10,7 @@ from .catalog_formats import run_stream
 from .operators import csv_table
 from .runtime import scratch, stash
 from .sources import split_csv
-from .streaming import events
+from .streaming import events, transitions
 
 
 def cut_stream(texts: DataFrame, size: int, files: int = 3) -> DataFrame:
@@ -78,3 +78,22 @@ def csv_read_by_splits(spark, sf_dir):
     small.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 18))
     rows = split_csv.read_split_csv(small, home)
     return rows.select("row_idx", F.col("fields")[0].alias("key"), F.col("fields")[1].alias("note"), F.col("fields")[2].alias("pad"))
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+x AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY n) AS after FROM e)
+SELECT CAST(user_id AS VARCHAR) AS element, count_if(n > 1) AS n_run, count_if(n > 1 AND after >= t + 3600000) AS n_end, count_if(n > 1 AND after < t + 3600000) AS n_cancel FROM x GROUP BY user_id
+""")
+def stream_transitions(spark, sf_dir):
+    """Every event of a user sets a new value that takes an hour to reach: transitions that end, and those the next event cancels, over several batches out of order."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("element"), (F.row_number().over(order) - 1).cast("long").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("at")
+    )
+    ticks = rows.select("*", F.lit("set").alias("kind"), F.lit("x").alias("prop"), F.col("seq").cast("double").alias("value"), F.lit(3_600_000.0).alias("duration"), F.lit(0.0).alias("delay"))
+    kept = stash(ticks.repartition(3, F.xxhash64("element", "seq")), "ticks")
+    stream = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(kept._stashed_at)
+    found = run_stream(transitions.run_elements(stream), "transitions", "append")
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return found.groupBy("element").agg(of("run").alias("n_run"), of("end").alias("n_end"), of("cancel").alias("n_cancel"))
