@@ -98,10 +98,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of all pages written to WARC archives with revisits, read back and merged into capture histories.
 
-    ``pages`` has no time of capture: page n counts as taken n seconds after 2000.
+    ``pages`` has no time of capture: page n counts as taken n seconds after 2000, and one
+    without an id, or whose id is beyond a year of four digits, as taken last.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    time = F.date_format(F.timestamp_seconds(F.lit(946_684_800) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    dated = F.col("page_id").between(-30_000_000_000, 200_000_000_000)
+    seconds = F.lit(946_684_800) + F.when(dated, F.col("page_id")).otherwise(0)
+    time = F.when(dated, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("9999-12-31T23:59:59Z")
     found = warc.histories(pages, time)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no", "intact")
 

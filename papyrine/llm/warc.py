@@ -181,7 +181,7 @@ _ENTRY_SQL = "url_key string, time string, page_id long, url string, record_type
 
 
 def _order(key: str, time: str, page: int | None, file: str, offset: int) -> tuple:
-    return key, time, page is not None, page or 0, file, offset
+    return key, time, page is None, page or 0, file, offset
 
 
 def entry(fields: dict[str, str], block: bytes, file: str, offset: int, length: int) -> tuple | None:
@@ -268,7 +268,7 @@ def merge_runs(entries: DataFrame, rows_a_range: int = 500_000) -> DataFrame:
     spark = entries.sparkSession
     prepare(spark)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // rows_a_range))
-    ranged = entries.repartitionByRange(ranges, "url_key", "time", "page_id", "file", "offset").sortWithinPartitions("file", "seq")
+    ranged = entries.repartitionByRange(ranges, F.asc("url_key"), F.asc("time"), F.asc_nulls_last("page_id"), F.asc("file"), F.asc("offset")).sortWithinPartitions("file", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)

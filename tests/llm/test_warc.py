@@ -89,7 +89,7 @@ def test_histories_equal_plain_rows(spark, bounds):
     assert sorted([tuple(r[c] for c in COLUMNS if c != "capture_no") for r in got], key=repr) == sorted(plain(_rows()), key=repr)
     # the order by (range, place) is the global order, and histories are numbered through
     order = sorted(got, key=lambda r: (r.range, r.place))
-    keys = [(r.url_key, r.time, r.page_id is not None, r.page_id or 0) for r in order]
+    keys = [(r.url_key, r.time, r.page_id is None, r.page_id or 0) for r in order]
     assert keys == sorted(keys) and len({r.range for r in got}) > 1 and len({r.file for r in got}) > 5
     seen = defaultdict(list)
     for r in order:
@@ -100,6 +100,7 @@ def test_histories_equal_plain_rows(spark, bounds):
 
 def test_query_equals_sql(spark, tmp_path):
     rows = [r for r in {x[0]: x for x in _rows() if x[0] is not None}.values() if r[0] != 1004]
+    rows += [(None, "http://a.b/", "no id"), (-7, "http://a.b/", "early"), (1 << 62, "http://a.b/", "late")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = queries.op11_warc(spark, str(tmp_path))
     assert got.columns == COLUMNS
