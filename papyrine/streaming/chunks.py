@@ -6,8 +6,8 @@ no complete record has used; rows do not depend on where the text was cut.  The
 watermark rules of Spark apply if the caller sets one; a stream without its last
 chunk keeps its tail until then.  A stream whose state grows over ``max_state``
 characters, or whose text is bad, emits one error row; what follows is dropped on
-arrival, and the mark that it failed goes when all its chunks have come.  A chunk
-that comes again is ignored.
+arrival.  A chunk that comes again is ignored, after the end too: a finished stream
+leaves a mark of a few bytes.
 """
 
 from __future__ import annotations
@@ -100,9 +100,8 @@ def parse_chunks(chunks: DataFrame, kind: str = "csv", dialect: csv_text.Dialect
                 except TextError as e:
                     fail(e)
         if (dropped if failed else next_seq) > final >= 0:
-            state.remove()
-        else:
-            state.update((next_seq, emitted, tail, json.dumps(held), failed, final, dropped))
+            held.clear()  # the mark of a finished stream: what comes again is known by its seq
+        state.update((next_seq, emitted, tail, json.dumps(held), failed, final, dropped))
         yield pd.DataFrame(rows, columns=["stream_id", "record_idx", "record", "error"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -46,6 +46,12 @@ def test_stream_state_is_bounded_on_arrival(spark, tmp_path):
     assert [(r.stream_id, r.record, r.error is not None) for r in sorted(rows, key=lambda r: r.stream_id)] == [("s", None, True), ("t", '["1", "2"]', False)]
 
 
+def test_a_chunk_repeated_after_the_end_is_ignored(spark, tmp_path):
+    whole = [("s", 0, "a,b\n", False), ("s", 1, "c", True)]
+    rows = _stream(spark, tmp_path, [[whole[0]], [whole[1]], [whole[0]], whole])
+    assert sorted((r.record_idx, r.record) for r in rows) == [(0, '["a", "b"]'), (1, '["c"]')]
+
+
 def test_typed_getters(spark):
     rows = [('{"a": {"b c": [1, "x", {"d": null}]}, "0": 7, "q": 1.5}',), ("not json",), ("[5, 6]",), (None,)]
     df = spark.createDataFrame(rows, "t string")
