@@ -34,6 +34,7 @@ Columns other than the id and the text are not read, whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -133,6 +134,7 @@ class Aligner:
     """Both tokenizers and the memo of units of a worker process."""
 
     def __init__(self, byte_path: str, piece_path: str, memo_bytes: int, write: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
