@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import css_properties
+from ..functions.css_grammar import WIDE
 from ..functions.errors import TextError
 from . import rule_index, selectors, structural
 
@@ -173,8 +175,41 @@ def compile_sheet(css: str) -> tuple[list[Declaration], list[str]]:
     return out, _layer_order(layers)
 
 
+def sheet_errors(css: str) -> list[tuple[str, str]]:
+    """(code, prelude) of every part of a sheet that ``compile_sheet`` leaves out.
+
+    ``selector``: a rule whose selector does not parse; ``at-rule``: one that is not
+    applied (``@import``, ``@scope``, ``@container``, ...); ``declaration``: a value that its
+    property's grammar refuses.  Parts that ``@supports`` rules out are no errors.
+    """
+    found: list[tuple[str, str]] = []
+
+    def walk(text: str, inside: bool) -> None:
+        for prelude, body, _ in _blocks(text):
+            if prelude.startswith("@"):
+                name = re.match(r"@([\w-]*)", prelude)[1].lower()
+                if name not in ("layer", "media", "supports", "charset"):
+                    found.append(("at-rule", prelude))
+                elif body is not None and (name != "supports" or supports(prelude.partition(" ")[2].strip())):
+                    walk(body, inside)
+            elif body is None:
+                name, _, value = prelude.partition(":")
+                if inside and _refused(name, value):
+                    found.append(("declaration", prelude))
+            else:
+                try:
+                    selectors.parse(prelude.replace("&", ":is(*)") if inside else prelude)
+                except TextError:
+                    found.append(("selector", prelude))
+                    continue
+                walk(body, True)
+
+    walk(_strip(css), False)
+    return found
+
+
 def supports(condition: str) -> bool:
-    """``@supports``: declarations are supported if they parse; unknown functions are false."""
+    """``@supports``: a declaration is supported if it parses and its property's grammar, where one is known, takes its value; unknown functions are false."""
     c = condition.strip()
     if m := re.fullmatch(r"not\s+(.*)", c, re.S | re.I):
         return not supports(m[1])
@@ -190,10 +225,19 @@ def supports(condition: str) -> bool:
             return False
     if c.startswith("(") and c.endswith(")"):
         inner = c[1:-1].strip()
-        return bool(re.fullmatch(r"(?:--)?[\w-]+\s*:\s*\S.*", inner, re.S)) or (inner.startswith(("(", "not ")) and supports(inner))
+        if m := re.fullmatch(r"((?:--)?[\w-]+)\s*:\s*(\S.*)", inner, re.S):
+            return not _refused(m[1], m[2])
+        return inner.startswith(("(", "not ")) and supports(inner)
     return False
 
 
+def _refused(name: str, value: str) -> bool:
+    """Whether the grammar of a property refuses a value."""
+    grammar = css_properties.grammar(name.strip().lower())
+    plain = re.sub(r"\s*!\s*important\s*$", "", value, flags=re.I).strip()
+    return grammar is not None and plain.lower() not in WIDE and grammar.match(plain).status == "no-match"
+
+
 def _split(text: str, word: str) -> list[str]:
     out, depth, begin = [], 0, 0
     for m in re.finditer(rf"[()]|\s{word}\s", text, re.I):

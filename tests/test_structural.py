@@ -112,3 +112,9 @@ def test_an_unknown_pseudo_class_drops_its_rule_only():
     assert not cascade.supports("selector(p:no-such)") and cascade.supports("selector(p > a:first-child)")
     with pytest.raises(TextError):
         selectors.parse("p:dir(ltr)")
+
+
+def test_what_a_sheet_leaves_out_is_told():
+    css = """@import url(a.css); @layer a { p:dir(ltr) { x: y } } @container (width > 1px) { b { c: d } } @media print { a { color: 12; width: 1px } }
+    @supports (display: nope) { @scope (.x) { p { y: z } } } div { & > b { margin: 1px 2px 3px 4px 5px; color: var(--c); height: inherit !important } --q: anything }"""
+    assert cascade.sheet_errors(css) == [("at-rule", "@import url(a.css)"), ("selector", "p:dir(ltr)"), ("at-rule", "@container (width > 1px)"), ("declaration", "color: 12"), ("declaration", "margin: 1px 2px 3px 4px 5px")]
