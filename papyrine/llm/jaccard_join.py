@@ -6,13 +6,17 @@ when ``den * |x & y| >= num * |x | y|``.  If x and y link, at most
 of x (in any order shared by all sets) from which p tokens cannot all be missing
 meets the prefix of y.  The steps:
 
-1. One map computes the size and digest of every set; equal sets join by digest.
-2. Tokens under a hash bound (half of all) are *low*.  A twice-seen Bloom filter
-   over the low tokens (bounded size, see ``bloom``) tells *unique* tokens from
-   repeated ones.  Order: unique low tokens, rare low tokens, frequent low tokens,
-   then the tokens over the bound, each by hash.  A set with p unique low tokens
-   can link with nothing and leaves here.  Of equal sets one stays; a second
-   filter over those left makes tokens unique that only copies shared.
+1. One map computes the size and digest of every set; equal sets join by digest,
+   and one of them goes on.
+2. Tokens that one set alone holds are *unique*.  A set with p of them can link with
+   nothing and leaves here: two shuffles count them among the tokens of the first
+   two fifths of the hash range (see ``lone_tokens``), so that no filter fills up
+   however large the table is.  Of the sets left, tokens under a hash bound (half of
+   all) are *low*, and a twice-seen Bloom filter over their low tokens (bounded size,
+   see ``bloom``) tells the unique ones.  Order: unique low tokens, rare low tokens,
+   frequent low tokens, then the tokens over the bound, each by hash.  Sets are
+   recognised in later passes over the texts by Bloom filters of their keys; one let
+   through by mistake is a set like others, and costs time only.
 3. Repeated low tokens of the sets left are counted.  Those in more than
    ``frequent`` sets form the frequent class (at most ``max_frequent`` of them;
    the bound on the count is raised until they fit, which changes cost only).
@@ -59,13 +63,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_map, drop, stash
+from ..runtime import arrow_map, collect_shuffles, drop, stash
 from . import kernels
-from .bloom import PARTIAL_SCHEMA, collect_twice, partials, slices_for
+from .bloom import PARTIAL_SCHEMA, TwiceSeen, collect_twice, partials, slices_for
 from .graph import connected_components
+from .lone_tokens import SENT, Sender, lone_counts
 
 #: Share of the hash range that is low.
 LOW_SHARE = 0.5
+#: Share of the hash range whose unique tokens are counted to let sets leave.
+COUNTED_SHARE = 0.4
 #: Words of 64 bits in a set's odd sketch.
 SKETCH_WORDS = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -77,6 +84,7 @@ def missing_allowed(n: int, num: int, den: int) -> int:
 
 
 _LOW_BOUND = np.uint64(int(LOW_SHARE * (1 << 64)))
+_COUNTED_BOUND = np.uint64(int(COUNTED_SHARE * (1 << 64)))
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -115,20 +123,40 @@ def _low(tokens: np.ndarray) -> np.ndarray:
     return tokens[: np.searchsorted(tokens, _LOW_BOUND)]
 
 
-def _twice_seen(sets: DataFrame, make, count: int, filter_bytes: int):
-    """Broadcast of the twice-seen filter over the arrays of low tokens that ``make()`` takes from a batch."""
-    slices = slices_for(int(count * LOW_SHARE), bits_per_key=10, max_bytes=filter_bytes)
+def _twice_seen(rows: DataFrame, make, slices: int):
+    """Broadcast of the twice-seen filter over the hashes that ``make()`` takes from a batch."""
 
     def sending():
-        low_of = make()
+        hashes_of = make()
+        return lambda b: partials(hashes_of(b), slices)
 
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            low = low_of(b)
-            return partials(np.concatenate(low) if low else np.zeros(0, np.uint64), slices)
+    return rows.sparkSession.sparkContext.broadcast(collect_twice(arrow_map(rows, sending, PARTIAL_SCHEMA), slices))
+
+
+def _set_keys(ids: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    """Hash of each row's id and set."""
+    return kernels.mix(np.frombuffer(b"".join(digests), np.uint64)[::2] ^ kernels.mix(ids.astype(np.int64).view(np.uint64)))
 
-        return step
 
-    return sets.sparkSession.sparkContext.broadcast(collect_twice(arrow_map(sets, sending, PARTIAL_SCHEMA), slices))
+def _members(keys: DataFrame, count: int, max_bytes: int):
+    """Broadcast of a filter that has all of ``keys`` (a column of hashes), and few others while it is not full."""
+    slices = slices_for(count, bits_per_key=10, max_bytes=max_bytes)
+    return _twice_seen(keys, lambda: lambda b: np.repeat(b.column(0).to_numpy().astype(np.int64).view(np.uint64), 2), slices)
+
+
+def _chosen(b: pa.RecordBatch, k: int, wanted: TwiceSeen | None, seen: set[bytes]):
+    """(id, key, digest, tokens) of the rows of a batch whose keys are wanted, one of equal sets in a task."""
+    ids, at = b.column("doc_id").to_numpy(), 0
+    for part in kernels.portions(*kernels.text_buffer(b.column("text"))):
+        sets = list(kernels.shingle_sets(kernels.hash_words(*part), k))
+        digests = [_digest(t) for t in sets]
+        keys = _set_keys(ids[at : at + len(sets)], digests)
+        passed = wanted.suspects(keys) if wanted else np.ones(len(sets), bool)
+        for i in np.flatnonzero(passed).tolist():
+            if len(sets[i]) and digests[i] not in seen:
+                seen.add(digests[i])
+                yield int(ids[at + i]), int(keys[i : i + 1].view(np.int64)[0]), digests[i], sets[i]
+        at += len(sets)
 
 
 _SETS = "doc_id long, n long, unique long, digest binary, repeated array<long>, tokens binary" + "".join(f", {c} long" for c in _SKETCH)
@@ -155,52 +183,58 @@ def _sift(twice, num: int, den: int, rows) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)), *map(pa.array, bits)], names=_SETS_NAMES)
 
 
-def _suspect_sets(thin: DataFrame, tokens: int, k: int, num: int, den: int, filter_bytes: int) -> DataFrame:
-    """Sets that may link, one of equal ones: (doc_id, n, unique, digest, repeated low tokens, tokens, sketch)."""
+def _suspect_sets(thin: DataFrame, firsts: DataFrame, k: int, num: int, den: int, filter_bytes: int) -> DataFrame:
+    """Sets that may link, one of equal ones: (doc_id, n, unique, digest, repeated low tokens, tokens, sketch).
 
-    def of_texts():
-        seen: set[bytes] = set()
+    ``firsts`` has each distinct set: digest, its smallest id ``b``, its largest ``other``, and its size.
+    """
+    about = firsts.agg(F.count("*"), F.sum("n"), F.count_if(F.expr("other > b"))).first()
+    sets, tokens, copied = about[0], about[1] or 0, about[2]
 
-        def low_of(b: pa.RecordBatch) -> list[np.ndarray]:
-            low = []
-            for tokens in _batch_sets(b, k):
-                if len(tokens) and (digest := _digest(tokens)) not in seen:
-                    seen.add(digest)
-                    low.append(_low(tokens).copy())
-            return low
+    def keyed():
+        return lambda b: pa.RecordBatch.from_arrays([pa.array(_set_keys(b.column("b").to_numpy(), b.column("digest").to_pylist()).view(np.int64))], names=["key"])
 
-        return low_of
+    keepers = _members(arrow_map(firsts.select("digest", "b"), keyed, "key long"), sets, filter_bytes // 2) if copied else None
 
-    shared = _twice_seen(thin.select("text"), of_texts, tokens, filter_bytes)
+    def sending():
+        sender, seen, wanted = Sender(tokens), set(), keepers and keepers.value
 
-    def sifting():
-        twice, seen = shared.value, set()
+        def step(b: pa.RecordBatch) -> pa.Table | None:
+            keys, sizes, counted = [], [], []
+            for _, key, _, own in _chosen(b, k, wanted, seen):
+                keys.append(key)
+                sizes.append(len(own))
+                counted.append(own[: np.searchsorted(own, _COUNTED_BOUND)].copy())
+            return sender.rows(keys, sizes, counted)
 
-        def new_sets(b: pa.RecordBatch):
-            for doc, tokens in zip(b.column("doc_id").to_pylist(), _batch_sets(b, k), strict=True):
-                if len(tokens) and (digest := _digest(tokens)) not in seen:
-                    seen.add(digest)
-                    yield doc, digest, tokens
+        return step
 
-        return lambda b: _sift(twice, num, den, new_sets(b))
+    lone = lone_counts(arrow_map(thin, sending, SENT))
+    left = stash(lone.where(f"lone <= n - ({num} * n + {den - 1}) div {den}").select("key", "n"), "left")
+    collect_shuffles(thin.sparkSession)
+    sets, tokens = left.agg(F.count("*"), F.sum("n")).first()
+    staying = _members(left.select("key"), sets, filter_bytes // 2)
 
-    sifted = stash(arrow_map(thin, sifting, _SETS), "sifted")
-    first = sifted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    spare = stash(sifted.select("doc_id", "digest").join(first, "digest").where("doc_id <> first").select("doc_id", "digest"), "spare")
-    single = sifted.join(_hinted(spare), ["doc_id", "digest"], "left_anti")
+    def of_texts():
+        wanted, seen = staying.value, set()
 
-    def stored(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(t.as_buffer(), np.uint64) for t in b.column("tokens")]
+        def low_of(b: pa.RecordBatch) -> np.ndarray:
+            low = [_low(own).copy() for *_, own in _chosen(b, k, wanted, seen)]
+            return np.concatenate(low) if low else np.zeros(0, np.uint64)
 
-    left = single.agg(F.sum("n")).first()[0] or 0
-    again = _twice_seen(single.select("tokens"), lambda: lambda b: [_low(t) for t in stored(b)], left, filter_bytes)
+        return low_of
 
-    def resifting():
-        twice = again.value
-        return lambda b: _sift(twice, num, den, zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), stored(b), strict=True))
+    again = _twice_seen(thin, of_texts, slices_for(int((tokens or 0) * LOW_SHARE), bits_per_key=10, max_bytes=filter_bytes))
 
-    suspects = stash(arrow_map(single, resifting, _SETS), "suspects")
-    drop(sifted, spare)
+    def sifting():
+        twice, wanted, seen = again.value, staying.value, set()
+        return lambda b: _sift(twice, num, den, ((doc, digest, own) for doc, _, digest, own in _chosen(b, k, wanted, seen)))
+
+    suspects = stash(arrow_map(thin, sifting, _SETS), "suspects")
+    drop(left)
+    for shared in (keepers, staying, again):
+        if shared:
+            shared.unpersist()
     return suspects
 
 
@@ -359,9 +393,10 @@ def link_components(
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     table = profiles(thin, k)
     known = table.where("doc_id is not null and n > 0")
-    copies = stash(known.groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("other > b").select("digest", "b"), "copies")
+    firsts = stash(known.groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other"), F.first("n").alias("n")), "firsts")
+    copies = firsts.where("other > b").select("digest", "b")
     links = known.join(copies, "digest").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    suspects = _suspect_sets(thin.where("doc_id is not null"), known.agg(F.sum("n")).first()[0] or 0, k, num, den, filter_bytes)
+    suspects = _suspect_sets(thin.where("doc_id is not null"), firsts, k, num, den, filter_bytes)
     often = _frequent_tokens(suspects, frequent, max_frequent)
     about = suspects.select("doc_id", "n", "unique", *_SKETCH)
     near = _near(num, den)
@@ -421,7 +456,7 @@ def link_components(
             index = stash(left.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "index")
         drop(*old, opened, pivots)
     stars = joined(links.unionByName(found))
-    drop(suspects, copies)
+    drop(suspects, firsts)
     of = stars.withColumnRenamed("node", "doc_id")
     whole = table.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") >= 0, F.col("doc_id"))).alias("component_id"))
